@@ -19,8 +19,15 @@ def moment(as_of: datetime | str | Column) -> Column:
 
 
 def rounded(value: Column, places: int = 2) -> Column:
-    """Round half away from zero on the decimal value, so the result is the same on any engine."""
-    return F.round(value.cast("decimal(18,6)"), places).cast("double")
+    """Round half away from zero, after settling the value to six decimals.
+
+    The same as rounding ``CAST(value AS DECIMAL(18,6))``, in plain integer arithmetic, which is
+    several times faster.  The six decimals make the result the same on any engine.
+    """
+    millionths = F.floor(F.abs(value) * 1e6 + 0.5)
+    step = 10 ** (6 - places)
+    steps = F.call_function("div", millionths + step // 2, F.lit(step))
+    return F.when(value < 0, -steps).otherwise(steps) / float(10**places)
 
 
 def floor_div(value: Column, divisor: int) -> Column:
@@ -58,11 +65,17 @@ def date_text_of_string(text: Column) -> Column:
 def time_spent_text(seconds: Column) -> Column:
     """``HH:MM:SS`` with as many hour digits as needed; null counts as no time."""
     seconds = zero_if_null(seconds)
-    return F.format_string(
-        "%02d:%02d:%02d",
-        floor_div(seconds, 3600),
-        floor_div(F.pmod(seconds, F.lit(3600)), 60),
-        F.pmod(seconds, F.lit(60)),
+    hours = floor_div(seconds, 3600)
+
+    def padded(n: Column) -> Column:
+        return F.lpad(n.cast("string"), 2, "0")
+
+    return F.concat_ws(
+        ":",
+        # Padding would cut longer texts, so only single digits are padded.
+        F.when(hours.between(0, 9), padded(hours)).otherwise(hours.cast("string")),
+        padded(floor_div(F.pmod(seconds, F.lit(3600)), 60)),
+        padded(F.pmod(seconds, F.lit(60))),
     )
 
 

@@ -18,20 +18,12 @@ PART_SIZE = 10_000
 HOT_PARENTS = 1_000
 
 
-def with_copies(rows: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """A bag as distinct rows with a number of ``copies`` that never exceeds ``part_size``.
-
-    Equal rows are counted before they are shuffled, so copies cannot pile up in one task.
-    """
+def split_copies(rows: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """Cut a number of ``copies`` beyond ``part_size`` into several rows, told apart by ``piece``."""
     pieces = F.sequence(F.lit(0), ((F.col("copies") - 1) / part_size).cast("int"))
-    return (
-        rows.groupBy(*rows.columns)
-        .agg(F.count("*").alias("copies"))
-        .withColumn("piece", F.explode(pieces))
-        .withColumn(
-            "copies",
-            F.least(F.col("copies") - F.col("piece").cast("bigint") * part_size, F.lit(part_size)),
-        )
+    left = F.col("copies") - F.col("piece").cast("bigint") * part_size
+    return rows.withColumn("piece", F.explode(pieces)).withColumn(
+        "copies", F.least(left, F.lit(part_size))
     )
 
 

@@ -154,6 +154,12 @@ def completed_courses(t: Tables) -> DataFrame:
     )
 
 
+def completed_courses_counted(t: Tables) -> DataFrame:
+    """:func:`completed_courses` with equal rows counted in ``copies``."""
+    rows = completed_courses(t)
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+
+
 def program_metrics(t: Tables) -> DataFrame:
     """Mean progress and engagement per programme, ignoring nulls."""
     return t.programme_facts.groupBy("programme_id").agg(
@@ -201,22 +207,29 @@ def programme_rollup(t: Tables) -> DataFrame:
     )
 
 
+def _offered_courses(t: Tables) -> DataFrame:
+    known = t.programmes.select(F.col("programme_id").alias("programme_id_fk"))
+    return (
+        t.course_offerings.select("programme_id_fk", "course_id", "course_order_id")
+        .join(t.courses, "course_id")
+        .join(known, "programme_id_fk")
+    )
+
+
+def _certificates(t: Tables) -> DataFrame:
+    return t.course_facts.select(
+        "programme_id_fk", "course_id", "user_id", "is_certificate_earned_course"
+    ).join(t.users.select("user_id", "first_name"), "user_id")
+
+
 def user_cert_status(t: Tables) -> DataFrame:
     """Certificate status per learner, course and offering, as a bag.
 
     Offerings are found by (programme, course), so a course that runs twice gives two rows per fact.
     """
-    offered = (
-        t.course_offerings.select("programme_id_fk", "course_id", "course_order_id")
-        .join(t.courses, "course_id")
-        .join(t.programmes.select(F.col("programme_id").alias("programme_id_fk")), "programme_id_fk")
-    )
     return (
-        t.course_facts.select(
-            "programme_id_fk", "course_id", "user_id", "is_certificate_earned_course"
-        )
-        .join(t.users.select("user_id", "first_name"), "user_id")
-        .join(offered, ["programme_id_fk", "course_id"])
+        _certificates(t)
+        .join(_offered_courses(t), ["programme_id_fk", "course_id"])
         .select(
             "course_order_id",
             "course_name",
@@ -225,3 +238,19 @@ def user_cert_status(t: Tables) -> DataFrame:
             "programme_id_fk",
         )
     )
+
+
+def user_cert_status_counted(t: Tables) -> DataFrame:
+    """:func:`user_cert_status` with equal rows of a course counted in ``copies``.
+
+    Facts are counted by name before they meet the offerings, so neither that join nor a large
+    programme sees one row per learner.
+    """
+    facts = ["programme_id_fk", "course_id", "first_name", "is_certificate_earned_course"]
+    return (
+        _certificates(t)
+        .groupBy(*facts)
+        .agg(F.count("*").alias("copies"))
+        .join(_offered_courses(t), ["programme_id_fk", "course_id"])
+        .drop("course_id")
+    )

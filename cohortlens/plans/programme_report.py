@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import date_text, schedule, zero_if_null
 from cohortlens.operators import programmes as ops
 from cohortlens.operators.contract import conform, violations
-from cohortlens.operators.nesting import PART_SIZE, attach_parts, collect_parts, with_copies
+from cohortlens.operators.nesting import PART_SIZE, attach_parts, collect_parts, split_copies
 from cohortlens.schemas import INT, PROGRAM
 from cohortlens.sources.tables import Tables
 
@@ -51,19 +51,20 @@ def valid_offerings(t: Tables) -> DataFrame:
 
 
 def list_rows(t: Tables, as_of) -> dict[str, DataFrame]:
-    """The rows of each programme-level list, keyed by ``programme_id``."""
+    """The elements of each programme-level list, with the number of ``copies`` of each."""
     by_programme = F.col("programme_id_fk").alias("programme_id")
+    once = F.lit(1).cast("bigint").alias("copies")
     return {
         "is_alive_list": ops.inactive_users(t).select(
-            "programme_id", F.col("inactive_user_name").alias("first_name")
+            "programme_id", F.col("inactive_user_name").alias("first_name"), once
         ),
         "access_blocked_list": ops.blocked_users(t).select(
-            "programme_id", F.col("blocked_user_name").alias("first_name")
+            "programme_id", F.col("blocked_user_name").alias("first_name"), once
         ),
         "lagging_courses_list": ops.lagging_users(t, as_of).select(
-            by_programme, "first_name", F.col("course_records_count").alias("count")
+            by_programme, "first_name", F.col("course_records_count").alias("count"), once
         ),
-        "completed_courses_list": ops.completed_courses(t),
+        "completed_courses_list": ops.completed_courses_counted(t),
         "ongoing_course_progress": ops.ongoing_course_progress(t, as_of).select(
             by_programme,
             "course_name",
@@ -72,13 +73,15 @@ def list_rows(t: Tables, as_of) -> dict[str, DataFrame]:
             "module_name",
             "first_name",
             F.col("is_badge_earned_module").alias("earned"),
+            once,
         ),
-        "programme_user_cert_status_list": ops.user_cert_status(t).select(
+        "programme_user_cert_status_list": ops.user_cert_status_counted(t).select(
             by_programme,
             "course_order_id",
             "course_name",
             "first_name",
             F.col("is_certificate_earned_course").alias("earned"),
+            "copies",
         ),
     }
 
@@ -91,8 +94,9 @@ def _tagged(rows: dict[str, DataFrame]) -> DataFrame:
     return union
 
 
-def _counts(tagged: DataFrame, n: Column) -> DataFrame:
+def _counts(tagged: DataFrame) -> DataFrame:
     # All list lengths from one aggregation that combines before its only shuffle.
+    n = F.col("copies")
     return tagged.groupBy(F.col("programme_id").alias("id")).agg(
         *(F.sum(F.when(F.col("field") == f, n)).alias(c) for f, c in COUNTS.items())
     )
@@ -116,7 +120,8 @@ def _header(t: Tables, counts: DataFrame) -> DataFrame:
 
 def programs(t: Tables, as_of) -> DataFrame:
     """Flat report: one row per valid offering, with the length of each list in place of the list."""
-    tagged = _tagged({f: df.select("programme_id") for f, df in list_rows(t, as_of).items()})
+    rows = list_rows(t, as_of)
+    tagged = _tagged({f: df.select("programme_id", "copies") for f, df in rows.items()})
     courses = (
         ops.program_courses(t)
         .groupBy(F.col("programme_id_fk").alias("id"), F.col("cohort_identifier_fk").alias("cohort"))
@@ -125,7 +130,7 @@ def programs(t: Tables, as_of) -> DataFrame:
     # An offering without courses still lists one empty course.
     listed = F.coalesce("course_count", F.lit(1)) * F.col("copies")
     return (
-        _header(t, _counts(tagged, F.lit(1)))
+        _header(t, _counts(tagged))
         .join(courses, ["id", "cohort"], "left")
         .select(
             "id",
@@ -259,19 +264,11 @@ def programme_documents(t: Tables, as_of, part_size: int = PART_SIZE) -> DataFra
     Each row repeats the scalar fields and the list lengths of its offering; its lists hold the share
     of its ``part``.  A course whose modules fill several parts is repeated with each share.
     """
-    rows = list_rows(t, as_of)
-    bags = ("completed_courses_list", "programme_user_cert_status_list")
-    weighted = _tagged(
-        {
-            f: with_copies(df, part_size)
-            if f in bags
-            else df.withColumns({"copies": F.lit(1).cast("bigint"), "piece": F.lit(0)})
-            for f, df in rows.items()
-        }
-    )
+    listed = _tagged(list_rows(t, as_of))
     pairs = valid_offerings(t).select("id", "cohort").distinct()
     elements = (
-        weighted.withColumnRenamed("programme_id", "id")
+        split_copies(listed, part_size)
+        .withColumnRenamed("programme_id", "id")
         .join(pairs, "id")
         .withColumn("weight", F.col("copies"))
         .unionByName(
@@ -317,7 +314,7 @@ def programme_documents(t: Tables, as_of, part_size: int = PART_SIZE) -> DataFra
         weight=F.col("weight"),
         part_size=part_size,
     )
-    header = _header(t, _counts(weighted, F.col("copies")))
+    header = _header(t, _counts(listed))
     documents = attach_parts(header, parts, ["id", "cohort"]).withColumns(
         {
             "courses": F.when(F.col("copies") == 1, F.col("courses")).otherwise(

@@ -33,6 +33,7 @@ def local_session(cores: int | str = "*", name: str = "cohortlens", **extra: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
     )
