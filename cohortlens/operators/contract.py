@@ -48,6 +48,19 @@ def _nullable(wanted: T.DataType) -> T.DataType:
     return wanted
 
 
+def _broken(
+    rows: DataFrame, required: Iterable[str], integers: Iterable[str]
+) -> list[tuple[str, Column, str]]:
+    # Columns whose type already rules the fault out are not read at all.
+    kinds = {f.name: f for f in rows.schema.fields}
+    found = [(c, F.col(c).isNull(), "null") for c in required if kinds[c].nullable]
+    return found + [
+        (c, ~F.col(c).between(INT_MIN, INT_MAX), "integer out of range")
+        for c in integers
+        if not isinstance(kinds[c].dataType, T.IntegerType)
+    ]
+
+
 def violations(
     rows: DataFrame,
     level: str,
@@ -57,30 +70,22 @@ def violations(
 ) -> DataFrame:
     """(level, programme_id, user_id, item_id, field, reason) for each field that breaks the contract.
 
-    ``keys`` maps the three key columns to columns of ``rows``; those left out are null.  Columns
-    that are 32-bit or not nullable already are not read at all.
+    ``keys`` maps the three key columns to columns of ``rows``; those left out are null.
     """
-    kinds = {f.name: f for f in rows.schema.fields}
-
-    def finding(field: str, broken: Column, reason: str) -> Column:
-        found = F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason"))
-        return F.when(broken, found)
-
-    checks = [finding(c, F.col(c).isNull(), "null") for c in required if kinds[c].nullable]
-    checks += [
-        finding(c, ~F.col(c).between(INT_MIN, INT_MAX), "integer out of range")
-        for c in integers
-        if not isinstance(kinds[c].dataType, T.IntegerType)
+    findings = [
+        F.when(wrong, F.struct(F.lit(c).alias("field"), F.lit(reason).alias("reason")))
+        for c, wrong, reason in _broken(rows, required, integers)
     ]
-    if not checks:
-        rows, checks = rows.limit(0), [finding("", F.lit(True), "")]
+    if not findings:
+        rows = rows.limit(0)
+        findings = [F.struct(F.lit("").alias("field"), F.lit("").alias("reason"))]
     return rows.select(
         F.lit(level).alias("level"),
         *(
             (F.col(keys[k]) if k in keys else F.lit(None).cast("string")).alias(k)
             for k in ("programme_id", "user_id", "item_id")
         ),
-        F.explode(F.array_compact(F.array(*checks))).alias("finding"),
+        F.explode(F.array_compact(F.array(*findings))).alias("finding"),
     ).select("level", "programme_id", "user_id", "item_id", "finding.*")
 
 
@@ -88,21 +93,54 @@ def quarantine(
     rows: DataFrame, required: Iterable[str], integers: Iterable[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Split rows into those that keep the contract and those that break it."""
-    good = F.lit(True)
-    for column in required:
-        good = good & F.col(column).isNotNull()
-    for column in integers:
-        good = good & F.coalesce(F.col(column).between(INT_MIN, INT_MAX), F.lit(True))
-    return rows.filter(good), rows.filter(~good)
+    wrong = F.lit(False)
+    for _, broken, _ in _broken(rows, required, integers):
+        wrong = wrong | F.coalesce(broken, F.lit(False))
+    return rows.filter(~wrong), rows.filter(wrong)
 
 
-def select_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Keep the named fields only; ``courses.modules.module_id`` reaches into lists and structs."""
+def field_tree(fields: Iterable[str]) -> dict:
+    """Dotted names as nested dictionaries; an empty one stands for the whole field."""
     tree: dict = {}
-    for field in fields:
+    whole = dict.fromkeys(fields)
+    for field in whole:
+        steps = field.split(".")
+        if any(".".join(steps[:i]) in whole for i in range(1, len(steps))):
+            continue
         node = tree
-        for name in field.split("."):
+        for name in steps:
             node = node.setdefault(name, {})
+    return tree
+
+
+def wants(tree: dict, *path: str) -> bool:
+    """Whether a selection includes (a part of) the field at ``path``."""
+    for name in path:
+        if not tree:
+            return True
+        if name not in tree:
+            return False
+        tree = tree[name]
+    return True
+
+
+def conform_selected(
+    df: DataFrame, contract: T.StructType, fields: Sequence[str] | None, extra: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`conform` for the selected fields, or for all of them if ``fields`` is None."""
+    if fields is None:
+        return conform(df, contract, extra)
+    tree = field_tree(fields)
+    unknown = [n for n in tree if n not in contract.names]
+    if unknown:
+        raise ValueError(f"unknown field {unknown[0]}")
+    top = T.StructType([contract[n] for n in tree])
+    return select_fields(conform(df, top, extra), [*extra, *fields])
+
+
+def select_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Keep the named fields only; ``courses.modules.module_id`` reaches into lists and structs."""
+    tree = field_tree(fields)
 
     def pruned(value: Column, kind: T.DataType, wanted: dict, path: str) -> Column:
         if not wanted:

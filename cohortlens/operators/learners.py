@@ -38,7 +38,7 @@ def programme_performance(t: Tables) -> DataFrame:
 
 
 def _score(column: str, name: str):
-    return rounded(F.coalesce(F.col(column), F.lit(0.0))).alias(name)
+    return F.coalesce(rounded(F.col(column)), F.lit(0.0)).alias(name)
 
 
 def learner_modules(t: Tables) -> DataFrame:

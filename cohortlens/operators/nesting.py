@@ -45,7 +45,7 @@ def collect_parts(
     the columns that tell the rows of one parent apart; ``copies`` a column with the number of times
     to repeat the element; ``weight`` the size of an element that itself holds lists.  ``parents``
     adds empty parts, so that :func:`attach_parts` finds every parent.  ``census`` is a cheaper DataFrame
-    with the ``keys`` from which to tell the large parents; it only steers the work.
+    of ``keys`` and ``weight`` from which to tell the large parents; it only steers the work.
     """
     keys = list(keys)
     if weight is None:
@@ -62,7 +62,7 @@ def collect_parts(
         blank = parents.select(*keys, none.alias("_weight"), none.alias("_spread"))
         elements = elements.unionByName(blank, allowMissingColumns=True)
 
-    counted = census.withColumn("_weight", F.lit(1)) if census is not None else elements
+    counted = elements if census is None else census.withColumnRenamed("weight", "_weight")
     hot = (
         counted.groupBy(*keys)
         .agg(F.sum("_weight").alias("_total"))

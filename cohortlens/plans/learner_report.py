@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions import date_text, time_spent_text, zero_if_null
 from cohortlens.operators import learners as ops
-from cohortlens.operators.contract import conform, quarantine, violations
+from cohortlens.operators.contract import (
+    conform,
+    conform_selected,
+    field_tree,
+    quarantine,
+    violations,
+    wants,
+)
 from cohortlens.operators.nesting import PART_SIZE, attach_parts, collect_parts
 from cohortlens.schemas import CERTIFICATES, INT, LEARNER, LEARNER_PROGRESS
 from cohortlens.sources.tables import Tables
@@ -48,6 +57,22 @@ def learner_progress(t: Tables) -> DataFrame:
     )
 
 
+def _censuses(t: Tables) -> dict[str, DataFrame]:
+    """Rows per course, learner and programme, to tell the large ones; facts are counted once."""
+    weight = F.count("*").alias("weight")
+    programme = F.col("programme_id_fk").alias("programme_id")
+    modules = t.module_facts.groupBy(
+        programme, "user_id", F.col("course_id_fk").alias("course_id")
+    ).agg(weight)
+    courses = t.course_facts.groupBy(programme, "user_id", "course_id").agg(weight)
+    learners = modules.unionAll(courses)
+    return {
+        "course": modules,
+        "learner": learners.select(*LEARNER_KEY, "weight"),
+        "programme": learners.select(F.col("programme_id").alias("id"), "weight"),
+    }
+
+
 def _module_parts(t: Tables, part_size: int) -> DataFrame:
     modules = ops.learner_modules(t).select(
         "programme_id",
@@ -68,24 +93,26 @@ def _module_parts(t: Tables, part_size: int) -> DataFrame:
             date_text(F.col("module_offering_start_timestamp")).alias("start_date"),
         ).alias("module"),
     )
-    course_keys = [F.col("programme_id_fk").alias("programme_id"), "user_id", "course_id"]
     return collect_parts(
         modules.na.drop(subset=COURSE_KEY),
         COURSE_KEY,
         {"modules": F.col("module")},
         ["cohort_schedule_id", "module"],
-        parents=t.course_facts.select(*course_keys).distinct(),
-        census=t.module_facts.withColumnRenamed("course_id_fk", "course_id").select(*course_keys),
+        parents=ops.learner_courses(t).select(*COURSE_KEY).distinct(),
+        census=_censuses(t)["course"],
         part_size=part_size,
     )
 
 
-def _course_parts(t: Tables, part_size: int) -> DataFrame:
-    courses = attach_parts(
-        ops.learner_courses(t),
-        _module_parts(t, part_size).select(*COURSE_KEY, "part", "modules"),
-        COURSE_KEY,
-    ).select(
+def _course_parts(t: Tables, with_modules: bool, part_size: int) -> DataFrame:
+    courses = ops.learner_courses(t)
+    if with_modules:
+        modules = _module_parts(t, part_size).select(*COURSE_KEY, "part", "modules")
+        courses = attach_parts(courses, modules, COURSE_KEY)
+    else:
+        kind = LEARNER["courses"].dataType.elementType["modules"].dataType
+        courses = courses.withColumns({"part": F.lit(0), "modules": F.array().cast(kind)})
+    courses = courses.select(
         *LEARNER_KEY,
         "cohort_schedule_id",
         "part",
@@ -105,7 +132,6 @@ def _course_parts(t: Tables, part_size: int) -> DataFrame:
             "modules",
         ).alias("course"),
     )
-    facts = [F.col("programme_id_fk").alias("programme_id"), "user_id"]
     return collect_parts(
         courses.na.drop(subset=LEARNER_KEY),
         LEARNER_KEY,
@@ -113,20 +139,35 @@ def _course_parts(t: Tables, part_size: int) -> DataFrame:
         ["cohort_schedule_id", "course.id", "part"],
         weight=F.size("course.modules") + 1,
         parents=t.programme_facts.select(*LEARNER_KEY).distinct(),
-        census=t.course_facts.select(*facts).unionAll(t.module_facts.select(*facts)),
+        census=_censuses(t)["learner"],
         part_size=part_size,
     )
 
 
-def learner_documents(t: Tables, part_size: int = PART_SIZE) -> DataFrame:
-    """One nested learner per row; a learner whose courses fill several parts has several rows."""
-    return attach_parts(
-        ops.learner_data(t),
-        _course_parts(t, part_size).select(
-            *LEARNER_KEY, F.col("part").alias("learner_part"), "courses", "part_weight"
-        ),
-        LEARNER_KEY,
-    ).select(
+def learner_documents(t: Tables, tree: dict | None = None, part_size: int = PART_SIZE) -> DataFrame:
+    """One nested learner per row; a learner whose courses fill several parts has several rows.
+
+    ``tree`` selects fields of the learner; unless it includes the courses, or their modules, these
+    are left empty and not computed.
+    """
+    tree = tree or {}
+    learners = ops.learner_data(t)
+    if wants(tree, "courses"):
+        parts = _course_parts(t, wants(tree, "courses", "modules"), part_size)
+        learners = attach_parts(
+            learners,
+            parts.withColumnRenamed("part", "learner_part"),
+            LEARNER_KEY,
+        )
+    else:
+        learners = learners.withColumns(
+            {
+                "courses": F.array().cast(LEARNER["courses"].dataType),
+                "learner_part": F.lit(0),
+                "part_weight": F.lit(0),
+            }
+        )
+    return learners.select(
         "programme_id",
         "learner_part",
         F.struct(
@@ -154,36 +195,41 @@ def learner_documents(t: Tables, part_size: int = PART_SIZE) -> DataFrame:
 
 
 def learner_progress_documents(
-    t: Tables, programme_id: str | None = None, part_size: int = PART_SIZE
+    t: Tables,
+    programme_id: str | None = None,
+    fields: Sequence[str] | None = None,
+    part_size: int = PART_SIZE,
 ) -> DataFrame:
     """The full contract: nine fields with the nested learners, in one or more parts per offering.
 
     With ``programme_id`` the answer is that programme's first offering by status, or no row if the
-    programme is unknown.  Without it every programme and offering is returned.
+    programme is unknown.  Without it every programme and offering is returned.  ``fields`` selects
+    dotted fields; what only the others need is not computed.
     """
+    tree = field_tree(fields or LEARNER_PROGRESS.names)
     if programme_id is not None:
         t = t.for_programme(programme_id)
-    header = _header(t)
+    documents = _header(t)
     if programme_id is not None:
-        first = ["status", *(c for c in header.columns if c != "status")]
-        header = header.orderBy(*first).limit(1)
-    facts = [
-        t.programme_facts.select(F.col("programme_id").alias("id")),
-        t.course_facts.select(F.col("programme_id_fk").alias("id")),
-        t.module_facts.select(F.col("programme_id_fk").alias("id")),
-    ]
-    parts = collect_parts(
-        learner_documents(t, part_size).withColumnRenamed("programme_id", "id"),
-        ["id"],
-        {"learner_data": F.col("learner")},
-        ["learner.id", "learner_part"],
-        weight=F.col("weight"),
-        parents=t.programmes.select(F.col("programme_id").alias("id")).distinct(),
-        census=facts[0].unionAll(facts[1]).unionAll(facts[2]),
-        part_size=part_size,
-    )
-    documents = attach_parts(header, parts.select("id", "part", "learner_data"), ["id"])
-    return conform(documents, LEARNER_PROGRESS, ["part"])
+        first = ["status", *(c for c in documents.columns if c != "status")]
+        documents = documents.orderBy(*first).limit(1)
+    if wants(tree, "learner_data"):
+        parts = collect_parts(
+            learner_documents(t, tree["learner_data"], part_size).withColumnRenamed(
+                "programme_id", "id"
+            ),
+            ["id"],
+            {"learner_data": F.col("learner")},
+            ["learner.id", "learner_part"],
+            weight=F.col("weight"),
+            parents=t.programmes.select(F.col("programme_id").alias("id")).distinct(),
+            census=_censuses(t)["programme"],
+            part_size=part_size,
+        )
+        documents = attach_parts(documents, parts.select("id", "part", "learner_data"), ["id"])
+    else:
+        documents = documents.withColumn("part", F.lit(0).cast("bigint"))
+    return conform_selected(documents, LEARNER_PROGRESS, fields, ["part"])
 
 
 def learner_presentation(documents: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import date_text, schedule, zero_if_null
 from cohortlens.operators import programmes as ops
-from cohortlens.operators.contract import conform, violations
+from cohortlens.operators.contract import conform_selected, field_tree, violations, wants
 from cohortlens.operators.nesting import PART_SIZE, attach_parts, collect_parts, split_copies
 from cohortlens.schemas import INT, PROGRAM
 from cohortlens.sources.tables import Tables
@@ -22,6 +24,10 @@ COUNTS = {
     "programme_user_cert_status_list": "cert_status_count",
 }
 
+# Fields of the document that the flat layouts below read.
+PRESENTED = ("id", "cohort", "last_updated", "duration", "courses")
+LISTED = ("id", "cohort", *COUNTS)
+
 
 def valid_offerings(t: Tables) -> DataFrame:
     """Programmes with their valid offerings; equal rows are merged and counted in ``copies``."""
@@ -204,12 +210,16 @@ def _module_parts(t: Tables, run: list[str], part_size: int) -> DataFrame:
         {"modules": F.col("module")},
         ["module"],
         parents=ops.program_courses(t).select(*run).distinct(),
-        census=t.module_offerings.withColumnRenamed("course_id_fk", "course_id").select(*run),
+        census=t.module_offerings.withColumnRenamed("course_id_fk", "course_id").select(
+            *run, F.lit(1).alias("weight")
+        ),
         part_size=part_size,
     )
 
 
-def _course_rows(t: Tables, pairs: DataFrame, part_size: int) -> DataFrame:
+def _course_rows(
+    t: Tables, pairs: DataFrame, with_modules: bool, part_size: int
+) -> DataFrame:
     """(id, cohort, course, weight) per course of the given offerings, modules nested."""
     run = ["programme_id_fk", "cohort_schedule_id", "course_id"]
     courses = (
@@ -217,11 +227,14 @@ def _course_rows(t: Tables, pairs: DataFrame, part_size: int) -> DataFrame:
         .withColumnRenamed("cohort_identifier_fk", "cohort")
         .withColumn("id", F.col("programme_id_fk"))
     )
-    nested = attach_parts(
-        courses.join(pairs, ["id", "cohort"], "left_semi"),
-        _module_parts(t, run, part_size).select(*run, "modules"),
-        run,
-    ).select(
+    offered = courses.join(pairs, ["id", "cohort"], "left_semi")
+    if with_modules:
+        modules = _module_parts(t, run, part_size).select(*run, "modules")
+        offered = attach_parts(offered, modules, run)
+    else:
+        modules = PROGRAM["courses"].dataType.elementType["modules"].dataType
+        offered = offered.withColumn("modules", F.array().cast(modules))
+    nested = offered.select(
         "id",
         "cohort",
         F.struct(
@@ -258,36 +271,31 @@ def _element(field: str, *columns) -> Column:
     return F.when(F.col("field") == field, value)
 
 
-def programme_documents(t: Tables, as_of, part_size: int = PART_SIZE) -> DataFrame:
-    """The full contract: 32 fields with every list, in one or more parts per offering.
-
-    Each row repeats the scalar fields and the list lengths of its offering; its lists hold the share
-    of its ``part``.  A course whose modules fill several parts is repeated with each share.
-    """
-    listed = _tagged(list_rows(t, as_of))
+def _parts(t: Tables, as_of, listed: DataFrame | None, tree: dict, part_size: int) -> DataFrame:
+    """The selected lists of each valid offering, by (id, cohort, part)."""
     pairs = valid_offerings(t).select("id", "cohort").distinct()
-    elements = (
-        split_copies(listed, part_size)
-        .withColumnRenamed("programme_id", "id")
-        .join(pairs, "id")
-        .withColumn("weight", F.col("copies"))
-        .unionByName(
-            _course_rows(t, pairs, part_size).withColumns(
-                {"field": F.lit("courses"), "copies": F.lit(1).cast("bigint")}
-            ),
-            allowMissingColumns=True,
+    elements = []
+    lists = {}
+    if wants(tree, "courses"):
+        courses = _course_rows(t, pairs, wants(tree, "courses", "modules"), part_size)
+        elements.append(
+            courses.withColumns({"field": F.lit("courses"), "copies": F.lit(1).cast("bigint")})
         )
-    )
-    earned = F.col("earned")
-    parts = collect_parts(
-        elements,
-        ["id", "cohort"],
-        {
-            "courses": F.col("course"),
-            "is_alive_list": _element("is_alive_list", F.col("first_name")),
-            "access_blocked_list": _element("access_blocked_list", F.col("first_name")),
+        lists["courses"] = F.col("course")
+    if listed is not None:
+        elements.append(
+            split_copies(listed, part_size)
+            .withColumnRenamed("programme_id", "id")
+            .join(pairs, "id")
+            .withColumn("weight", F.col("copies"))
+        )
+        earned = F.col("earned")
+        names = F.col("first_name")
+        lists |= {
+            "is_alive_list": _element("is_alive_list", names),
+            "access_blocked_list": _element("access_blocked_list", names),
             "lagging_courses_list": _element(
-                "lagging_courses_list", F.col("first_name").alias("user"), "count"
+                "lagging_courses_list", names.alias("user"), "count"
             ),
             "completed_courses_list": _element(
                 "completed_courses_list", "course_id", "course_name"
@@ -308,20 +316,49 @@ def programme_documents(t: Tables, as_of, part_size: int = PART_SIZE) -> DataFra
                 "first_name",
                 earned.alias("is_certificate_earned_course"),
             ),
-        },
-        [c for c in elements.columns if c not in ("id", "cohort", "copies", "weight")],
+        }
+    rows = elements[0]
+    for more in elements[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return collect_parts(
+        rows,
+        ["id", "cohort"],
+        {n: e for n, e in lists.items() if wants(tree, n)},
+        [c for c in rows.columns if c not in ("id", "cohort", "copies", "weight")],
         copies="copies",
         weight=F.col("weight"),
+        parents=pairs,
         part_size=part_size,
     )
-    header = _header(t, _counts(listed))
-    documents = attach_parts(header, parts, ["id", "cohort"]).withColumns(
+
+
+def programme_documents(
+    t: Tables, as_of, fields: Sequence[str] | None = None, part_size: int = PART_SIZE
+) -> DataFrame:
+    """The full contract: 32 fields with every list, in one or more parts per offering.
+
+    Each row repeats the scalar fields and the list lengths of its offering; its lists hold the share
+    of its ``part``.  A course whose modules fill several parts is repeated with each share.
+    ``fields`` selects dotted fields; what only the others need is not computed.
+    """
+    tree = field_tree(fields or PROGRAM.names)
+    rows = list_rows(t, as_of)
+    listed = {f: rows[f] for f in COUNTS if wants(tree, f)}
+    counted = {f: rows[f] for f, c in COUNTS.items() if c in tree}
+    documents = _header(t, _counts(_tagged(counted or {"": next(iter(rows.values())).limit(0)})))
+    if listed or wants(tree, "courses"):
+        parts = _parts(t, as_of, _tagged(listed) if listed else None, tree, part_size)
+        documents = attach_parts(documents, parts, ["id", "cohort"])
+    else:
+        documents = documents.withColumn("part", F.lit(0).cast("bigint"))
+    if wants(tree, "courses"):
+        repeated = F.flatten(F.array_repeat("courses", F.col("copies").cast("int")))
+        documents = documents.withColumn(
+            "courses",
+            F.when(F.col("copies") == 1, F.col("courses")).otherwise(F.sort_array(repeated)),
+        )
+    documents = documents.withColumns(
         {
-            "courses": F.when(F.col("copies") == 1, F.col("courses")).otherwise(
-                F.sort_array(
-                    F.flatten(F.array_repeat("courses", F.col("copies").cast("int")))
-                )
-            ),
             "last_updated": date_text(F.col("last_updated")),
             "duration": schedule(
                 F.col("offering_start_timestamp"), F.col("offering_end_timestamp"), as_of
@@ -337,14 +374,16 @@ def programme_documents(t: Tables, as_of, part_size: int = PART_SIZE) -> DataFra
             ),
         }
     )
-    return conform(documents, PROGRAM, ["part"])
+    return conform_selected(documents, PROGRAM, fields, ["part"])
 
 
 def program_presentation(documents: DataFrame) -> DataFrame:
     """Documents laid out flat: one row per offering, course and module."""
     course, module = F.col("course"), F.col("module")
     return (
-        documents.select("id", "cohort", "last_updated", "duration", F.explode("courses").alias("course"))
+        documents.select(
+            "id", "cohort", "last_updated", "duration", F.explode("courses").alias("course")
+        )
         .select("*", F.explode_outer("course.modules").alias("module"))
         .select(
             "id",
