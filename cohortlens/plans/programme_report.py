@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,23 +57,26 @@ def valid_offerings(t: Tables) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
 
 
-def list_rows(t: Tables, as_of) -> dict[str, DataFrame]:
-    """The elements of each programme-level list, with the number of ``copies`` of each."""
-    by_programme = F.col("programme_id_fk").alias("programme_id")
+def list_rows(t: Tables, as_of, wanted: Iterable[str] = COUNTS) -> dict[str, DataFrame]:
+    """The elements of the programme-level lists, with the number of ``copies`` of each."""
+    programme = F.col("programme_id_fk").alias("programme_id")
     once = F.lit(1).cast("bigint").alias("copies")
-    return {
-        "is_alive_list": ops.inactive_users(t).select(
-            "programme_id", F.col("inactive_user_name").alias("first_name"), once
-        ),
-        "access_blocked_list": ops.blocked_users(t).select(
-            "programme_id", F.col("blocked_user_name").alias("first_name"), once
-        ),
-        "lagging_courses_list": ops.lagging_users(t, as_of).select(
-            by_programme, "first_name", F.col("course_records_count").alias("count"), once
-        ),
-        "completed_courses_list": ops.completed_courses_counted(t),
-        "ongoing_course_progress": ops.ongoing_course_progress(t, as_of).select(
-            by_programme,
+
+    def inactive():
+        name = F.col("inactive_user_name").alias("first_name")
+        return ops.inactive_users(t).select("programme_id", name, once)
+
+    def blocked():
+        name = F.col("blocked_user_name").alias("first_name")
+        return ops.blocked_users(t).select("programme_id", name, once)
+
+    def lagging():
+        count = F.col("course_records_count").alias("count")
+        return ops.lagging_users(t, as_of).select(programme, "first_name", count, once)
+
+    def ongoing():
+        return ops.ongoing_course_progress(t, as_of).select(
+            programme,
             "course_name",
             "course_order_id",
             "module_order_id",
@@ -80,24 +84,32 @@ def list_rows(t: Tables, as_of) -> dict[str, DataFrame]:
             "first_name",
             F.col("is_badge_earned_module").alias("earned"),
             once,
-        ),
-        "programme_user_cert_status_list": ops.user_cert_status_counted(t).select(
-            by_programme,
+        )
+
+    def certificates():
+        return ops.user_cert_status_counted(t).select(
+            programme,
             "course_order_id",
             "course_name",
             "first_name",
             F.col("is_certificate_earned_course").alias("earned"),
             "copies",
-        ),
+        )
+
+    build = {
+        "is_alive_list": inactive,
+        "access_blocked_list": blocked,
+        "lagging_courses_list": lagging,
+        "completed_courses_list": lambda: ops.completed_courses_counted(t),
+        "ongoing_course_progress": ongoing,
+        "programme_user_cert_status_list": certificates,
     }
+    return {field: build[field]() for field in wanted}
 
 
 def _tagged(rows: dict[str, DataFrame]) -> DataFrame:
-    union = None
-    for field, df in rows.items():
-        df = df.withColumn("field", F.lit(field))
-        union = df if union is None else union.unionByName(df, allowMissingColumns=True)
-    return union
+    tagged = [df.withColumn("field", F.lit(field)) for field, df in rows.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
 def _counts(tagged: DataFrame) -> DataFrame:
@@ -108,11 +120,17 @@ def _counts(tagged: DataFrame) -> DataFrame:
     )
 
 
-def _header(t: Tables, counts: DataFrame) -> DataFrame:
+def _header(t: Tables, counted: dict[str, DataFrame]) -> DataFrame:
     rollup = ops.programme_rollup(t).withColumnRenamed("programme_id", "id")
-    return valid_offerings(t).join(rollup, "id", "left").join(counts, "id", "left").withColumns(
+    header = valid_offerings(t).join(rollup, "id", "left")
+    lengths = {c: F.lit(0).cast("bigint") for c in COUNTS.values()}
+    if counted:
+        rows = {f: df.select("programme_id", "copies") for f, df in counted.items()}
+        header = header.join(_counts(_tagged(rows)), "id", "left")
+        lengths = {c: zero_if_null(c) for c in COUNTS.values()}
+    return header.withColumns(
         {
-            **{c: zero_if_null(c) for c in COUNTS.values()},
+            **lengths,
             "learners_total": zero_if_null("total_learners"),
             "learners_active": zero_if_null("active_learners"),
             "pacing_ahead": zero_if_null("ahead_count"),
@@ -126,8 +144,6 @@ def _header(t: Tables, counts: DataFrame) -> DataFrame:
 
 def programs(t: Tables, as_of) -> DataFrame:
     """Flat report: one row per valid offering, with the length of each list in place of the list."""
-    rows = list_rows(t, as_of)
-    tagged = _tagged({f: df.select("programme_id", "copies") for f, df in rows.items()})
     courses = (
         ops.program_courses(t)
         .groupBy(F.col("programme_id_fk").alias("id"), F.col("cohort_identifier_fk").alias("cohort"))
@@ -136,7 +152,7 @@ def programs(t: Tables, as_of) -> DataFrame:
     # An offering without courses still lists one empty course.
     listed = F.coalesce("course_count", F.lit(1)) * F.col("copies")
     return (
-        _header(t, _counts(tagged))
+        _header(t, list_rows(t, as_of))
         .join(courses, ["id", "cohort"], "left")
         .select(
             "id",
@@ -266,21 +282,35 @@ def _course_rows(
     return nested.unionByName(without)
 
 
+def _course_census(t: Tables) -> DataFrame:
+    run = ["programme_id_fk", "cohort_schedule_id", "course_id"]
+    modules = (
+        t.module_offerings.withColumnRenamed("course_id_fk", "course_id")
+        .groupBy(*run)
+        .agg(F.count("*").alias("modules"))
+    )
+    return t.course_offerings.join(modules, run, "left").select(
+        F.col("programme_id_fk").alias("id"),
+        F.col("cohort_identifier_fk").alias("cohort"),
+        (zero_if_null("modules") + 1).alias("weight"),
+    )
+
+
 def _element(field: str, *columns) -> Column:
     value = columns[0] if len(columns) == 1 else F.struct(*columns)
     return F.when(F.col("field") == field, value)
 
 
-def _parts(t: Tables, as_of, listed: DataFrame | None, tree: dict, part_size: int) -> DataFrame:
+def _parts(t: Tables, listed: DataFrame | None, tree: dict, part_size: int) -> DataFrame:
     """The selected lists of each valid offering, by (id, cohort, part)."""
     pairs = valid_offerings(t).select("id", "cohort").distinct()
-    elements = []
-    lists = {}
+    elements, censuses, lists = [], [], {}
     if wants(tree, "courses"):
         courses = _course_rows(t, pairs, wants(tree, "courses", "modules"), part_size)
         elements.append(
             courses.withColumns({"field": F.lit("courses"), "copies": F.lit(1).cast("bigint")})
         )
+        censuses.append(_course_census(t))
         lists["courses"] = F.col("course")
     if listed is not None:
         elements.append(
@@ -289,6 +319,10 @@ def _parts(t: Tables, as_of, listed: DataFrame | None, tree: dict, part_size: in
             .join(pairs, "id")
             .withColumn("weight", F.col("copies"))
         )
+        lengths = listed.groupBy(F.col("programme_id").alias("id")).agg(
+            F.sum("copies").alias("weight")
+        )
+        censuses.append(lengths.join(pairs, "id").select("id", "cohort", "weight"))
         earned = F.col("earned")
         names = F.col("first_name")
         lists |= {
@@ -317,9 +351,10 @@ def _parts(t: Tables, as_of, listed: DataFrame | None, tree: dict, part_size: in
                 earned.alias("is_certificate_earned_course"),
             ),
         }
-    rows = elements[0]
-    for more in elements[1:]:
-        rows = rows.unionByName(more, allowMissingColumns=True)
+    rows, census = (
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+        for dfs in (elements, censuses)
+    )
     return collect_parts(
         rows,
         ["id", "cohort"],
@@ -328,6 +363,7 @@ def _parts(t: Tables, as_of, listed: DataFrame | None, tree: dict, part_size: in
         copies="copies",
         weight=F.col("weight"),
         parents=pairs,
+        census=census,
         part_size=part_size,
     )
 
@@ -342,12 +378,11 @@ def programme_documents(
     ``fields`` selects dotted fields; what only the others need is not computed.
     """
     tree = field_tree(fields or PROGRAM.names)
-    rows = list_rows(t, as_of)
-    listed = {f: rows[f] for f in COUNTS if wants(tree, f)}
-    counted = {f: rows[f] for f, c in COUNTS.items() if c in tree}
-    documents = _header(t, _counts(_tagged(counted or {"": next(iter(rows.values())).limit(0)})))
+    rows = list_rows(t, as_of, [f for f, c in COUNTS.items() if f in tree or c in tree])
+    listed = {f: df for f, df in rows.items() if f in tree}
+    documents = _header(t, {f: df for f, df in rows.items() if COUNTS[f] in tree})
     if listed or wants(tree, "courses"):
-        parts = _parts(t, as_of, _tagged(listed) if listed else None, tree, part_size)
+        parts = _parts(t, _tagged(listed) if listed else None, tree, part_size)
         documents = attach_parts(documents, parts, ["id", "cohort"])
     else:
         documents = documents.withColumn("part", F.lit(0).cast("bigint"))

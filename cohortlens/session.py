@@ -34,6 +34,7 @@ def local_session(cores: int | str = "*", name: str = "cohortlens", **extra: str
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
     )
