@@ -36,6 +36,8 @@ def local_session(cores: int | str = "*", name: str = "cohortlens", **extra: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # Test data is small; keep it on all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "16g")
     )
     for key, value in {**SETTINGS, **extra}.items():
