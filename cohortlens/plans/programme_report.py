@@ -282,17 +282,19 @@ def _course_rows(
     return nested.unionByName(without)
 
 
-def _course_census(t: Tables) -> DataFrame:
+def _course_census(t: Tables, with_modules: bool) -> DataFrame:
     run = ["programme_id_fk", "cohort_schedule_id", "course_id"]
-    modules = (
-        t.module_offerings.withColumnRenamed("course_id_fk", "course_id")
-        .groupBy(*run)
-        .agg(F.count("*").alias("modules"))
-    )
-    return t.course_offerings.join(modules, run, "left").select(
+    weight = F.lit(1)
+    courses = t.course_offerings
+    if with_modules:
+        modules = t.module_offerings.withColumnRenamed("course_id_fk", "course_id")
+        counted = modules.groupBy(*run).agg(F.count("*").alias("modules"))
+        courses = courses.join(counted, run, "left")
+        weight = zero_if_null("modules") + 1
+    return courses.select(
         F.col("programme_id_fk").alias("id"),
         F.col("cohort_identifier_fk").alias("cohort"),
-        (zero_if_null("modules") + 1).alias("weight"),
+        weight.alias("weight"),
     )
 
 
@@ -306,11 +308,12 @@ def _parts(t: Tables, listed: DataFrame | None, tree: dict, part_size: int) -> D
     pairs = valid_offerings(t).select("id", "cohort").distinct()
     elements, censuses, lists = [], [], {}
     if wants(tree, "courses"):
-        courses = _course_rows(t, pairs, wants(tree, "courses", "modules"), part_size)
+        with_modules = wants(tree, "courses", "modules")
+        courses = _course_rows(t, pairs, with_modules, part_size)
         elements.append(
             courses.withColumns({"field": F.lit("courses"), "copies": F.lit(1).cast("bigint")})
         )
-        censuses.append(_course_census(t))
+        censuses.append(_course_census(t, with_modules))
         lists["courses"] = F.col("course")
     if listed is not None:
         elements.append(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sizes are those of compressed shuffle files, so look for skew early.
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
 }
 
 SHARED_FOLDER = "spark.checkpoint.dir"
@@ -45,6 +49,11 @@ def local_session(cores: int | str = "*", name: str = "cohortlens", **extra: str
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"cohortlens-{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -55,6 +64,4 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SHARED_FOLDER} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="cohortlens-")
-    spark.conf.set(SHARED_FOLDER, folder)
-    return folder
+    return _own_folder(spark.sparkContext.applicationId)

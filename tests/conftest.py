@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from datetime import datetime
 
 import pytest
@@ -16,7 +17,12 @@ DDL = {"flag": "int"}
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
+    settings = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.maxMetadataStringLength": "10000",
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-"),
+    }
+    session = local_session(4, "tests", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

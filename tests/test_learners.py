@@ -1,0 +1,249 @@
+from datetime import datetime
+
+import pytest
+
+from cohortlens.operators import learners as ops
+from cohortlens.plans import learner_report as report
+
+P = {"programme_id": "P1", "programme_name": "One"}
+OFFER = {"programme_id": "P1", "offering_status": "Ongoing", "defined_total_course_certificates": 3}
+USER = {"user_id": "U1", "first_name": "Ana", "email": "ana@example.org"}
+FACT = {"user_id": "U1", "programme_id": "P1", "learner_category": "Ahead"}
+RUNS = [
+    {
+        "programme_id_fk": "P1",
+        "cohort_schedule_id": r,
+        "course_id": "C1",
+        "course_offering_start_timestamp": datetime(1998, 5, 6),
+        "total_badges": b,
+    }
+    for r, b in (("R1", 4), ("R2", None))
+]
+MODULES = [
+    {
+        "programme_id_fk": "P1",
+        "cohort_schedule_id": r,
+        "course_id_fk": "C1",
+        "module_id": m,
+        "module_total_points_defined": 9,
+        "module_offering_start_timestamp": datetime(1998, 5, 7),
+    }
+    for r, m in (("R1", "M1"), ("R2", "M2"))
+]
+COURSE_FACTS = [
+    {
+        "user_id": "U1",
+        "programme_id_fk": "P1",
+        "cohort_identifier_fk": r,
+        "course_id": "C1",
+        "is_certificate_earned_course": c,
+        "time_spent_seconds_course": 400_000,
+    }
+    for r, c in (("R1", True), ("R2", None))
+]
+MODULE_FACTS = [
+    {
+        "user_id": "U1",
+        "programme_id_fk": "P1",
+        "cohort_identifier_fk": r,
+        "course_id_fk": "C1",
+        "module_id": m,
+        "engagement_score_module_percentage": 33.335,
+    }
+    for r, m in (("R1", "M1"), ("R2", "M2"))
+]
+NAMES = dict(
+    courses=[{"course_id": "C1", "course_name": "Logic"}],
+    modules=[{"module_id": m, "module_name": f"name {m}"} for m in ("M1", "M2")],
+)
+STAR = dict(
+    programmes=[P],
+    programme_offerings=[OFFER],
+    users=[USER],
+    programme_facts=[FACT],
+    course_offerings=RUNS,
+    module_offerings=MODULES,
+    course_facts=COURSE_FACTS,
+    module_facts=MODULE_FACTS,
+    **NAMES,
+)
+
+
+def documents(t, *args, **options):
+    found = report.learner_progress_documents(t, *args, **options).collect()
+    return [r.asDict(recursive=True) for r in found]
+
+
+def test_full_document(tables):
+    [doc] = documents(tables(**STAR))
+    [learner] = doc.pop("learner_data")
+    courses = learner.pop("courses")
+    assert doc == {
+        "part": 0,
+        "id": "P1",
+        "name": "One",
+        "status": "Ongoing",
+        "completion_certificates": 0,
+        "distinction_certificates": 0,
+        "performance": 0.0,
+        "total_course_certificates": 3,
+        "total_badges": 4,
+    }
+    assert learner == {
+        "id": "U1",
+        "name": "Ana",
+        "email": "ana@example.org",
+        "status": "Ahead",
+        "progress": 0.0,
+        "engagement": 0.0,
+        "performance": 0.0,
+        "time_spent": "00:00:00",
+        "achieved_points": 0,
+        "badges": 0,
+        "total_points": 0,
+        "certificates": {"completion": 0, "distinction": 0},
+        "course_certificates_earned": 1,
+        "last_active": None,
+    }
+    # Modules belong to (learner, course): each run of the course lists those of both runs.
+    modules = [
+        {
+            "id": m,
+            "name": f"name {m}",
+            "engagement": 33.34,
+            "progress": 0.0,
+            "performance": 0.0,
+            "badge": False,
+            "bonus_points": 0,
+            "time_spent": "00:00:00",
+            "achieved_points": 0,
+            "total_points": 9,
+            "start_date": "07 May, 1998",
+        }
+        for m in ("M1", "M2")
+    ]
+    assert [c.pop("modules") for c in courses] == [modules, modules]
+    assert sorted(c.pop("total_badges") or 0 for c in courses) == [0, 4]
+    assert sorted(c.pop("certificate_earned") for c in courses) == [False, True]
+    assert courses == [
+        {
+            "id": "C1",
+            "name": "Logic",
+            "progress": 0.0,
+            "engagement": 0.0,
+            "performance": 0.0,
+            "time_spent": "111:06:40",
+            "achieved_points": 0,
+            "total_points": None,
+            "certificate_pass_percentage": None,
+            "start_date": "06 May, 1998",
+        }
+    ] * 2
+
+
+def test_duplicate_snapshots_are_kept(tables, rows):
+    facts = [{**FACT, "completion_status": True, "distinction_status": None}] * 2
+    t = tables(programmes=[P], users=[USER], programme_facts=facts)
+    assert rows(ops.programme_performance(t)) == [("P1", 2, 0, 0.0)]
+    assert rows(report.learner_progress(t), "learner_count") == [(2,)]
+    [doc] = documents(t)
+    assert [x["id"] for x in doc["learner_data"]] == ["U1", "U1"]
+    assert doc["learner_data"][0]["certificates"] == {"completion": 1, "distinction": 0}
+
+
+def test_null_counts_as_zero_performance(tables, rows):
+    facts = [{**FACT, "performance_score_percentage": v} for v in (100.0, None)]
+    assert rows(ops.programme_performance(tables(programme_facts=facts)), "performance") == [(50.0,)]
+
+
+def test_programme_info(tables, rows):
+    t = tables(
+        programmes=[P, {"programme_id": "P2"}, {"programme_id": "P3"}],
+        programme_offerings=[
+            {**OFFER, "is_valid_offering": v, "offering_status": str(v)} for v in (0, 1, None)
+        ]
+        + [{"programme_id": "P3"}],
+        course_offerings=RUNS + [{"programme_id_fk": "P3"}, {"total_badges": 9}],
+    )
+    info = ops.programme_info(t)
+    assert rows(info, "programme_id", "offering_status", "total_badges") == [
+        ("P1", "0", 4),
+        ("P1", "1", 4),
+        ("P1", "None", 4),
+        ("P2", None, 0),
+        ("P3", None, 0),
+    ]
+
+
+def test_unknown_programme_has_no_document(tables):
+    assert documents(tables(**STAR), "P9") == []
+
+
+def test_programme_without_learners_has_an_empty_list(tables):
+    [doc] = documents(tables(programmes=[P]), "P1")
+    assert doc["learner_data"] == [] and doc["status"] is None
+
+
+def test_learner_without_courses(tables):
+    [doc] = documents(tables(programmes=[P], users=[USER], programme_facts=[FACT]))
+    assert [x["courses"] for x in doc["learner_data"]] == [[]]
+
+
+def test_single_mode_takes_the_first_offering(tables):
+    offers = [{**OFFER, "offering_status": s} for s in ("b", "a", "c")]
+    t = tables(**{**STAR, "programme_offerings": offers})
+    assert [d["status"] for d in documents(t, "P1")] == ["a"]
+    assert sorted(d["status"] for d in documents(t)) == ["a", "b", "c"]
+
+
+def test_single_mode_equals_the_filtered_batch(tables):
+    def of(row):
+        key = "programme_id" if "programme_id" in row else "programme_id_fk"
+        return {**row, key: "P2"}
+
+    two = {
+        k: v + [of(r) for r in v if "programme_id" in r or "programme_id_fk" in r]
+        for k, v in STAR.items()
+    }
+    t = tables(**two)
+    batch = {d["id"]: d for d in documents(t)}
+    assert set(batch) == {"P1", "P2"}
+    for programme, doc in batch.items():
+        assert documents(t, programme) == [doc]
+
+
+@pytest.mark.parametrize("part_size", [1, 3])
+def test_parts_hold_everything(tables, part_size):
+    facts = {
+        "users": [{**USER, "user_id": f"U{i}"} for i in range(4)],
+        "programme_facts": [{**FACT, "user_id": f"U{i}"} for i in range(4)],
+        "course_facts": [{**f, "user_id": f"U{i}"} for i in range(4) for f in COURSE_FACTS],
+        "module_facts": [{**f, "user_id": f"U{i}"} for i in range(4) for f in MODULE_FACTS],
+    }
+    t = tables(**{**STAR, **facts})
+
+    def leaves(docs):
+        found = set()
+        for d in docs:
+            for x in d["learner_data"]:
+                for c in x["courses"]:
+                    found |= {(x["id"], c["total_badges"], m["id"]) for m in c["modules"]}
+        return found
+
+    whole, split = documents(t), documents(t, part_size=part_size)
+    assert len(whole) == 1 and len(split) > 1
+    assert leaves(whole) == leaves(split) and len(leaves(whole)) == 16
+
+
+def test_selected_fields(tables):
+    t = tables(**STAR)
+    [doc] = documents(t, fields=["name", "total_badges"])
+    assert doc == {"part": 0, "name": "One", "total_badges": 4}
+    [doc] = documents(t, fields=["learner_data.name", "learner_data.certificates.completion"])
+    assert doc == {"part": 0, "learner_data": [{"name": "Ana", "certificates": {"completion": 0}}]}
+    [doc] = documents(t, fields=["learner_data.courses.name"])
+    assert doc["learner_data"] == [{"courses": [{"name": "Logic"}] * 2}]
+    with pytest.raises(ValueError, match="unknown field"):
+        documents(t, fields=["learner_data.nickname"])
+    with pytest.raises(ValueError, match="unknown field"):
+        documents(t, fields=["nickname"])
