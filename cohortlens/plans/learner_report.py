@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,12 @@ def _header(t: Tables) -> DataFrame:
     )
 
 
+def _first_offerings(header: DataFrame) -> DataFrame:
+    order = ["status", *(c for c in header.columns if c not in ("id", "status"))]
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(*order))
+    return header.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
+
+
 def learner_progress(t: Tables) -> DataFrame:
     """Flat header per programme offering, with the number of learners listed."""
     learners = (
@@ -198,21 +204,22 @@ def learner_progress_documents(
     t: Tables,
     programme_id: str | None = None,
     fields: Sequence[str] | None = None,
+    first_only: bool = False,
     part_size: int = PART_SIZE,
 ) -> DataFrame:
     """The full contract: nine fields with the nested learners, in one or more parts per offering.
 
     With ``programme_id`` the answer is that programme's first offering by status, or no row if the
-    programme is unknown.  Without it every programme and offering is returned.  ``fields`` selects
-    dotted fields; what only the others need is not computed.
+    programme is unknown.  Without it every programme is returned, with all its offerings or, if
+    ``first_only``, with the first.  ``fields`` selects dotted fields; what only the others need is
+    not computed.
     """
     tree = field_tree(fields or LEARNER_PROGRESS.names)
     if programme_id is not None:
         t = t.for_programme(programme_id)
     documents = _header(t)
-    if programme_id is not None:
-        first = ["status", *(c for c in documents.columns if c != "status")]
-        documents = documents.orderBy(*first).limit(1)
+    if first_only or programme_id is not None:
+        documents = _first_offerings(documents)
     if wants(tree, "learner_data"):
         parts = collect_parts(
             learner_documents(t, tree["learner_data"], part_size).withColumnRenamed(

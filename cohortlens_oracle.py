@@ -13,7 +13,6 @@ from cohortlens.sources.derived import RECIPES, inputs_of
 
 AS_OF = "1999-01-01 00:00:00"
 NOW = f"TIMESTAMP '{AS_OF}'"
-ONE_PROGRAMME = "P7"
 
 
 def _r(x: str, places: int = 2) -> str:
@@ -433,12 +432,12 @@ LEARNER_PRESENTATION = f"""
       ON m.programme_id = c.programme_id AND m.user_id = c.user_id
      AND m.course_id_fk = c.course_id"""
 
-# Offerings of one programme that agree in every header field cannot be told apart; one is kept.
-ONE_HEADER = f"""
-    SELECT * FROM b_header WHERE id = '{ONE_PROGRAMME}'
-    ORDER BY status NULLS FIRST, id, name, completion_certificates, distinction_certificates,
-             performance, total_course_certificates, total_badges LIMIT 1"""
-EXTRA["b_one_header"] = ONE_HEADER
+# Offerings that agree in every header field cannot be told apart; one of them is kept.
+FIRST_HEADER = """
+    SELECT * FROM b_header QUALIFY 1 = ROW_NUMBER() OVER (
+      PARTITION BY id ORDER BY status NULLS FIRST, name NULLS FIRST, completion_certificates,
+      distinction_certificates, performance, total_course_certificates, total_badges)"""
+EXTRA["b_first_header"] = FIRST_HEADER
 
 TYPED_LEARNER = f"""
     SELECT programme_id, user_id AS id, name, email, status, progress, engagement, performance,
@@ -502,7 +501,7 @@ _STATEMENTS = {
         SELECT *, (SELECT COUNT(*) FROM b_learners l WHERE l.programme_id = h.id) AS learner_count
         FROM b_header h""",
     "learner_presentation": LEARNER_PRESENTATION,
-    "learner_progress_single": """
+    "learner_progress_first": """
         SELECT h.id, h.name, h.status,
                CAST(h.completion_certificates AS INTEGER) AS completion_certificates,
                CAST(h.distinction_certificates AS INTEGER) AS distinction_certificates,
@@ -511,7 +510,7 @@ _STATEMENTS = {
                l.name AS learner_name,
                (SELECT COUNT(*) FROM b_learner_courses c
                 WHERE c.programme_id = h.id AND c.user_id = l.user_id) AS course_count
-        FROM b_one_header h JOIN b_learners l ON l.programme_id = h.id""",
+        FROM b_first_header h JOIN b_learners l ON l.programme_id = h.id""",
     "contract_conform": TYPED_LEARNER,
     "contract_violations": VIOLATIONS,
     "field_selection": f"""
