@@ -31,6 +31,32 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Shuffles start with one partition per this many input bytes; adaptive execution merges small ones.
+BYTES_PER_PARTITION = 256 * 1024 * 1024
+MOST_PARTITIONS = 32_000
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SIZED = "spark.cohortlens.sizedPartitions"
+
+
+def size_shuffles(spark: SparkSession, folder: str) -> None:
+    """Let shuffles start with enough partitions for the data under ``folder``.
+
+    A number the user has set is left alone.
+    """
+    ours, current = spark.conf.get(_SIZED, None), spark.conf.get(_INITIAL, None)
+    if current is not None and current != ours:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    wanted = min(files.getContentSummary(path).getLength() // BYTES_PER_PARTITION, MOST_PARTITIONS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(_INITIAL, str(wanted))
+        spark.conf.set(_SIZED, str(wanted))
+    elif current is not None:
+        spark.conf.unset(_INITIAL)
+        spark.conf.unset(_SIZED)
+
+
 def local_session(cores: int | str = "*", name: str = "cohortlens", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (

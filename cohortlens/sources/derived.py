@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.session import configure
+from cohortlens.session import configure, size_shuffles
 from cohortlens.sources.tables import Tables
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -41,8 +41,10 @@ RECIPES: dict[str, str] = {
         programme_name="n_name",
     ),
     "DimProgrammeOffering": _view(
-        "{nation} JOIN {region} ON n_regionkey=r_regionkey CROSS JOIN (VALUES (1),(2)) AS "
-        "t(c) WHERE n_nationkey<>24 AND (c=1 OR n_nationkey%7=0)",
+        "(SELECT n_nationkey, n_regionkey, 1 AS c FROM {nation} UNION ALL "
+        "SELECT n_nationkey, n_regionkey, 2 AS c FROM {nation}) AS n "
+        "JOIN {region} ON n_regionkey=r_regionkey "
+        "WHERE n_nationkey<>24 AND (c=1 OR n_nationkey%7=0)",
         programme_id="'P'||CAST(n_nationkey AS STRING)",
         cohort_identifier="'COH'||CAST(n_nationkey AS STRING)||'-'||CAST(c AS STRING)",
         is_valid_offering="CASE WHEN n_nationkey%6=5 THEN 0 ELSE 1 END",
@@ -224,6 +226,7 @@ def inputs_of(recipe: str) -> list[str]:
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables as lazy views over ``<sf_dir>/<raw table>.parquet``."""
     configure(spark)
+    size_shuffles(spark, sf_dir)
     frames: dict[str, DataFrame] = {}
 
     def resolve(name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.schemas import INPUTS
+from cohortlens.session import configure, size_shuffles
 
 # Column that carries the programme in each table that has one (used by single-programme mode).
 PROGRAMME_COLUMN = {
@@ -84,6 +85,7 @@ class Tables:
 
 def parquet_tables(spark: SparkSession, root: str) -> Tables:
     """One Parquet dataset per table: ``<root>/<TableName>``."""
+    size_shuffles(configure(spark), root)
     return Tables(lambda name: spark.read.parquet(f"{root.rstrip('/')}/{name}"))
 
 

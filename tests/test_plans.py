@@ -112,7 +112,7 @@ def test_a_hot_learner_is_split(spark, conf, star):
     name = "FactProgrammePerformanceSnapshot"
     rows = frames[name].withColumn("is_alive", F.lit(False))
     one = rows.filter("user_id = 'U1'").limit(1)
-    copies = spark.range(0, 20_000, 1, 8).crossJoin(F.broadcast(one))
+    copies = one.withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).repartition(8)
     copies = copies.withColumn("programme_id", F.sha1(F.col("id").cast("string")))
     frames[name] = rows.unionAll(copies.select(*rows.columns))
     df = programmes.inactive_users(frame_tables(frames))

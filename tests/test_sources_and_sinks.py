@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.schemas import INPUTS
-from cohortlens.session import SHARED_FOLDER, shared_folder
+from cohortlens.session import SHARED_FOLDER, shared_folder, size_shuffles
 from cohortlens.sinks import snapshot, write_report, write_tables
 from cohortlens.sources import catalog_tables, derived_tables, frame_tables, parquet_tables
 
@@ -120,3 +120,24 @@ def test_shared_folder_is_the_named_one():
     assert made and shared_folder(session(None, "local[2]")) == made
     with pytest.raises(ValueError, match=SHARED_FOLDER):
         shared_folder(session(None, "yarn"))
+
+
+def test_shuffles_are_sized_by_the_input(spark, tmp_path, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    (tmp_path / "data").write_bytes(b"x" * 1000)
+    assert spark.conf.get(key, None) is None
+    monkeypatch.setattr("cohortlens.session.BYTES_PER_PARTITION", 10)
+    size_shuffles(spark, str(tmp_path))
+    assert spark.conf.get(key) == "100"
+    monkeypatch.setattr("cohortlens.session.BYTES_PER_PARTITION", 100)
+    size_shuffles(spark, str(tmp_path))
+    assert spark.conf.get(key) == "10"
+    monkeypatch.undo()
+    size_shuffles(spark, str(tmp_path))
+    assert spark.conf.get(key, None) is None
+    try:
+        spark.conf.set(key, "77")
+        size_shuffles(spark, str(tmp_path))
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key)
