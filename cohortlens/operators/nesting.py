@@ -1,4 +1,4 @@
-"""Gather child rows into lists of bounded length.
+"""Bring parents and children together: as flat rows, or as lists of bounded length.
 
 A parent's list may hold any share of all rows, so it is delivered in *parts*: one row per
 (parent, part) whose lists hold about ``part_size`` elements.  Most parents have the single part 0.
@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PART_SIZE = 10_000
 # Parents that are spread over several tasks.  At most this many rows are ever broadcast, and a
@@ -107,3 +108,28 @@ def attach_parts(parents: DataFrame, parts: DataFrame, keys: Sequence[str]) -> D
     renamed = parts.withColumnsRenamed({k: f"_{k}" for k in keys})
     matched = [parents[k].eqNullSafe(renamed[f"_{k}"]) for k in keys]
     return parents.join(renamed, matched).drop(*(f"_{k}" for k in keys))
+
+
+def expand(parents: DataFrame, children: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of parents with their children, for parents with any share of the children.
+
+    A left join cannot split a large parent's children over tasks; an inner join can.  So the match is
+    an inner join, and the parents without children are added.
+    """
+    keys = list(keys)
+    childless = parents.join(children.select(*keys).distinct(), keys, "left_anti")
+    return parents.join(children, keys).unionByName(childless, allowMissingColumns=True)
+
+
+def record(contract: T.StructType, **renamed: Column) -> Column:
+    """A struct of the contract's fields, from like-named columns or from ``renamed``."""
+    return F.struct(*(renamed.get(n, F.col(n)).alias(n) for n in contract.names))
+
+
+def prefixed(prefix: str, contract: T.StructType, skip: Sequence[str] = (), **renamed: Column):
+    """The contract's fields as typed columns ``<prefix>_<field>``, from like-named columns."""
+    return [
+        renamed.get(f.name, F.col(f.name)).cast(f.dataType).alias(f"{prefix}_{f.name}")
+        for f in contract.fields
+        if f.name not in skip
+    ]

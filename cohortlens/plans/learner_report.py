@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,22 @@ from cohortlens.operators.contract import (
     violations,
     wants,
 )
-from cohortlens.operators.nesting import PART_SIZE, attach_parts, collect_parts
-from cohortlens.schemas import CERTIFICATES, INT, LEARNER, LEARNER_PROGRESS
+from cohortlens.operators.nesting import (
+    PART_SIZE,
+    attach_parts,
+    collect_parts,
+    expand,
+    prefixed,
+    record,
+)
+from cohortlens.schemas import (
+    CERTIFICATES,
+    INT,
+    LEARNER,
+    LEARNER_COURSE,
+    LEARNER_MODULE,
+    LEARNER_PROGRESS,
+)
 from cohortlens.sources.tables import Tables
 
 LEARNER_KEY = ["programme_id", "user_id"]
@@ -79,25 +93,46 @@ def _censuses(t: Tables) -> dict[str, DataFrame]:
     }
 
 
+def _presented_modules() -> dict[str, Column]:
+    """Fields of a module that differ from the columns of the block."""
+    return {
+        "id": F.col("module_id"),
+        "name": F.col("module_name"),
+        "time_spent": time_spent_text(F.col("time_spent_seconds_module")),
+        "total_points": F.col("module_total_points_defined"),
+        "start_date": date_text(F.col("module_offering_start_timestamp")),
+    }
+
+
+def _presented_courses() -> dict[str, Column]:
+    """Fields of a course that differ from the columns of the block."""
+    return {
+        "id": F.col("course_id"),
+        "name": F.col("course_name"),
+        "time_spent": time_spent_text(F.col("time_spent_seconds_course")),
+        "total_points": F.col("course_total_points_defined"),
+        "start_date": date_text(F.col("course_offering_start_timestamp")),
+    }
+
+
+def _presented_learners() -> dict[str, Column]:
+    """Fields of a learner that differ from the columns of the block."""
+    return {
+        "id": F.col("user_id"),
+        "time_spent": time_spent_text(F.col("time_spent_seconds")),
+        "last_active": date_text(F.col("last_active")),
+        "completion": F.col("completion_certificate"),
+        "distinction": F.col("distinction_certificate"),
+    }
+
+
 def _module_parts(t: Tables, part_size: int) -> DataFrame:
     modules = ops.learner_modules(t).select(
         "programme_id",
         "user_id",
         F.col("course_id_fk").alias("course_id"),
         "cohort_schedule_id",
-        F.struct(
-            F.col("module_id").alias("id"),
-            F.col("module_name").alias("name"),
-            "engagement",
-            "progress",
-            "performance",
-            "badge",
-            "bonus_points",
-            time_spent_text(F.col("time_spent_seconds_module")).alias("time_spent"),
-            "achieved_points",
-            F.col("module_total_points_defined").alias("total_points"),
-            date_text(F.col("module_offering_start_timestamp")).alias("start_date"),
-        ).alias("module"),
+        record(LEARNER_MODULE, **_presented_modules()).alias("module"),
     )
     return collect_parts(
         modules.na.drop(subset=COURSE_KEY),
@@ -122,21 +157,7 @@ def _course_parts(t: Tables, with_modules: bool, part_size: int) -> DataFrame:
         *LEARNER_KEY,
         "cohort_schedule_id",
         "part",
-        F.struct(
-            F.col("course_id").alias("id"),
-            F.col("course_name").alias("name"),
-            "progress",
-            "engagement",
-            "performance",
-            "certificate_earned",
-            time_spent_text(F.col("time_spent_seconds_course")).alias("time_spent"),
-            "achieved_points",
-            F.col("course_total_points_defined").alias("total_points"),
-            "total_badges",
-            "certificate_pass_percentage",
-            date_text(F.col("course_offering_start_timestamp")).alias("start_date"),
-            "modules",
-        ).alias("course"),
+        record(LEARNER_COURSE, **_presented_courses()).alias("course"),
     )
     return collect_parts(
         courses.na.drop(subset=LEARNER_KEY),
@@ -176,25 +197,10 @@ def learner_documents(t: Tables, tree: dict | None = None, part_size: int = PART
     return learners.select(
         "programme_id",
         "learner_part",
-        F.struct(
-            F.col("user_id").alias("id"),
-            "name",
-            "email",
-            "status",
-            "progress",
-            "engagement",
-            "performance",
-            time_spent_text(F.col("time_spent_seconds")).alias("time_spent"),
-            "achieved_points",
-            "badges",
-            "total_points",
-            F.struct(
-                F.col("completion_certificate").alias("completion"),
-                F.col("distinction_certificate").alias("distinction"),
-            ).alias("certificates"),
-            "courses",
-            "course_certificates_earned",
-            date_text(F.col("last_active")).alias("last_active"),
+        record(
+            LEARNER,
+            **_presented_learners(),
+            certificates=record(CERTIFICATES, **_presented_learners()),
         ).alias("learner"),
         (F.col("part_weight") + 1).alias("weight"),
     )
@@ -239,62 +245,63 @@ def learner_progress_documents(
     return conform_selected(documents, LEARNER_PROGRESS, fields, ["part"])
 
 
-def learner_presentation(documents: DataFrame) -> DataFrame:
-    """Documents laid out flat: one row per offering, learner, course and module."""
+def learner_presentation(t: Tables) -> DataFrame:
+    """The presented report as flat rows: one per offering, learner, course and module."""
+    modules = ops.learner_modules(t).withColumnRenamed("course_id_fk", "course_id")
+    modules = modules.na.drop(subset=COURSE_KEY).select(
+        *COURSE_KEY, *prefixed("m", LEARNER_MODULE, **_presented_modules())
+    )
+    courses = ops.learner_courses(t).select(
+        *COURSE_KEY, *prefixed("c", LEARNER_COURSE, ["modules"], **_presented_courses())
+    )
+    learners = ops.learner_data(t).select(
+        *LEARNER_KEY, *prefixed("l", LEARNER_ROW, **_presented_learners())
+    )
+    taken = expand(courses, modules, COURSE_KEY).drop("course_id")
+    rows = expand(learners, taken, LEARNER_KEY).withColumnRenamed("programme_id", "id")
+    header = ops.programme_info(t).select(
+        F.col("programme_id").alias("id"), F.col("offering_status").alias("status")
+    )
+    return rows.drop("user_id").join(header, "id")
 
-    def fields(name: str, prefix: str, skip: tuple[str, ...] = ()):
-        return [
-            F.col(f"{name}.{f}").alias(f"{prefix}_{f}")
-            for f in kinds[name].names
-            if f not in skip
-        ]
 
-    kinds = {"learner": documents.schema["learner_data"].dataType.elementType}
-    kinds["course"] = kinds["learner"]["courses"].dataType.elementType
-    kinds["module"] = kinds["course"]["modules"].dataType.elementType
+def flat_learners(documents: DataFrame) -> DataFrame:
+    """Documents laid out as :func:`learner_presentation` does."""
+    kinds = {"l": documents.schema["learner_data"].dataType.elementType}
+    kinds["c"] = kinds["l"]["courses"].dataType.elementType
+    kinds["m"] = kinds["c"]["modules"].dataType.elementType
+    nested = ("certificates", "courses", "modules")
     return (
-        documents.select("id", "status", F.explode("learner_data").alias("learner"))
-        .select("*", F.explode_outer("learner.courses").alias("course"))
-        .select("*", F.explode_outer("course.modules").alias("module"))
+        documents.select("id", "status", F.explode("learner_data").alias("l"))
+        .select("*", F.explode_outer("l.courses").alias("c"))
+        .select("*", F.explode_outer("c.modules").alias("m"))
         .select(
             "id",
             "status",
-            *fields("learner", "l", ("certificates", "courses")),
-            F.col("learner.certificates.completion").alias("l_completion"),
-            F.col("learner.certificates.distinction").alias("l_distinction"),
-            *fields("course", "c", ("modules",)),
-            *fields("module", "m"),
+            *(
+                F.col(f"{level}.{n}").alias(f"{level}_{n}")
+                for level, kind in kinds.items()
+                for n in kind.names
+                if n not in nested
+            ),
+            *(F.col(f"l.certificates.{n}").alias(f"l_{n}") for n in CERTIFICATES.names),
         )
     )
 
 
+LEARNER_ROW = T.StructType(
+    [f for f in LEARNER.fields if f.name not in ("courses", "certificates")] + CERTIFICATES.fields
+)
+
+
 def learner_rows(t: Tables) -> DataFrame:
     """Flat learners in the contract's fields, not yet converted to its types."""
+    fields = _presented_learners()
     return ops.learner_data(t).select(
-        "programme_id",
-        F.col("user_id").alias("id"),
-        "name",
-        "email",
-        "status",
-        "progress",
-        "engagement",
-        "performance",
-        time_spent_text(F.col("time_spent_seconds")).alias("time_spent"),
-        "achieved_points",
-        "badges",
-        "total_points",
-        F.col("completion_certificate").alias("completion"),
-        F.col("distinction_certificate").alias("distinction"),
-        "course_certificates_earned",
-        date_text(F.col("last_active")).alias("last_active"),
+        "programme_id", *(fields.get(n, F.col(n)).alias(n) for n in LEARNER_ROW.names)
     )
 
 
-LEARNER_ROW = T.StructType(
-    [f for f in LEARNER.fields if f.name not in ("courses", "certificates")] + CERTIFICATES.fields
-)
-
-
 def conformed_learners(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Typed flat learners that keep the contract, and the untyped ones that break it."""
     required = [f.name for f in LEARNER_ROW.fields if not f.nullable]

@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 from cohortlens.functions import date_text, schedule, zero_if_null
 from cohortlens.operators import programmes as ops
 from cohortlens.operators.contract import conform_selected, field_tree, violations, wants
-from cohortlens.operators.nesting import PART_SIZE, attach_parts, collect_parts, split_copies
-from cohortlens.schemas import INT, PROGRAM
+from cohortlens.operators.nesting import (
+    PART_SIZE,
+    attach_parts,
+    collect_parts,
+    expand,
+    prefixed,
+    record,
+    split_copies,
+)
+from cohortlens.schemas import INT, PROGRAM, PROGRAM_COURSE, PROGRAM_MODULE
 from cohortlens.sources.tables import Tables
 
 # List of the document -> count of the flat report.
@@ -202,23 +210,45 @@ def program_duration(t: Tables, as_of) -> DataFrame:
     )
 
 
+RUN = ["programme_id_fk", "cohort_schedule_id", "course_id"]
+
+
+def _presented_dates(kind: str) -> dict[str, Column]:
+    return {
+        f"{end}_date": date_text(F.col(f"{kind}_offering_{end}_timestamp"))
+        for end in ("start", "end")
+    }
+
+
+def _presented_modules() -> dict[str, Column]:
+    """Fields of a module that differ from the stored columns."""
+    return {
+        **_presented_dates("module"),
+        "module_total_points": F.col("module_total_points_defined"),
+        "issue_badges": F.col("module_issue_badges_flag"),
+        "badge_percentage": F.col("module_badge_percentage"),
+        "allowed_quiz_attempts": F.col("module_allowed_quiz_attempts"),
+        "sla_ita_attendance_points": F.col("module_sla_ita_attendance_points"),
+        "badge_bonus_points": F.col("module_badge_bonus_points"),
+    }
+
+
+def _presented_courses() -> dict[str, Column]:
+    """Fields of a course that differ from the stored columns."""
+    return {
+        **_presented_dates("course"),
+        "course_total_points": F.col("course_total_points_defined"),
+        "issue_badges": F.col("course_issue_badges_flag"),
+        "badge_percentage": F.col("course_badge_percentage"),
+        "allowed_quiz_attempts": F.col("course_allowed_quiz_attempts"),
+        "badge_bonus_points": F.col("course_badge_bonus_points"),
+        "sla_ita_attendance_points": F.col("course_sla_ita_attendance_points"),
+    }
+
+
 def _module_parts(t: Tables, run: list[str], part_size: int) -> DataFrame:
     modules = ops.program_modules(t).withColumnRenamed("course_id_fk", "course_id").select(
-        *run,
-        "module_id",
-        F.struct(
-            "module_id",
-            "module_name",
-            "cohort_schedule_id",
-            date_text(F.col("module_offering_start_timestamp")).alias("start_date"),
-            date_text(F.col("module_offering_end_timestamp")).alias("end_date"),
-            F.col("module_total_points_defined").alias("module_total_points"),
-            F.col("module_issue_badges_flag").alias("issue_badges"),
-            F.col("module_badge_percentage").alias("badge_percentage"),
-            F.col("module_allowed_quiz_attempts").alias("allowed_quiz_attempts"),
-            F.col("module_sla_ita_attendance_points").alias("sla_ita_attendance_points"),
-            F.col("module_badge_bonus_points").alias("badge_bonus_points"),
-        ).alias("module"),
+        *run, record(PROGRAM_MODULE, **_presented_modules()).alias("module")
     )
     return collect_parts(
         modules.na.drop(subset=run),
@@ -237,7 +267,7 @@ def _course_rows(
     t: Tables, pairs: DataFrame, with_modules: bool, part_size: int
 ) -> DataFrame:
     """(id, cohort, course, weight) per course of the given offerings, modules nested."""
-    run = ["programme_id_fk", "cohort_schedule_id", "course_id"]
+    run = RUN
     courses = (
         ops.program_courses(t)
         .withColumnRenamed("cohort_identifier_fk", "cohort")
@@ -253,21 +283,7 @@ def _course_rows(
     nested = offered.select(
         "id",
         "cohort",
-        F.struct(
-            "course_id",
-            "course_name",
-            date_text(F.col("course_offering_start_timestamp")).alias("start_date"),
-            date_text(F.col("course_offering_end_timestamp")).alias("end_date"),
-            F.col("course_total_points_defined").alias("course_total_points"),
-            F.col("course_issue_badges_flag").alias("issue_badges"),
-            F.col("course_badge_percentage").alias("badge_percentage"),
-            F.col("course_allowed_quiz_attempts").alias("allowed_quiz_attempts"),
-            F.col("course_badge_bonus_points").alias("badge_bonus_points"),
-            F.col("course_sla_ita_attendance_points").alias("sla_ita_attendance_points"),
-            "cohort_schedule_id",
-            "certificate_pass_percentage",
-            "modules",
-        ).alias("course"),
+        record(PROGRAM_COURSE, **_presented_courses()).alias("course"),
         (F.size("modules") + 1).cast("bigint").alias("weight"),
     )
     # An offering without courses lists one course whose fields are null and that has no modules.
@@ -283,7 +299,7 @@ def _course_rows(
 
 
 def _course_census(t: Tables, with_modules: bool) -> DataFrame:
-    run = ["programme_id_fk", "cohort_schedule_id", "course_id"]
+    run = RUN
     weight = F.lit(1)
     courses = t.course_offerings
     if with_modules:
@@ -415,9 +431,44 @@ def programme_documents(
     return conform_selected(documents, PROGRAM, fields, ["part"])
 
 
-def program_presentation(documents: DataFrame) -> DataFrame:
-    """Documents laid out flat: one row per offering, course and module."""
-    course, module = F.col("course"), F.col("module")
+def program_presentation(t: Tables, as_of) -> DataFrame:
+    """The presented report as flat rows: one per offering, course and module."""
+    modules = (
+        ops.program_modules(t)
+        .withColumnRenamed("course_id_fk", "course_id")
+        .na.drop(subset=RUN)
+        .select(*RUN, *prefixed("m", PROGRAM_MODULE, **_presented_modules()))
+    )
+    courses = ops.program_courses(t).select(
+        F.col("programme_id_fk").alias("id"),
+        F.col("cohort_identifier_fk").alias("cohort"),
+        *RUN,
+        *prefixed("c", PROGRAM_COURSE, ["modules"], **_presented_courses()),
+    )
+    # Equal offerings are one document that repeats its courses, so each copy stands for itself here.
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    offerings = valid_offerings(t).withColumn("copy", copies).select(
+        "id",
+        "cohort",
+        date_text(F.col("last_updated")).alias("last_updated"),
+        schedule(
+            F.col("offering_start_timestamp"), F.col("offering_end_timestamp"), as_of
+        ).alias("duration"),
+    )
+    rows = expand(offerings, expand(courses, modules, RUN).drop(*RUN), ["id", "cohort"])
+    return rows.select(
+        "id",
+        "cohort",
+        "last_updated",
+        "duration.time_elapsed",
+        "duration.remaining_time",
+        *(c for c in rows.columns if c.startswith(("c_", "m_"))),
+    )
+
+
+def flat_courses(documents: DataFrame) -> DataFrame:
+    """Documents laid out as :func:`program_presentation` does."""
+    nested = documents.schema["courses"].dataType.elementType
     return (
         documents.select(
             "id", "cohort", "last_updated", "duration", F.explode("courses").alias("course")
@@ -427,25 +478,21 @@ def program_presentation(documents: DataFrame) -> DataFrame:
             "id",
             "cohort",
             "last_updated",
-            F.col("duration.time_elapsed").alias("time_elapsed"),
-            F.col("duration.remaining_time").alias("remaining_time"),
+            "duration.time_elapsed",
+            "duration.remaining_time",
             *(
-                course[f.name].alias(f"c_{f.name}")
-                for f in documents.schema["courses"].dataType.elementType.fields
-                if f.name != "modules"
+                F.col(f"course.{n}").alias(f"c_{n}") for n in nested.names if n != "modules"
             ),
             *(
-                module[f.name].alias(f"m_{f.name}")
-                for f in documents.schema["courses"]
-                .dataType.elementType["modules"]
-                .dataType.elementType.fields
+                F.col(f"module.{n}").alias(f"m_{n}")
+                for n in nested["modules"].dataType.elementType.names
             ),
         )
     )
 
 
-def program_lists(documents: DataFrame) -> DataFrame:
-    """Documents laid out flat: one row per element of each programme-level list."""
+def flat_lists(documents: DataFrame) -> DataFrame:
+    """Documents laid out as one row per element of each programme-level list."""
     fields = ("user", "count", "course_id", "course_name", "course_order_id", "module_order_id")
     fields += ("module_name", "first_name", "earned")
 

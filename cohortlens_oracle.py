@@ -479,6 +479,7 @@ _STATEMENTS = {
     "programs": PROGRAMS,
     "program_duration": DURATION,
     "program_presentation": PROGRAM_PRESENTATION,
+    "program_documents": PROGRAM_PRESENTATION,
     "program_lists": PROGRAM_LISTS,
     "programme_info": INFO,
     "programme_performance": PERFORMANCE,
@@ -501,6 +502,7 @@ _STATEMENTS = {
         SELECT *, (SELECT COUNT(*) FROM b_learners l WHERE l.programme_id = h.id) AS learner_count
         FROM b_header h""",
     "learner_presentation": LEARNER_PRESENTATION,
+    "learner_documents": LEARNER_PRESENTATION,
     "learner_progress_first": """
         SELECT h.id, h.name, h.status,
                CAST(h.completion_certificates AS INTEGER) AS completion_certificates,
