@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import rounded, zero_if_null
+from cohortlens.operators.joins import join_dimensions
 from cohortlens.sources.tables import Tables
 
 
@@ -44,12 +45,10 @@ def _score(column: str, name: str):
 def learner_modules(t: Tables) -> DataFrame:
     """One row per learner, module and course run, with the settings of the module offering."""
     run = ["programme_id_fk", "module_id", "cohort_schedule_id"]
-    offered = t.module_offerings.drop("course_id_fk", "module_order_id").join(
-        t.modules, "module_id"
-    )
+    offered = t.module_offerings.drop("course_id_fk", "module_order_id")
+    facts = t.module_facts.withColumnRenamed("cohort_identifier_fk", "cohort_schedule_id")
     return (
-        t.module_facts.withColumnRenamed("cohort_identifier_fk", "cohort_schedule_id")
-        .join(offered, run)
+        join_dimensions(facts, [(offered, run), (t.modules, ["module_id"])])
         .select(
             F.col("programme_id_fk").alias("programme_id"),
             "cohort_schedule_id",
@@ -79,12 +78,10 @@ def learner_modules(t: Tables) -> DataFrame:
 def learner_courses(t: Tables) -> DataFrame:
     """One row per learner and course run, with the settings of the course offering."""
     run = ["programme_id_fk", "course_id", "cohort_schedule_id"]
-    offered = t.course_offerings.drop("cohort_identifier_fk", "course_order_id").join(
-        t.courses, "course_id"
-    )
+    offered = t.course_offerings.drop("cohort_identifier_fk", "course_order_id")
+    facts = t.course_facts.withColumnRenamed("cohort_identifier_fk", "cohort_schedule_id")
     return (
-        t.course_facts.withColumnRenamed("cohort_identifier_fk", "cohort_schedule_id")
-        .join(offered, run)
+        join_dimensions(facts, [(offered, run), (t.courses, ["course_id"])])
         .select(
             F.col("programme_id_fk").alias("programme_id"),
             "user_id",

@@ -1,7 +1,6 @@
 """Programme blocks.
 
-Dimension tables are joined with each other first, so every fact table is shuffled once per key it
-has to meet and not once per dimension.  Nothing here gathers a programme's rows in one place: lists
+Nothing here gathers a programme's rows in one place: lists
 are returned as rows and nested only by :mod:`cohortlens.operators.nesting`.
 """
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import moment, rounded
+from cohortlens.operators.joins import join_dimensions
 from cohortlens.sources.tables import Tables
 
 # Learner categories as they are stored, with the pacing columns that count them.
@@ -69,22 +69,24 @@ def ongoing_course_progress(t: Tables, as_of) -> DataFrame:
         (F.col("course_offering_end_timestamp") > now)
         & (F.col("course_offering_start_timestamp") <= now)
     ).select("programme_id_fk", "cohort_schedule_id", "course_id", "course_order_id")
-    open_modules = (
-        t.module_offerings.select("cohort_schedule_id", "module_id", "module_order_id")
-        .join(open_runs, "cohort_schedule_id")
-        .join(t.courses, "course_id")
-        .join(t.modules, "module_id")
-        .drop("course_id")
-    )
     facts = t.module_facts.select(
         "user_id",
         "module_id",
         F.col("cohort_identifier_fk").alias("cohort_schedule_id"),
         "is_badge_earned_module",
     )
+    offered = t.module_offerings.select("cohort_schedule_id", "module_id", "module_order_id")
+    rows = join_dimensions(
+        facts,
+        [
+            (offered, ["cohort_schedule_id", "module_id"]),
+            (open_runs, ["cohort_schedule_id"]),
+            (t.courses, ["course_id"]),
+            (t.modules, ["module_id"]),
+        ],
+    )
     return (
-        facts.join(open_modules, ["cohort_schedule_id", "module_id"])
-        .join(t.users.select("user_id", "first_name"), "user_id")
+        rows.join(t.users.select("user_id", "first_name"), "user_id")
         .select(
             "course_name",
             "course_order_id",
@@ -126,19 +128,16 @@ def lagging_users(t: Tables, as_of) -> DataFrame:
     The run alone links a fact to its offering.  A course without a name makes the pair null, which
     is not counted; the learner is listed all the same.
     """
-    ended = (
-        t.course_offerings.filter(F.col("course_offering_end_timestamp") < moment(as_of))
-        .select("cohort_schedule_id", "course_id")
-        .join(t.courses, "course_id")
-        .select(
-            F.col("cohort_schedule_id").alias("cohort_identifier_fk"),
-            F.concat("cohort_schedule_id", F.lit("-"), "course_name").alias("run_course"),
-        )
-    )
+    ended = t.course_offerings.filter(
+        F.col("course_offering_end_timestamp") < moment(as_of)
+    ).select(F.col("cohort_schedule_id").alias("cohort_identifier_fk"), "course_id")
+    facts = t.course_facts.filter(
+        F.col("is_certificate_earned_course") == F.lit(False)
+    ).select("programme_id_fk", "cohort_identifier_fk", "user_id")
+    late = join_dimensions(facts, [(ended, ["cohort_identifier_fk"]), (t.courses, ["course_id"])])
+    run_course = F.concat("cohort_identifier_fk", F.lit("-"), "course_name")
     return (
-        t.course_facts.filter(F.col("is_certificate_earned_course") == F.lit(False))
-        .select("programme_id_fk", "cohort_identifier_fk", "user_id")
-        .join(ended, "cohort_identifier_fk")
+        late.select("programme_id_fk", "user_id", run_course.alias("run_course"))
         .join(t.users.select("user_id", "first_name"), "user_id")
         .groupBy("programme_id_fk", "first_name")
         .agg(F.countDistinct("run_course").alias("course_records_count"))
@@ -207,12 +206,16 @@ def programme_rollup(t: Tables) -> DataFrame:
     )
 
 
-def _offered_courses(t: Tables) -> DataFrame:
+def _with_offered_courses(certificates: DataFrame, t: Tables) -> DataFrame:
+    offered = t.course_offerings.select("programme_id_fk", "course_id", "course_order_id")
     known = t.programmes.select(F.col("programme_id").alias("programme_id_fk"))
-    return (
-        t.course_offerings.select("programme_id_fk", "course_id", "course_order_id")
-        .join(t.courses, "course_id")
-        .join(known, "programme_id_fk")
+    return join_dimensions(
+        certificates,
+        [
+            (offered, ["programme_id_fk", "course_id"]),
+            (t.courses, ["course_id"]),
+            (known, ["programme_id_fk"]),
+        ],
     )
 
 
@@ -227,16 +230,12 @@ def user_cert_status(t: Tables) -> DataFrame:
 
     Offerings are found by (programme, course), so a course that runs twice gives two rows per fact.
     """
-    return (
-        _certificates(t)
-        .join(_offered_courses(t), ["programme_id_fk", "course_id"])
-        .select(
-            "course_order_id",
-            "course_name",
-            "first_name",
-            "is_certificate_earned_course",
-            "programme_id_fk",
-        )
+    return _with_offered_courses(_certificates(t), t).select(
+        "course_order_id",
+        "course_name",
+        "first_name",
+        "is_certificate_earned_course",
+        "programme_id_fk",
     )
 
 
@@ -247,10 +246,5 @@ def user_cert_status_counted(t: Tables) -> DataFrame:
     programme sees one row per learner.
     """
     facts = ["programme_id_fk", "course_id", "first_name", "is_certificate_earned_course"]
-    return (
-        _certificates(t)
-        .groupBy(*facts)
-        .agg(F.count("*").alias("copies"))
-        .join(_offered_courses(t), ["programme_id_fk", "course_id"])
-        .drop("course_id")
-    )
+    counted = _certificates(t).groupBy(*facts).agg(F.count("*").alias("copies"))
+    return _with_offered_courses(counted, t).drop("course_id")

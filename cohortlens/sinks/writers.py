@@ -7,7 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 
 from cohortlens.schemas import INPUTS
-from cohortlens.sources.tables import Tables
 
 ROWS_PER_FILE = 5_000_000
 
@@ -22,7 +21,7 @@ def write_report(
     writer.parquet(path)
 
 
-def write_tables(tables: Tables, root: str, only: Iterable[str] = tuple(INPUTS)) -> None:
+def write_tables(tables, root: str, only: Iterable[str] = tuple(INPUTS)) -> None:
     """Materialise input tables as ``<root>/<TableName>``, to be read by ``parquet_tables``."""
     for key in only:
         write_report(getattr(tables, key), f"{root.rstrip('/')}/{INPUTS[key][0]}")

@@ -1,6 +1,6 @@
 """Where the eleven input tables come from."""
 
-from cohortlens.sources.derived import derived_tables
+from cohortlens.sources.derived import derived_tables, stored_tables
 from cohortlens.sources.tables import Tables, catalog_tables, frame_tables, parquet_tables
 
-__all__ = ["Tables", "catalog_tables", "derived_tables", "frame_tables", "parquet_tables"]
+__all__ = ["Tables", "catalog_tables", "derived_tables", "frame_tables", "parquet_tables", "stored_tables"]

@@ -6,11 +6,14 @@ from the same inputs.  ``{name}`` stands for a raw table or for another recipe.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.session import configure, size_shuffles
+from cohortlens.schemas import INPUTS
+from cohortlens.session import configure, shared_folder, size_shuffles
+from cohortlens.sinks.writers import write_report
 from cohortlens.sources.tables import Tables
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -223,6 +226,48 @@ def inputs_of(recipe: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", RECIPES[recipe])))
 
 
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Changes with the raw files: their paths, lengths and times."""
+    found = []
+    for name in RAW_TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        listing = files.listFiles(path, True)
+        while listing.hasNext():
+            f = listing.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived tables, each written to the shared folder when it is first needed.
+
+    Reports read a fact more than once and sessions ask for many reports; deriving a fact means
+    joining the largest raw tables, so it is done once per application and set of raw files.  The
+    written table also spares a lost executor's work from being derived anew.
+    """
+    views = derived_tables(spark, sf_dir)
+    application = spark.sparkContext.applicationId
+    root = f"{shared_folder(spark)}/star-{application}-{_fingerprint(spark, sf_dir)}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(
+        spark._jsc.hadoopConfiguration()
+    )
+    frames: dict[str, DataFrame] = {}
+
+    def resolve(name: str) -> DataFrame:
+        if name in RAW_TABLES or name not in {n for n, _ in INPUTS.values()}:
+            return views.table(name)
+        if name not in frames:
+            folder = f"{root}/{name}"
+            if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+                inputs = {i: resolve(i) for i in inputs_of(name)}
+                write_report(spark.sql(RECIPES[name], **inputs), folder, mode="overwrite")
+            frames[name] = spark.read.parquet(folder)
+        return frames[name]
+
+    return Tables(resolve)
+
+
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables as lazy views over ``<sf_dir>/<raw table>.parquet``."""
     configure(spark)

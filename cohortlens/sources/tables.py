@@ -71,6 +71,10 @@ class Tables:
             self._frames[key] = conform_input(self._resolve(name), name, columns)
         return self._frames[key]
 
+    def table(self, name: str) -> DataFrame:
+        """A table by its own name, with whatever columns it has."""
+        return self._resolve(name)
+
     def for_programme(self, programme_id: str) -> Tables:
         """The same tables filtered to one programme; the filter reaches every scan."""
 
