@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohortlens.operators import learners, programmes
+from cohortlens.operators.nesting import expand
 from cohortlens.plans import learner_report, programme_report
 from cohortlens.schemas import INPUTS
 from cohortlens.sinks import write_tables
@@ -56,6 +57,8 @@ BLOCKS = {
     "programs": lambda t: programme_report.programs(t, AS_OF),
     "programme documents": lambda t: programme_report.programme_documents(t, AS_OF),
     "learner documents": learner_report.learner_progress_documents,
+    "programme presentation": lambda t: programme_report.program_presentation(t, AS_OF),
+    "learner presentation": learner_report.learner_presentation,
 }
 
 
@@ -83,6 +86,24 @@ def test_each_fact_is_shuffled_once_per_key(conf, star):
     assert text.count("SortMergeJoin") == 2 and text.count("Exchange ") == 4
 
 
+def test_small_dimensions_spare_the_shuffle(conf, star):
+    # With known small dimensions the fact meets each by broadcast; the rows are the same.
+    small = learners.learner_modules(star)
+    assert "Exchange hashpartitioning" not in plan(small)
+    assert plan(small).count("BroadcastHashJoin") == 2 and "BuildLeft" not in plan(small)
+    rows = small.count()
+    conf(**NO_BROADCAST)
+    large = learners.learner_modules(star)
+    assert "BroadcastHashJoin" not in plan(large)
+    assert large.exceptAll(small).isEmpty() and large.count() == rows > 0
+
+
+def test_a_left_join_of_hot_parents(spark, rows):
+    parents = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, p int")
+    children = spark.createDataFrame([("a", 7), ("a", 8), ("c", 9), (None, 9)], "k string, v int")
+    assert rows(expand(parents, children, ["k"])) == rows(parents.join(children, ["k"], "left"))
+
+
 def test_unselected_lists_are_not_computed(star):
     text = plan(programme_report.programme_documents(star, AS_OF, ["id", "courses.course_name"]))
     assert not re.search("Fact|fact_user|DimModule", text)

@@ -1,3 +1,4 @@
+import pathlib
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -7,7 +8,14 @@ from pyspark.sql import functions as F
 from cohortlens.schemas import INPUTS
 from cohortlens.session import SHARED_FOLDER, shared_folder, size_shuffles
 from cohortlens.sinks import snapshot, write_report, write_tables
-from cohortlens.sources import catalog_tables, derived_tables, frame_tables, parquet_tables
+from cohortlens.sources import (
+    catalog_tables,
+    derived_tables,
+    frame_tables,
+    parquet_tables,
+    stored_tables,
+)
+from cohortlens.sources.derived import RAW_TABLES
 
 SF = "/root/testdata/sf0.001"
 # Row counts of the derived tables at the smallest scale.
@@ -37,6 +45,21 @@ def test_derived_and_materialised_tables_agree(spark, tmp_path):
         assert getattr(stored, key).count() == n
 
 
+def test_stored_tables_follow_their_raw_files(spark, tmp_path):
+    for name in RAW_TABLES:
+        raw = pathlib.Path(f"{SF}/{name}.parquet")
+        (tmp_path / raw.name).write_bytes(raw.read_bytes())
+    first = stored_tables(spark, str(tmp_path)).courses
+    assert first.count() == 5 and stored_tables(spark, str(tmp_path)).courses.inputFiles() == (
+        first.inputFiles()
+    )
+    changed = tmp_path / "supplier.parquet"
+    changed.write_bytes(pathlib.Path("/root/testdata/sf0.01/supplier.parquet").read_bytes())
+    spark.catalog.refreshByPath(str(tmp_path))
+    assert stored_tables(spark, str(tmp_path)).courses.count() == 50
+    assert first.count() == 5
+
+
 def test_catalog_tables(spark):
     spark.createDataFrame([("C1", "Logic")], "course_id string, course_name string").write.mode(
         "overwrite"
