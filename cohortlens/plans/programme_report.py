@@ -33,6 +33,9 @@ COUNTS = {
     "programme_user_cert_status_list": "cert_status_count",
 }
 
+# What identifies a course offering to its modules.
+RUN = ["programme_id_fk", "cohort_schedule_id", "course_id"]
+
 # Fields of the document that the flat layouts below read.
 PRESENTED = ("id", "cohort", "last_updated", "duration", "courses")
 LISTED = ("id", "cohort", *COUNTS)
@@ -210,9 +213,6 @@ def program_duration(t: Tables, as_of) -> DataFrame:
     )
 
 
-RUN = ["programme_id_fk", "cohort_schedule_id", "course_id"]
-
-
 def _presented_dates(kind: str) -> dict[str, Column]:
     return {
         f"{end}_date": date_text(F.col(f"{kind}_offering_{end}_timestamp"))
@@ -246,18 +246,18 @@ def _presented_courses() -> dict[str, Column]:
     }
 
 
-def _module_parts(t: Tables, run: list[str], part_size: int) -> DataFrame:
+def _module_parts(t: Tables, part_size: int) -> DataFrame:
     modules = ops.program_modules(t).withColumnRenamed("course_id_fk", "course_id").select(
-        *run, record(PROGRAM_MODULE, **_presented_modules()).alias("module")
+        *RUN, record(PROGRAM_MODULE, **_presented_modules()).alias("module")
     )
     return collect_parts(
-        modules.na.drop(subset=run),
-        run,
+        modules.na.drop(subset=RUN),
+        RUN,
         {"modules": F.col("module")},
         ["module"],
-        parents=ops.program_courses(t).select(*run).distinct(),
+        parents=ops.program_courses(t).select(*RUN).distinct(),
         census=t.module_offerings.withColumnRenamed("course_id_fk", "course_id").select(
-            *run, F.lit(1).alias("weight")
+            *RUN, F.lit(1).alias("weight")
         ),
         part_size=part_size,
     )
@@ -267,16 +267,15 @@ def _course_rows(
     t: Tables, pairs: DataFrame, with_modules: bool, part_size: int
 ) -> DataFrame:
     """(id, cohort, course, weight) per course of the given offerings, modules nested."""
-    run = RUN
     courses = (
         ops.program_courses(t)
         .withColumnRenamed("cohort_identifier_fk", "cohort")
         .withColumn("id", F.col("programme_id_fk"))
     )
-    offered = courses.join(pairs, ["id", "cohort"], "left_semi")
+    offered = courses.join(pairs, ["id", "cohort"])
     if with_modules:
-        modules = _module_parts(t, run, part_size).select(*run, "modules")
-        offered = attach_parts(offered, modules, run)
+        modules = _module_parts(t, part_size).select(*RUN, "modules")
+        offered = attach_parts(offered, modules, RUN)
     else:
         modules = PROGRAM["courses"].dataType.elementType["modules"].dataType
         offered = offered.withColumn("modules", F.array().cast(modules))
@@ -292,20 +291,20 @@ def _course_rows(
         *(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[:-1]),
         F.array().cast(kind["modules"].dataType).alias("modules"),
     )
-    without = pairs.join(courses, ["id", "cohort"], "left_anti").select(
+    present = courses.select("id", "cohort").distinct()
+    without = pairs.join(present, ["id", "cohort"], "left_anti").select(
         "id", "cohort", empty.alias("course"), F.lit(1).cast("bigint").alias("weight")
     )
     return nested.unionByName(without)
 
 
 def _course_census(t: Tables, with_modules: bool) -> DataFrame:
-    run = RUN
     weight = F.lit(1)
     courses = t.course_offerings
     if with_modules:
         modules = t.module_offerings.withColumnRenamed("course_id_fk", "course_id")
-        counted = modules.groupBy(*run).agg(F.count("*").alias("modules"))
-        courses = courses.join(counted, run, "left")
+        counted = modules.groupBy(*RUN).agg(F.count("*").alias("modules"))
+        courses = courses.join(counted, RUN, "left")
         weight = zero_if_null("modules") + 1
     return courses.select(
         F.col("programme_id_fk").alias("id"),
