@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe
+from cohortlens.llm import bpe, packing, quality_rules
 
 
 def vocabulary_path() -> str:
@@ -33,8 +33,76 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed_documents(documents: DataFrame) -> DataFrame:
+    """All pieces of all documents with their places in the packed sequences."""
+    ids = documents.select("doc_id", bpe.encoded(F.col("text"), vocabulary_path()).alias("ids"))
+    pieces = packing.pieces(ids).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.packed(pieces)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every document into sequences of at most 2048 tokens."""
+    return packed_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and verdict of the quality rules for every document."""
+    judged = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "quality.*").drop("failed")
+
+
+def _bound(rule: quality_rules.Rule) -> str:
+    of = rule.per or "1"
+    tests = [f"{rule.scale} * {rule.metric} < {rule.low} * {of}"] if rule.low is not None else []
+    tests += [f"{rule.scale} * {rule.metric} > {rule.high} * {of}"] if rule.high is not None else []
+    return "(" + " OR ".join(tests) + ")"
+
+
+def _any(rules) -> str:
+    return " OR ".join(_bound(rule) for rule in rules)
+
+
+_OP5_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+  FROM texts
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS shown
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)
+),
+twins AS (SELECT doc_id, shown FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM windows JOIN twins USING (doc_id, shown))
+  GROUP BY doc_id
+),
+m AS (
+  SELECT doc_id,
+    len(words) AS n_words,
+    length(array_to_string(words, '')) AS word_chars,
+    length(regexp_replace(text, '[^{quality_rules.SYMBOLS}]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len([x FOR x IN words IF lower(x) IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)})])
+      AS n_stop_words
+  FROM w LEFT JOIN repeated USING (doc_id)
+)
+SELECT *, ({_any(quality_rules.BASE_RULES)}) AS base_failed,
+  NOT ({_any([*quality_rules.BASE_RULES, *quality_rules.RULES])}) AS kept
+FROM m
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_packing": op2_packing,
+    "op5_quality_rules": op5_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": _OP5_SQL,
+}
