@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, packing, quality_rules
+from cohortlens.llm import bpe, langid, packing, quality_rules
 
 
 def vocabulary_path() -> str:
@@ -97,10 +97,26 @@ FROM m
 """
 
 
+def identified_documents(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``held_out`` and the struct ``language``; learnt from the rows not held out."""
+    held_out = langid.is_held_out(F.col("doc_id"))
+    model = langid.fit(documents.where(~held_out & F.col("doc_id").isNotNull()))
+    return documents.withColumns(
+        {"held_out": held_out, "language": langid.identified(F.col("text"), model)}
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identified_documents(documents).select("doc_id", "held_out", "language.*")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
