@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, packing, quality_rules
+from cohortlens.llm import bpe, langid, near_dup, packing, quality_rules
 
 
 def vocabulary_path() -> str:
@@ -45,6 +45,47 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents, on shingles of two words."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_dup.near_duplicates(documents, near_dup.Settings(shingle=2))
+    return found.drop("text_hash")
+
+
+_OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+')] AS words
+  FROM documents
+),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE len(words) WHEN 0 THEN [] WHEN 1 THEN words
+      ELSE [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))] END) AS shingle
+    FROM w)
+),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM s a JOIN s b USING (shingle) GROUP BY ALL HAVING count(*) > 0
+),
+links AS MATERIALIZED (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * c >= 80 * (p.n + q.n - c)
+),
+reach AS (
+  SELECT x, y FROM links
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+),
+low AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id,
+  w.doc_id = coalesce(component_id, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and verdict of the quality rules for every document."""
     judged = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -115,10 +156,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
+    "op3_near_dup": op3_near_dup,
     "op5_quality_rules": op5_quality_rules,
     "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dup": _OP3_SQL,
     "op5_quality_rules": _OP5_SQL,
 }
