@@ -4,7 +4,7 @@ The leaves of the tree hold, for each symbol of a word, the rank of the pair it
 neighbour.  An inner node holds the smaller of its children, the left one on a tie, so that the root
 names the leftmost pair of the lowest rank.  A merge changes three leaves, each update costs the height
 of the tree, and the word is done when the root holds no pair: ``n log n`` for a word of ``n`` symbols,
-however long.
+however long.  The trees of short words are kept side by side in one array and merged in step.
 
 The vocabulary file is the JSON of the ``tokenizers`` library.  Its normalizer and its splitter
 prepare a piece of text; merging and decoding are done here.
@@ -14,18 +14,37 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NO_PAIR = 1 << 62
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-#: Pieces of text whose ids a task remembers, and the longest piece it remembers in bytes.
-REMEMBERED = 400_000
-LONGEST_REMEMBERED = 64
+#: What a task remembers of the words it has met, in words and in characters.
+REMEMBERED = 500_000
+REMEMBERED_LENGTH = 16 << 20
+
+#: Words of up to so many bytes are merged side by side; texts are taken in groups of so many bytes.
+SHORT = 32
+TOGETHER = 4 << 20
+
+# Texts of these characters need no normalization but lower case, and split by this pattern: printable
+# ASCII, its white space, and the letters (and two signs) of Latin-1.
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xc0-\xff]*")
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x09-\x0d a-z0-9\xdf-\xf6\xf8-\xff]+")
+_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself where it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
 class Vocabulary:
@@ -39,47 +58,100 @@ class Vocabulary:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("dropout"):
             raise ValueError(f"not a plain BPE vocabulary: {path}")
-        self.ids: dict[str, int] = model["vocab"]
-        self.word_end: str = model.get("end_of_word_suffix") or ""
+        if spec.get("decoder"):
+            raise ValueError("only vocabularies without a decoder are supported")
+        ids: dict[str, int] = model["vocab"]
+        end: str = model.get("end_of_word_suffix") or ""
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.special = special
+            self.merges[ids[left], ids[right]] = rank, ids[left + right]
+        letters = byte_letters()
+        self.inner = np.array([ids[x] for x in letters], np.int64)
+        self.last = np.array([ids[x + end] for x in letters], np.int64)
+        self.bytes_of = {ord(x): bytes([b]) for b, x in enumerate(letters)}
+
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         # Where special tokens overlap, the longest one counts.
-        found = "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))
-        self.special_text = re.compile(f"({found})") if special else None
-        tokens = {**{i: t for t, i in self.ids.items()}, **{i: t for t, i in special.items()}}
+        found = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
+        self.special_text = re.compile(f"({found})") if found else None
+        tokens = {**{i: t for t, i in ids.items()}, **{i: t for t, i in self.special.items()}}
         self.tokens: list[bytes | None] = [None] * (max(tokens) + 1)
         for i, token in tokens.items():
             self.tokens[i] = token.encode()
-        if spec.get("decoder"):
-            raise ValueError("only vocabularies without a decoder are supported")
+
         library = Tokenizer.from_file(path)
         self._normalizer, self._splitter = library.normalizer, library.pre_tokenizer
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", ())]
+        pattern = _PLAIN_PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\")
+        self._plain = pattern and kinds == ["NFC", "Replace", "Lowercase"]
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """The merges as a hash table of arrays, with the rank of each pair and the token it makes."""
+        size = 1 << (4 * len(self.merges)).bit_length()
+        self._shift = np.uint64(64 - size.bit_length() + 1)
+        self._keys, self._ranks = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        self.made = np.array([new for _, new in self.merges.values()] or [0], np.int64)
+        for (a, b), (rank, _) in self.merges.items():
+            key = a << 32 | b
+            at = (key * int(_SPREAD) & (1 << 64) - 1) >> int(self._shift)
+            while self._keys[at] >= 0:
+                at = (at + 1) % size
+            self._keys[at], self._ranks[at] = key, rank
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, or -1 where it is none; a negative id stands for no symbol."""
+        keys = left.astype(np.int64) << 32 | right
+        keys[(left < 0) | (right < 0)] = -2
+        at = ((keys.view(np.uint64) * _SPREAD) >> self._shift).view(np.int64)
+        there = self._keys[at]
+        found = np.where(there == keys, self._ranks[at], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self._keys)
+            there = self._keys[at[open_]]
+            hit = there == keys[open_]
+            found[open_[hit]] = self._ranks[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return found
 
-    def words(self, text: str) -> list[str]:
-        """The words that are encoded one by one, in the alphabet of the vocabulary."""
-        return [w for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))]
-
-    def encode(self, text: str) -> list[int]:
-        parts = self.special_text.split(text) if self.special_text else [text]
-        found: list[int] = []
-        for part in parts:
+    def is_plain(self, text: str) -> bool:
+        return self._plain and _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece of text that are merged one by one, normalized."""
+        if self._plain and _PLAIN.fullmatch(piece):
+            return _PLAIN_WORDS.findall(piece.lower())
+        split = self._splitter.pre_tokenize_str(self._normalizer.normalize_str(piece))
+        return [b"".join(map(self.bytes_of.__getitem__, map(ord, w))).decode() for w, _ in split]
+
+    def parts(self, piece: str) -> list[str]:
+        """Words, and special tokens between them."""
+        if "<" not in piece or not self.special_text:
+            return self.words(piece)
+        found: list[str] = []
+        for part in self.special_text.split(piece):
             if part in self.special:
-                found.append(self.special[part])
+                found.append(part)
             elif part:
-                for word in self.words(part):
-                    found += self.merged(word)
+                found += self.words(part)
         return found
 
-    def symbols(self, word: str) -> list[int]:
-        """Ids of the word's characters; the last one carries the word end."""
-        last = word[-1] + self.word_end
-        return [self.ids[s] for s in (*word[:-1], last) if s in self.ids]
+    def packed(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words and special tokens."""
+        found = self.merged_all([w.encode() for w in words])
+        for k, word in enumerate(words):
+            if word in self.special:
+                found[k] = self.special[word].to_bytes(4, "little")
+        return found
 
-    def merged(self, word: str) -> list[int]:
+    def symbols(self, word: bytes) -> list[int]:
+        """Ids of the word's bytes; the last one carries the word end."""
+        codes = np.frombuffer(word, np.uint8)
+        return [*self.inner[codes[:-1]].tolist(), int(self.last[codes[-1]])]
+
+    def merged(self, word: bytes) -> list[int]:
         """Ids of a word: merge the leftmost pair of the lowest rank until none is left."""
         ids = self.symbols(word)
         n = len(ids)
@@ -128,33 +200,127 @@ class Vocabulary:
                 put(before[i], leaf(before[i], i))
         return [t for t, out in zip(ids, gone, strict=True) if not out]
 
+    def merged_together(self, words: list[bytes], base: int) -> list[bytes]:
+        """Packed ids of many words of at most ``base`` bytes, a power of two: the trees of :meth:`merged`
+        as rows of one array, each step merging the root's pair in every row that still has one."""
+        rows, wide = len(words), base + 1  # the last column stands for "no neighbour"
+        none = np.int32(2**31 - 1)
+        n = np.fromiter(map(len, words), np.int32, rows)
+        inside = np.arange(base, dtype=np.int32) < n[:, None]
+        codes = np.zeros((rows, base), np.uint8)
+        codes[inside] = np.frombuffer(b"".join(words), np.uint8)
+        every = np.arange(rows)
+        ids2 = np.full((rows, wide), -1, np.int32)
+        ids2[:, :base] = np.where(inside, self.inner[codes], -1)
+        ids2[every, n - 1] = self.last[codes[every, n - 1]]
+        tree2 = np.full((rows, 2 * base), none, np.int32)
+        rank = self.ranks(ids2[:, : base - 1].ravel(), ids2[:, 1:base].ravel()).reshape(rows, -1)
+        tree2[:, base : 2 * base - 1] = np.where(rank >= 0, rank * base + np.arange(base - 1), none)
+        for k in range(base - 1, 0, -1):
+            tree2[:, k] = np.minimum(tree2[:, 2 * k], tree2[:, 2 * k + 1])
+        after = np.tile(np.arange(1, wide + 1, dtype=np.int32), rows)
+        before = np.tile(np.arange(-1, base, dtype=np.int32), rows)
+        ids, tree = ids2.ravel(), tree2.ravel()  # views: cells are addressed by row * width + column
+
+        def leaves(row: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            rank = self.ranks(ids[row + i], ids[row + j])
+            return np.where(rank >= 0, rank * base + i, none).astype(np.int32)
+
+        at = every
+        while len(at := at[tree[at * (2 * base) + 1] != none]):
+            row, top = at * wide, at * (2 * base)
+            root = tree[top + 1]
+            i = root % base
+            j = after[row + i]
+            k = after[row + j]
+            p = before[row + i]
+            ids[row + i] = self.made[root // base]
+            ids[row + j] = -1
+            after[row + i] = k
+            before[row + k] = i
+            tree[top + base + j] = none
+            tree[top + base + i] = mine = leaves(row, i, np.minimum(k, base))
+            first = p < 0
+            p = np.where(first, i, p)
+            tree[top + base + p] = np.where(first, mine, leaves(row, p, i))
+            for place in (j, i, p):
+                node = (base + place) >> 1
+                while node[0]:  # all leaves are equally deep
+                    left = top + 2 * node
+                    tree[top + node] = np.minimum(tree[left], tree[left + 1])
+                    node >>= 1
+        alive = ids2 >= 0
+        packed = ids2[alive].astype("<u4").tobytes()
+        ends = (4 * alive.sum(axis=1)).cumsum().tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of every word."""
+        found: list[bytes] = [b""] * len(words)
+        sizes: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            if 0 < len(word) <= SHORT:
+                sizes.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append(k)
+            elif word:
+                found[k] = np.array(self.merged(word), "<u4").tobytes()
+        for base, places in sizes.items():
+            done = self.merged_together([words[k] for k in places], base)
+            for k, packed in zip(places, done, strict=True):
+                found[k] = packed
+        return found
+
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Encoder(dict):
-    """Ids of a text's pieces between ASCII white space, as little-endian unsigned 32-bit integers.
+class Encoder:
+    """Encodes texts word by word and remembers the ids of words met before.
 
-    No word of the vocabulary's splitter reaches over white space, so pieces are encoded one by one and
-    frequent ones are remembered.  A full memory is emptied: it bounds space, not results.
+    A text of plain characters is split as a whole.  Any other is taken by its pieces between ASCII white space,
+    over which no word of the vocabulary's splitter reaches.  A full memory is emptied: it bounds
+    space, not results.
     """
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = self.vocabulary.encode(piece.decode())
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = packed
-        return packed
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+
+    def _words(self, text: bytes) -> list[str]:
+        """The text's words, normalized, and its special tokens."""
+        whole = text.decode()
+        if self.vocabulary.is_plain(whole):
+            return _PLAIN_WORDS.findall(whole.lower())
+        return [w for piece in text.split() for w in self.vocabulary.parts(piece.decode())]
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        split = [self._words(t) for t in texts]
+        met = set().union(*split)
+        new = met.difference(self.known)
+        if self.known and (len(self.known) + len(new) > REMEMBERED or self.size > REMEMBERED_LENGTH):
+            self.known.clear()
+            self.size, new = 0, met
+        words = list(new)
+        self.known.update(zip(words, self.vocabulary.packed(words), strict=True))
+        self.size += sum(map(len, words))
+        known = self.known
+        return [b"".join([known[w] for w in found]) for found in split]
+
+    def texts(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """Packed ids of every text, in order: little-endian unsigned 32-bit integers."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or b"")
+            size += len(group[-1])
+            if size >= TOGETHER:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
 
     def text(self, text: str | None) -> bytes:
-        return b"".join([self[p] for p in text.encode().split()]) if text else b""
+        return next(self.texts([text.encode() if text else None]))
 
 
 def encoded(text: Column, path: str) -> Column:
@@ -168,7 +334,8 @@ def encoded(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
         for batch in batches:
-            yield pa.array([encoder.text(t.as_py()) for t in batch], pa.binary())
+            texts = (t.as_py() for t in batch.cast(pa.binary()))
+            yield pa.array(list(encoder.texts(texts)), pa.binary())
 
     return ids(text)
 
@@ -182,19 +349,17 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
-
         tokens = vocabulary(path).tokens
         known = {i: t for i, t in enumerate(tokens) if t is not None}
 
-        def joined(packed: bytes | None) -> str | None:
+        def joined(packed: bytes | None) -> bytes | None:
             if packed is None:
                 return None
             ids = np.frombuffer(packed, "<u4").tolist()
             try:
-                return b" ".join([known[i] for i in ids]).decode()
+                return b" ".join([known[i] for i in ids])
             except KeyError:
-                return b" ".join([known[i] for i in ids if i in known]).decode()
+                return b" ".join([known[i] for i in ids if i in known])
 
         for batch in batches:
             yield pa.array([joined(b.as_py()) for b in batch], pa.string())

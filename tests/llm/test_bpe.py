@@ -51,10 +51,20 @@ def test_special_tokens_spaces_and_long_words(library):
 
 def test_a_full_memory_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "TOGETHER", 10)
     encoder = bpe.Encoder(PATH)
-    text = "one two three four five one two three four five " * 3
-    assert ids_of(encoder.text(text)) == library.encode(text, add_special_tokens=False).ids
-    assert len(encoder) <= 3
+    texts = ["one two", "three four five", "one two", "", "six one"] * 3
+    for text, packed in zip(texts, encoder.texts(t.encode() for t in texts), strict=True):
+        assert ids_of(packed) == library.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= 5
+
+
+def test_trees_side_by_side_equal_single_trees():
+    random.seed(8)
+    vocabulary = bpe.vocabulary(PATH)
+    words = ["".join(random.choices("abcdetionérs,.'9", k=random.randrange(1, 45))).encode() for _ in range(4000)]
+    for word, packed in zip(words, vocabulary.merged_all(words), strict=True):
+        assert ids_of(packed) == vocabulary.merged(word)
 
 
 def test_columns_nulls_and_unknown_ids(spark):
