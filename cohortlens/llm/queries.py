@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, near_dup, packing, quality_rules
+from cohortlens.llm import bpe, langid, near_dup, packing, pii, quality_rules
 
 
 def vocabulary_path() -> str:
@@ -138,6 +138,16 @@ FROM m
 """
 
 
+#: Key of the queries' surrogates; a real run takes its own from a secret store.
+SURROGATE_KEY = "cohortlens example key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how many entities that were."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replaced(documents, SURROGATE_KEY, count="n_entities")
+
+
 def identified_documents(documents: DataFrame) -> DataFrame:
     """``documents`` with ``held_out`` and the struct ``language``; learnt from the rows not held out."""
     held_out = langid.is_held_out(F.col("doc_id"))
@@ -158,6 +168,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_near_dup": op3_near_dup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_pii": op7_pii,
     "op9_language_id": op9_language_id,
 }
 
