@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import components
-from cohortlens.llm.work import written
+from cohortlens.llm.work import unused, written
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -318,6 +318,7 @@ def deduplicated(
 ) -> DataFrame:
     """The rows of ``df`` that :func:`near_duplicates` keeps, with the columns of ``df``."""
     verdicts = near_duplicates(df, settings, text, key)
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-    same = F.col(key).cast("bigint").eqNullSafe(F.col("_d")) & (_hash(text) == F.col("_h"))
+    d, h = unused(df, "_key"), unused(df, "_hash")
+    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h))
+    same = F.col(key).cast("bigint").eqNullSafe(F.col(d)) & (_hash(text) == F.col(h))
     return df.join(gone.distinct(), same, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, near_dup, packing, pii, quality_rules
+from cohortlens.llm import bpe, langid, licenses, near_dup, packing, pii, quality_rules
 
 
 def vocabulary_path() -> str:
@@ -86,6 +86,22 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 """
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    documents = _table(spark, sf_dir, "documents")
+    found = documents.select("doc_id", licenses.scanned(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and verdict of the quality rules for every document."""
     judged = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -148,13 +164,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(documents, SURROGATE_KEY, count="n_entities")
 
 
-def identified_documents(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``held_out`` and the struct ``language``; learnt from the rows not held out."""
-    held_out = langid.is_held_out(F.col("doc_id"))
-    model = langid.fit(documents.where(~held_out & F.col("doc_id").isNotNull()))
-    return documents.withColumns(
-        {"held_out": held_out, "language": langid.identified(F.col("text"), model)}
-    )
+def identified_documents(
+    documents: DataFrame, into: str = "language", held_out: str = "held_out"
+) -> DataFrame:
+    """``documents`` with ``held_out`` and the struct ``into``; learnt from the rows not held out."""
+    third = langid.is_held_out(F.col("doc_id"))
+    model = langid.fit(documents.where(~third & F.col("doc_id").isNotNull()))
+    return documents.withColumns({held_out: third, into: langid.identified(F.col("text"), model)})
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +183,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
     "op3_near_dup": op3_near_dup,
+    "op4_licenses": op4_licenses,
     "op5_quality_rules": op5_quality_rules,
     "op7_pii": op7_pii,
     "op9_language_id": op9_language_id,
