@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, licenses, near_dup, packing, pii, quality_rules
+from cohortlens.llm import bpe, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
 
 
 def vocabulary_path() -> str:
@@ -164,6 +164,32 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(documents, SURROGATE_KEY, count="n_entities")
 
 
+#: WARC-Date of the records that the query writes: the test pages have no date of their own.
+CRAWLED = "1999-01-01T00:00:00Z"
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages into packages, then read all their records back."""
+    made = warc.written_packages(_table(spark, sf_dir, "pages"), work.folder(spark, "warc"), CRAWLED)
+    return warc.read_packages(made).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+_OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first
+  FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def identified_documents(
     documents: DataFrame, into: str = "language", held_out: str = "held_out"
 ) -> DataFrame:
@@ -186,10 +212,12 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_quality_rules": op5_quality_rules,
     "op7_pii": op7_pii,
+    "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dup": _OP3_SQL,
     "op5_quality_rules": _OP5_SQL,
+    "op8_warc": _OP8_SQL,
 }
