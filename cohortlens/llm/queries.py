@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
+from cohortlens.llm import bpe, embeddings, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
 
 
 def vocabulary_path() -> str:
@@ -205,6 +205,35 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified_documents(documents).select("doc_id", "held_out", "language.*")
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.98 or more."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+_OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b USING (label)
+  WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach AS (
+  SELECT x, y FROM links
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+),
+low AS (SELECT x AS vec_id, least(min(y), x) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -214,10 +243,12 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dup": _OP3_SQL,
     "op5_quality_rules": _OP5_SQL,
     "op8_warc": _OP8_SQL,
+    "op10_embeddings": _OP10_SQL,
 }
