@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, embeddings, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
+from cohortlens.llm import bpe, embeddings, importance, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
 
 
 def vocabulary_path() -> str:
@@ -154,6 +154,24 @@ FROM m
 """
 
 
+#: Labelled documents that the target model is fitted on, and the share of all documents to sample.
+TARGET_DOCUMENTS = 20_000
+SAMPLED = 0.85
+
+
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and draw of every document, and whether it is sampled.
+
+    The target are at most ``TARGET_DOCUMENTS`` documents labelled as good and not toxic, chosen by hash; that
+    bound makes their ids small enough to broadcast.  The raw model counts all documents.
+    """
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    ids = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCUMENTS)
+    target = documents.join(F.broadcast(ids), "doc_id", "left_semi")
+    return importance.resampled(documents, importance.fit(target, documents), SAMPLED)
+
+
 #: Key of the queries' surrogates; a real run takes its own from a secret store.
 SURROGATE_KEY = "cohortlens example key"
 
@@ -240,6 +258,7 @@ QUERIES = {
     "op3_near_dup": op3_near_dup,
     "op4_licenses": op4_licenses,
     "op5_quality_rules": op5_quality_rules,
+    "op6_importance": op6_importance,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
