@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PART_SIZE = 10_000
-# Parents that are spread over several tasks.  At most this many rows are ever broadcast, and a
-# parent outside the list holds less than 1/HOT_PARENTS of the rows.
-HOT_PARENTS = 1_000
 
 
 def split_copies(rows: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
@@ -68,12 +65,10 @@ def collect_parts(
         counted.groupBy(*keys)
         .agg(F.sum("_weight").alias("_total"))
         .filter(F.col("_total") > part_size)
-        .orderBy(F.desc("_total"), *keys)
-        .limit(HOT_PARENTS)
         .select(*keys, F.ceil(F.col("_total") * 2 / part_size).alias("_salts"))
     )
     salted = (
-        elements.join(F.broadcast(hot), keys, "left")
+        elements.join(hot, keys, "left")
         .withColumn("_salts", F.coalesce("_salts", F.lit(1)))
         .withColumn("_salt", F.pmod("_spread", "_salts"))
     )

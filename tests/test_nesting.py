@@ -46,12 +46,13 @@ def test_a_hot_parent_is_spread_over_tasks(spark):
     assert len(by_task) == 4 and max(by_task.values()) < 20_000 / 2
 
 
-def test_more_large_parents_than_are_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("cohortlens.operators.nesting.HOT_PARENTS", 2)
-    df = spark.range(3000).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
-    parts = gather(df, 50)
-    assert sorted(v for p in parts for v in p["items"]) == list(range(3000))
-    assert max(len(p["items"]) for p in parts) <= 50
+def test_every_large_parent_is_split(spark):
+    df = spark.range(60_000).select((F.col("id") % 3000).alias("k"), F.col("id").alias("v"))
+    parts = gather(df, 5)
+    assert sorted(v for p in parts for v in p["items"]) == list(range(60_000))
+    assert max(len(p["items"]) for p in parts) <= 5
+    # Each of the 3000 parents has eight salts, so none is in one task as a whole.
+    assert len({p.k for p in parts}) == 3000 and len(parts) >= 4 * 3000
 
 
 def test_copies_are_cut_and_repeated(spark):
