@@ -31,13 +31,40 @@ def conform(df: DataFrame, contract: T.StructType, extra: Sequence[str] = ()) ->
     """
     found = T.StructType([df.schema[f.name] for f in contract.fields])
     _same_shape(found, contract, "")
-    return df.select(*extra, *(_cast(F.col(f.name), f.dataType) for f in contract.fields))
+    kinds = {f.name: f.dataType for f in found.fields}
+    cast = (_cast(F.col(f.name), kinds[f.name], f.dataType).alias(f.name) for f in contract.fields)
+    return df.select(*extra, *cast)
 
 
-def _cast(column: Column, wanted: T.DataType) -> Column:
+def _cast(column: Column, found: T.DataType, wanted: T.DataType) -> Column:
     # Casting keeps the source's nullability, so required parts are cast to their nullable form;
     # ``violations`` checks what is required.
-    return column.cast(_nullable(wanted))
+    return _in_range(column, found, wanted).cast(_nullable(wanted))
+
+
+def _in_range(column: Column, found: T.DataType, wanted: T.DataType) -> Column:
+    """``column``, failing on an integer beyond 32 bits whether or not the session casts strictly."""
+    if isinstance(wanted, T.IntegerType) and isinstance(found, T.LongType):
+        fits = column.isNull() | column.between(INT_MIN, INT_MAX)
+        said = F.concat(F.lit("integer out of range: "), column.cast("string"))
+        return F.when(fits, column).otherwise(F.raise_error(said))
+    if isinstance(wanted, T.ArrayType) and _has_long(found):
+        return F.transform(column, lambda e: _in_range(e, found.elementType, wanted.elementType))
+    if isinstance(wanted, T.StructType) and _has_long(found):
+        fields = [
+            _in_range(column[w.name], f.dataType, w.dataType).alias(w.name)
+            for f, w in zip(found.fields, wanted.fields)
+        ]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    return column
+
+
+def _has_long(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_long(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_long(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.LongType)
 
 
 def _nullable(wanted: T.DataType) -> T.DataType:

@@ -1,5 +1,5 @@
 import pytest
-from pyspark.errors import ArithmeticException
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from cohortlens.operators import contract
@@ -27,8 +27,12 @@ def test_an_integer_beyond_32_bits_is_an_error(tables, rows):
         "program_total_points_defined": 3_000_000_000,
     }
     t = tables(ddl=WIDE, programmes=[{"programme_id": "P1"}], programme_offerings=[offer])
-    with pytest.raises(ArithmeticException):
-        programme_report.programme_documents(t, "1999-01-01", ["total_points"]).collect()
+    ansi = t.programmes.sparkSession.conf.get("spark.sql.ansi.enabled")
+    for mode in ("true", "false"):
+        t.programmes.sparkSession.conf.set("spark.sql.ansi.enabled", mode)
+        with pytest.raises(SparkRuntimeException, match="integer out of range"):
+            programme_report.programme_documents(t, "1999-01-01", ["total_points"]).collect()
+    t.programmes.sparkSession.conf.set("spark.sql.ansi.enabled", ansi)
     found = programme_report.program_violations(t, "1999-01-01")
     assert rows(found) == [("offering", "P1", None, "K1", "total_points", "integer out of range")]
 
