@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,23 +11,22 @@ MICROS_PER_DAY = 86_400_000_000
 
 
 def moment(as_of: datetime | str | Column) -> Column:
-    """The report clock as a TIMESTAMP column.  Text without a zone is read in the session zone."""
+    """The report clock as a TIMESTAMP column.  A moment without a zone is in UTC."""
     if isinstance(as_of, Column):
         return as_of.cast("timestamp")
-    text = as_of.isoformat(sep=" ") if isinstance(as_of, datetime) else as_of
-    return F.lit(text).cast("timestamp")
+    when = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    when = when.replace(tzinfo=UTC) if when.tzinfo is None else when
+    return F.lit(when.isoformat(sep=" ")).cast("timestamp")
 
 
 def rounded(value: Column, places: int = 2) -> Column:
     """Round half away from zero, after settling the value to six decimals.
 
-    The same as rounding ``CAST(value AS DECIMAL(18,6))``, in plain integer arithmetic, which is
-    several times faster.  The six decimals make the result the same on any engine.
+    The six decimals make the result the same on any engine.  What is not a finite number, or has more than
+    32 digits before the point, gives null.
     """
-    millionths = F.floor(F.abs(value) * 1e6 + 0.5)
-    step = 10 ** (6 - places)
-    steps = F.call_function("div", millionths + step // 2, F.lit(step))
-    return F.when(value < 0, -steps).otherwise(steps) / float(10**places)
+    settled = value.cast("double").try_cast("decimal(38,6)")
+    return F.round(settled, places).cast("double")
 
 
 def floor_div(value: Column, divisor: int) -> Column:
@@ -40,26 +39,48 @@ def zero_if_null(value: Column | str) -> Column:
     return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
 
 
+def _utc_date(ts: Column) -> Column:
+    """The day of a moment in UTC, whatever the session's zone."""
+    return F.date_from_unix_date(floor_div(F.unix_micros(ts), MICROS_PER_DAY).cast("int"))
+
+
 def timestamp_text(ts: Column) -> Column:
     """``2024-01-05 00:00:00+00``; a fraction is shown with 3 or 6 digits only if there is one."""
-    fraction = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    micros = F.pmod(F.unix_micros(ts), F.lit(MICROS_PER_DAY))
+    seconds = floor_div(micros, 1_000_000)
+    fraction = F.pmod(micros, F.lit(1_000_000))
+
+    def digits(n: Column, width: int) -> Column:
+        return F.lpad(n.cast("string"), width, "0")
+
     return F.concat(
-        F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
+        _utc_date(ts).cast("string"),
+        F.lit(" "),
+        digits(floor_div(seconds, 3600), 2),
+        F.lit(":"),
+        digits(floor_div(F.pmod(seconds, F.lit(3600)), 60), 2),
+        F.lit(":"),
+        digits(F.pmod(seconds, F.lit(60)), 2),
         F.when(fraction == 0, "")
-        .when(fraction % 1000 == 0, F.date_format(ts, ".SSS"))
-        .otherwise(F.date_format(ts, ".SSSSSS")),
+        .when(fraction % 1000 == 0, F.concat(F.lit("."), digits(floor_div(fraction, 1000), 3)))
+        .otherwise(F.concat(F.lit("."), digits(fraction, 6))),
         F.lit("+00"),
     )
 
 
 def date_text(ts: Column) -> Column:
-    """``05 Jan, 2024``; null stays null."""
-    return F.date_format(ts, "dd MMM, yyyy")
+    """``05 Jan, 2024`` in UTC; null stays null."""
+    return F.date_format(_utc_date(ts), "dd MMM, yyyy")
 
 
 def date_text_of_string(text: Column) -> Column:
-    """:func:`date_text` for a text column; empty or unreadable text gives null."""
-    return date_text(F.try_to_timestamp(text))
+    """:func:`date_text` for a text column; empty or unreadable text gives null.
+
+    A time without a zone is in UTC.
+    """
+    zoned = text.rlike(r"\d{1,2}:\d{2}.*(?:[zZ]|[A-Za-z]{2,}|[+-]\d{1,2}(?::?\d{2})?)$")
+    local = F.date_format(text.try_cast("timestamp_ntz").cast("date"), "dd MMM, yyyy")
+    return F.when(zoned, date_text(text.try_cast("timestamp"))).otherwise(local)
 
 
 def time_spent_text(seconds: Column) -> Column:

@@ -133,8 +133,38 @@ def test_rounding_equals_decimal_rounding(spark, values):
         assert str(row.r) == str(row.d) == str(by_decimal(row.v, 2) + 0.0), row
 
 
+def test_rounding_next_to_ties(spark):
+    df = spark.range(-40_000, 40_000).select((F.col("id") / 100 + 0.0049995).alias("v"))
+    want = F.expr("cast(round(cast(v as decimal(18,6)), 2) as double)")
+    assert df.where(X.rounded(F.col("v")) != want).count() == 0
+
+
 def test_rounding_keeps_null(spark):
     assert one(spark, X.rounded(F.lit(None).cast("double"))) is None
+    for odd in ("nan", "inf", "-inf"):
+        assert one(spark, X.rounded(F.lit(float(odd)))) is None
+    assert one(spark, X.rounded(F.lit(9.3e12))) == 9.3e12
+
+
+def test_texts_do_not_depend_on_the_session_zone(spark):
+    stamp = F.timestamp_micros(F.lit(1704412800123000).cast("bigint"))
+    forms = [
+        X.timestamp_text(stamp),
+        X.date_text(stamp),
+        X.date_text_of_string(F.lit("2024-01-05 00:00:00+00")),
+        X.date_text_of_string(F.lit("2024-01-05 00:00:00")),
+        X.date_text_of_string(F.lit("2024-01-05")),
+        X.date_text_of_string(F.lit("2024-01-05 03:00:00+05:00")),
+        F.unix_micros(X.moment("2024-01-05")).cast("string"),
+    ]
+    want = ["2024-01-05 00:00:00.123+00", *["05 Jan, 2024"] * 4, "04 Jan, 2024", "1704412800000000"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [one(spark, f) for f in forms] == want, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_floor_div(spark):
