@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession
 
 # Settings the plans rely on.  Skewed shuffle joins are split at run time by adaptive execution;
 # ``forceOptimizeSkewedJoin`` lets it do so even if a later operator then needs one more shuffle.
+# The session's time zone is the user's: nothing here depends on it.
 SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -33,11 +33,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 # Shuffles start with one partition per this many input bytes; adaptive execution merges small ones.
 BYTES_PER_PARTITION = 256 * 1024 * 1024
-MOST_PARTITIONS = 32_000
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _SIZED = "spark.cohortlens.sizedPartitions"
 
 
+def partitions_for(size: int) -> int:
+    """Partitions that a shuffle of ``size`` bytes starts with."""
+    return -(-size // BYTES_PER_PARTITION)
+
+
 def size_shuffles(spark: SparkSession, folder: str) -> None:
     """Let shuffles start with enough partitions for the data under ``folder``.
 
@@ -48,7 +52,7 @@ def size_shuffles(spark: SparkSession, folder: str) -> None:
         return
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    wanted = min(files.getContentSummary(path).getLength() // BYTES_PER_PARTITION, MOST_PARTITIONS)
+    wanted = partitions_for(files.getContentSummary(path).getLength())
     if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set(_INITIAL, str(wanted))
         spark.conf.set(_SIZED, str(wanted))
@@ -69,6 +73,7 @@ def local_session(cores: int | str = "*", name: str = "cohortlens", **extra: str
         # Test data is small; keep it on all cores.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.session.timeZone", "UTC")
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
@@ -88,6 +93,6 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SHARED_FOLDER, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError(f"set {SHARED_FOLDER} to a folder that all executors can reach")
     return _own_folder(spark.sparkContext.applicationId)

@@ -226,7 +226,7 @@ def inputs_of(recipe: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", RECIPES[recipe])))
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Changes with the raw files: their paths, lengths and times."""
     found = []
     for name in RAW_TABLES:
@@ -248,7 +248,7 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """
     views = derived_tables(spark, sf_dir)
     application = spark.sparkContext.applicationId
-    root = f"{shared_folder(spark)}/star-{application}-{_fingerprint(spark, sf_dir)}"
+    root = f"{shared_folder(spark)}/star-{application}-{fingerprint(spark, sf_dir)}"
     files = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(
         spark._jsc.hadoopConfiguration()
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,8 @@ def conform_input(df: DataFrame, name: str, columns: Mapping[str, str]) -> DataF
     for column, kind in columns.items():
         if isinstance(fields[column], _ACCEPTED[kind]):
             selected.append(F.col(column))
+        elif isinstance(fields[column], (T.TimestampNTZType, T.DateType)) and kind == "timestamp":
+            selected.append(_in_utc(F.col(column)).alias(column))
         elif isinstance(fields[column], _CONVERTED.get(kind, ())):
             selected.append(F.col(column).cast(kind).alias(column))
         else:
@@ -56,6 +58,13 @@ def conform_input(df: DataFrame, name: str, columns: Mapping[str, str]) -> DataF
     return df.select(*selected)
 
 
+def _in_utc(local: Column) -> Column:
+    """A date, or a time without a zone, as a moment in UTC."""
+    time = local.cast("timestamp_ntz")
+    parts = [F.date_part(F.lit(p), time) for p in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND")]
+    return F.make_timestamp(*parts, F.lit("UTC"))
+
+
 class Tables:
     """The input tables as attributes, each resolved when it is first used."""
 
@@ -95,9 +104,12 @@ def parquet_tables(spark: SparkSession, root: str) -> Tables:
 
 def catalog_tables(spark: SparkSession, namespace: str) -> Tables:
     """Tables of one catalog namespace, e.g. ``catalog.schema``."""
+    configure(spark)
     return Tables(lambda name: spark.table(f"{namespace}.{name}"))
 
 
 def frame_tables(frames: Mapping[str, DataFrame]) -> Tables:
     """Ready DataFrames by table name."""
+    for df in list(frames.values())[:1]:
+        configure(df.sparkSession)
     return Tables(lambda name: frames[name])

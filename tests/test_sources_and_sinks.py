@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.schemas import INPUTS
-from cohortlens.session import SHARED_FOLDER, shared_folder, size_shuffles
+from cohortlens.session import SHARED_FOLDER, partitions_for, shared_folder, size_shuffles
 from cohortlens.sinks import snapshot, write_report, write_tables
 from cohortlens.sources import (
     catalog_tables,
@@ -164,3 +164,41 @@ def test_shuffles_are_sized_by_the_input(spark, tmp_path, monkeypatch):
         assert spark.conf.get(key) == "77"
     finally:
         spark.conf.unset(key)
+
+
+def test_shuffles_of_any_size_have_small_partitions():
+    for size in (1, 10**9, 100 * 10**12):
+        assert size / partitions_for(size) <= 256 * 1024 * 1024
+
+
+def test_local_times_are_in_utc(spark):
+    import datetime as dt
+
+    from cohortlens.sources.tables import conform_input
+
+    df = spark.sql("select timestamp_ntz'2024-03-10 02:30:00.5' as a, date'2024-03-10' as b")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = conform_input(df, "t", {"a": "timestamp", "b": "timestamp"})
+        micros = got.select(F.unix_micros("a"), F.unix_micros("b")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    start = int(dt.datetime(2024, 3, 10, tzinfo=dt.UTC).timestamp()) * 10**6
+    assert tuple(micros) == (start + 9_000_500_000, start)
+
+
+def test_folders_of_one_name_have_their_own_snapshots(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    names = []
+    for parent, scale in (("a", "sf0.001"), ("b", "sf0.01")):
+        folder = tmp_path / parent / "sf"
+        folder.mkdir(parents=True)
+        for name in RAW_TABLES:
+            raw = pathlib.Path(f"/root/testdata/{scale}/{name}.parquet")
+            (folder / raw.name).write_bytes(raw.read_bytes())
+        names.append(str(folder))
+    query = entry.queries()["programs_snapshot"]
+    first, second = (query(spark, name).inputFiles() for name in names)
+    assert not set(first) & set(second)
