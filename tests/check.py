@@ -49,7 +49,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = []
-    for key in sys.argv[2:] or entry.queries():
+    for key in sys.argv[2:] or entry.oracle_sql():
         started = time.time()
         found = difference(spark, con, sf_dir, key)
         print(f"{key:28} {'ok' if found is None else found[:1500]} {time.time() - started:.1f}s", flush=True)
