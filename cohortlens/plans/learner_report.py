@@ -171,6 +171,18 @@ def _course_parts(t: Tables, with_modules: bool, part_size: int) -> DataFrame:
     )
 
 
+# Columns of the learner block behind the contract's required fields and integers.
+_REQUIRED = ("user_id", "name", "email", "status", "progress", "engagement", "performance")
+_INTEGERS = (
+    "achieved_points",
+    "badges",
+    "total_points",
+    "course_certificates_earned",
+    "completion_certificate",
+    "distinction_certificate",
+)
+
+
 def learner_documents(t: Tables, tree: dict | None = None, part_size: int = PART_SIZE) -> DataFrame:
     """One nested learner per row; a learner whose courses fill several parts has several rows.
 
@@ -178,7 +190,8 @@ def learner_documents(t: Tables, tree: dict | None = None, part_size: int = PART
     are left empty and not computed.
     """
     tree = tree or {}
-    learners = ops.learner_data(t)
+    # A learner who breaks the contract is set aside; ``learner_violations`` tells why.
+    learners, _ = quarantine(ops.learner_data(t), _REQUIRED, _INTEGERS)
     if wants(tree, "courses"):
         parts = _course_parts(t, wants(tree, "courses", "modules"), part_size)
         learners = attach_parts(
@@ -218,12 +231,13 @@ def learner_progress_documents(
     With ``programme_id`` the answer is that programme's first offering by status, or no row if the
     programme is unknown.  Without it every programme is returned, with all its offerings or, if
     ``first_only``, with the first.  ``fields`` selects dotted fields; what only the others need is
-    not computed.
+    not computed.  Offerings and learners that break the contract are set aside.
     """
     tree = field_tree(fields or LEARNER_PROGRESS.names)
     if programme_id is not None:
         t = t.for_programme(programme_id)
-    documents = _header(t)
+    kinds = {f.name: f.dataType for f in LEARNER_PROGRESS.fields if f.name != "learner_data"}
+    documents, _ = quarantine(_header(t), kinds, [n for n, kind in kinds.items() if kind == INT])
     if first_only or programme_id is not None:
         documents = _first_offerings(documents)
     if wants(tree, "learner_data"):

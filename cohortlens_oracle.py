@@ -434,11 +434,54 @@ LEARNER_PRESENTATION = f"""
 
 # Offerings that agree in every header field cannot be told apart; one of them is kept.
 FIRST_HEADER = """
-    SELECT * FROM b_header QUALIFY 1 = ROW_NUMBER() OVER (
+    SELECT * FROM b_header WHERE id IS NOT NULL AND name IS NOT NULL AND status IS NOT NULL
+    QUALIFY 1 = ROW_NUMBER() OVER (
       PARTITION BY id ORDER BY status NULLS FIRST, name NULLS FIRST, completion_certificates,
       distinction_certificates, performance, total_course_certificates, total_badges)"""
 EXTRA["b_first_header"] = FIRST_HEADER
 
+_WHOLE_LEARNER = "user_id IS NOT NULL AND name IS NOT NULL AND email IS NOT NULL AND status IS NOT NULL"
+
+#: The programme that the single-programme query asks for.
+ONE_PROGRAMME = "P7"
+
+_KEPT = " WHERE " + " AND ".join(
+    f"{c} IS NOT NULL"
+    for c in ("h.id", "h.name", "h.status", "l.user_id", "l.name", "l.email", "l.status")
+)
+LEARNER_DOCUMENTS = LEARNER_PRESENTATION + _KEPT
+LEARNER_ONE = (
+    LEARNER_PRESENTATION.replace("FROM b_header h", "FROM b_first_header h")
+    + _KEPT
+    + f" AND h.id = '{ONE_PROGRAMME}'"
+)
+
+QUARANTINED = f"""
+    SELECT programme_id, user_id AS id, name, email, status, progress, engagement, performance,
+           {_time('time_spent_seconds')} AS time_spent, achieved_points, badges, total_points,
+           course_certificates_earned, {_date('last_active')} AS last_active,
+           completion_certificate AS completion, distinction_certificate AS distinction
+    FROM b_learners WHERE NOT ({_WHOLE_LEARNER})"""
+
+WHOLE_DOCUMENTS = f"""
+    SELECT p.id, p.name, p.pm_email, p.program_manager, p.status,
+           {_date('o.last_updated')} AS last_updated, p.available_platform,
+           CAST(p.total_course_certificates AS BIGINT) AS total_course_certificates,
+           d.start, d."end", d.time_elapsed, d.remaining_time, p.category, p.cohort,
+           CAST(p.total_points AS BIGINT) AS total_points, p.certificate_pass_percentage,
+           p.badge_percentage, p.distinction_percentage,
+           CAST(p.allowed_quiz_attempts AS BIGINT) AS allowed_quiz_attempts,
+           CAST(p.badge_bonus_points AS BIGINT) AS badge_bonus_points, p.is_valid,
+           p.course_count AS courses, p.learners_total, p.learners_active, p.pacing_ahead,
+           p.pacing_on_track, p.pacing_behind, p.is_alive, p.is_alive AS is_alive_list,
+           p.access_blocked, p.access_blocked AS access_blocked_list, p.laggards_count,
+           p.laggards_count AS lagging_courses_list, p.completed_course_count,
+           p.completed_course_count AS completed_courses_list, p.progress, p.engagement,
+           p.ongoing_count AS ongoing_course_progress,
+           p.cert_status_count AS programme_user_cert_status_list
+    FROM ({PROGRAMS}) p JOIN ({DURATION}) d ON d.id = p.id AND d.cohort = p.cohort
+    JOIN valid_offering o ON o.id = p.id AND o.cohort = p.cohort"""
+
 TYPED_LEARNER = f"""
     SELECT programme_id, user_id AS id, name, email, status, progress, engagement, performance,
            {_time('time_spent_seconds')} AS time_spent, achieved_points, badges, total_points,
@@ -502,7 +545,10 @@ _STATEMENTS = {
         SELECT *, (SELECT COUNT(*) FROM b_learners l WHERE l.programme_id = h.id) AS learner_count
         FROM b_header h""",
     "learner_presentation": LEARNER_PRESENTATION,
-    "learner_documents": LEARNER_PRESENTATION,
+    "learner_documents": LEARNER_DOCUMENTS,
+    "learner_progress_one": LEARNER_ONE,
+    "quarantined_learners": QUARANTINED,
+    "program_documents_whole": WHOLE_DOCUMENTS,
     "learner_progress_first": """
         SELECT h.id, h.name, h.status,
                CAST(h.completion_certificates AS INTEGER) AS completion_certificates,
@@ -512,7 +558,9 @@ _STATEMENTS = {
                l.name AS learner_name,
                (SELECT COUNT(*) FROM b_learner_courses c
                 WHERE c.programme_id = h.id AND c.user_id = l.user_id) AS course_count
-        FROM b_first_header h JOIN b_learners l ON l.programme_id = h.id""",
+        FROM b_first_header h JOIN b_learners l ON l.programme_id = h.id
+        WHERE l.user_id IS NOT NULL AND l.name IS NOT NULL AND l.email IS NOT NULL
+          AND l.status IS NOT NULL""",
     "contract_conform": TYPED_LEARNER,
     "contract_violations": VIOLATIONS,
     "field_selection": f"""
