@@ -13,13 +13,17 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return written(edges.groupBy("u").agg(F.min("v").alias("m")), "lowest")
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), total).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one edge and no ``v`` has any of its own."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    found = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return found.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component``, the smallest node it is linked with, of every node of ``edges``.
+    """``node`` and ``component``, the smallest node it is linked with; a node that is the smallest itself is
+    left out.
 
     ``edges`` has two long columns ``u`` and ``v``; repeated edges, both directions and loops are fine.
     Every round replaces the edges by stars around smaller nodes and stores them; the number of rounds grows with
@@ -27,12 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     by partial sums, and joins may be split.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    nodes = written(nodes, "nodes")
     e = written(e.where("u <> v").distinct(), "edges")
-    seen = None
-    while (found := _fingerprint(e)) != seen:
-        seen, last = found, e
+    while not _are_stars(e):
+        last = e
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both)
         large = both.join(low, "u").where("v > u")
@@ -44,7 +45,4 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(small, "small-star")
         for old in (last, low, large, lower):
             dropped(old)
-    stars = e.toDF("node", "component")
-    return nodes.join(stars, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component")
-    )
+    return e.toDF("node", "component")

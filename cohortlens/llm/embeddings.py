@@ -83,14 +83,16 @@ def _principal_axes(vectors: DataFrame, grid: Grid) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["size", "i", "j", "total"])
 
     found = vectors.select("vector").mapInArrow(moments, "size long, i long, j long, total double")
-    found = found.groupBy("size", "i", "j").agg(F.sum("total").alias("total")).toPandas()
+    found = found.groupBy("size", "i", "j").agg(F.sum("total").alias("total")).toArrow()
+    sizes, i, j, values = (c.to_numpy() for c in found.columns)
     axes = {}
-    for size, part in found.groupby("size"):
+    for size in np.unique(sizes):
+        here = sizes == size
         total = np.zeros((size + 1, size + 1))
-        total[part["i"], part["j"]] = total[part["j"], part["i"]] = part["total"]
+        total[i[here], j[here]] = total[j[here], i[here]] = values[here]
         mean = total[:size, size] / total[size, size]
-        values, basis = np.linalg.eigh(total[:size, :size] / total[size, size] - np.outer(mean, mean))
-        leading = np.argsort(values)[::-1][: grid.axes]
+        spread, basis = np.linalg.eigh(total[:size, :size] / total[size, size] - np.outer(mean, mean))
+        leading = np.argsort(spread)[::-1][: grid.axes]
         axes[int(size)] = basis[:, leading]
     return axes
 
@@ -305,16 +307,17 @@ def near_duplicates(
     blocks = _blocks(_ordered(classes, _principal_axes(classes, grid), grid), grid)
     found = written(_found(blocks, _block_pairs(blocks, grid), grid), "vector-links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    groups = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
-    groups = groups.join(classes.select("node", "first"), "node")
+    tops = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
+    groups = classes.select("node", "first").join(tops, "node", "left")
+    groups = groups.withColumn("component", F.coalesce("component", "node"))
     lowest = groups.groupBy("component").agg(F.min("first").alias("lowest"))
     named = groups.join(lowest, "component").select("node", "lowest")
-    answers = classes.join(counts, "node", "left").join(named, "node", "left")
+    answers = classes.join(counts, "node", "left").join(named, "node")
     answers = answers.select(
         "label",
         "vector",
         (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"),
-        F.coalesce("lowest", "first").alias("lowest"),
+        "lowest",
         F.lit(True).alias("has"),
     )
     result = rows.join(answers, ["label", "vector"], "left")

@@ -119,11 +119,11 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
         part = F.least(F.floor((F.col("x") - low) / width).cast("int"), F.lit(_BINS - 1)) if width else F.lit(0)
         inside = values.where(F.col("x").between(low, high))
         found = inside.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
-        for row in sorted(found.collect(), key=lambda r: -r.part):
-            if k <= row.n:
-                low, high = row.a, row.b
+        for row in sorted(found.toArrow().to_pylist(), key=lambda r: -r["part"]):
+            if k <= row["n"]:
+                low, high = row["a"], row["b"]
                 break
-            k -= row.n
+            k -= row["n"]
     return low
 
 

@@ -7,8 +7,9 @@ choice of ``errors`` slots left out, and such a pair shares an index key.  Signa
 decides which pairs of a key are compared on their full sets.
 
 Texts with the same set are one class.  The pairs of a key are not all formed: its classes are compared with a
-leader first, twice with different leaders, and linked classes become one component.  Only classes of
-different components are then compared pair by pair, since a link within a component adds nothing.
+leader first, twice with different leaders, and linked classes become one component.  What is left are classes
+that share a key and are in different components; of these, pairs are formed only if their sets, rare shingles
+first, can overlap enough.  Links within a component would add nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _REMEMBERED = 400_000
 _BLOCK = 4096
+_COUNTERS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -267,27 +269,31 @@ def near_duplicates(
     texts = written(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
     compare = _Comparison(classes, texts, settings)
+    labels = buckets.select("node").distinct().withColumn("component", F.col("node"))
     members = buckets.withColumn("component", F.col("node"))
     links = None
     for turn in range(2):
-        order = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), "node", "component", "n")
+        # First the smallest class leads, so that most of a group have one leader, then one drawn by lot.
+        rank = F.col("node") if turn == 0 else F.xxhash64(F.col("node"), F.lit(turn))
+        order = F.struct(rank.alias("h"), "node", "component", "n")
         leaders = members.groupBy("key").agg(
             F.min(order).alias("l"), F.min("component").alias("x"), F.max("component").alias("y")
         )
         leaders = written(leaders.where("x <> y").select("key", "l"), "leaders")
         pairs = members.join(leaders, "key").where("component <> l.component")
         pairs = pairs.where(_sizes_allow("n", "l.n", settings.percent))
-        pairs = pairs.select(F.col("l.node").alias("u"), F.col("node").alias("v"))
-        links, members = _linked(links, compare.links(pairs), buckets)
+        more = written(compare.links(pairs.select(F.col("l.node").alias("u"), F.col("node").alias("v"))), "links")
+        links = more if links is None else links.unionByName(more)
+        labels = written(_joined(labels, more), "labels")
+        members = buckets.join(labels, "node")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     mixed = written(mixed.where("x <> y").select("key"), "mixed-keys")
-    left = written(members.join(mixed, "key", "left_semi"), "left")
-    right = left.select("key", F.col("node").alias("v"), F.col("component").alias("c"), F.col("n").alias("m"))
-    pairs = left.withColumnRenamed("node", "u").join(right, "key")
-    pairs = pairs.where((F.col("component") < F.col("c")) & _sizes_allow("n", "m", settings.percent))
-    links = written(links.unionByName(compare.links(pairs.select("u", "v"))), "links")
+    left = members.join(mixed, "key", "left_semi").select("node", "component").distinct()
+    pairs = _overlapping(written(left.join(texts, "node"), "left"), settings)
+    links = links.unionByName(written(compare.links(pairs), "links"))
 
-    found = components(links)
+    top = components(_between(labels, links)).toDF("component", "top")
+    found = labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     first = classes.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("first"))
     named = found.join(first, "component").select("node", "first")
     answers = classes.join(named, "node", "left").select(
@@ -305,12 +311,86 @@ def near_duplicates(
     )
 
 
-def _linked(links: DataFrame | None, more: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links so far, and the buckets with the component of each member."""
-    links = written(links.unionByName(more) if links is not None else more, "links")
-    members = buckets.join(components(links), "node", "left")
-    members = members.withColumn("component", F.coalesce("component", "node"))
-    return links, written(members, "members")
+def _tokens(batches: Iterator[pa.RecordBatch], column: int, settings: Settings) -> Iterator[tuple]:
+    """Of every row, the row itself, its shingle hashes and their counters."""
+    signer = Signer(settings)
+    for batch in batches:
+        for k, text in enumerate(batch.column(column)):
+            hashed = signer.hashed(text.as_py())
+            yield batch, k, hashed, ((hashed * _MIX) >> np.uint64(32)).astype(np.int64) % _COUNTERS
+
+
+def _overlapping(classes: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (``u``, ``v``) of different components that can be similar enough, from ``node``, ``component``, ``text``.
+
+    Shingles are put in one order, rare ones first; two similar sets have one of the first few of each in common, and
+    from there on enough left to reach the similarity.  Rarity is judged by a fixed number of counters over
+    hashed shingles: it only guides the order, any order is right.
+    """
+    percent = settings.percent
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_COUNTERS, np.int64)
+        for _, _, _, counters in _tokens(batches, 0, settings):
+            np.add.at(total, counters, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+    counts = classes.select("text").mapInArrow(count, "counter long, n long")
+    counts = counts.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(_COUNTERS, np.int64)
+    rarity[counts["counter"].to_numpy()] = counts["n"].to_numpy()
+    shared = classes.sparkSession.sparkContext.broadcast(rarity)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, hashed, counters in _tokens(batches, 2, settings):
+            n = len(hashed)
+            order = np.lexsort((hashed, shared.value[counters]))
+            taken = hashed[order[: n - -(-percent * n // 100) + 1]]
+            row = [taken.view(np.int64), np.full(len(taken), batch.column(0)[k].as_py())]
+            row += [np.full(len(taken), batch.column(1)[k].as_py()), np.full(len(taken), n), n - np.arange(len(taken))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["shingle", "node", "component", "n", "rest"])
+
+    firsts = classes.select("node", "component", "text").mapInArrow(
+        first, "shingle long, node long, component long, n long, rest long"
+    )
+    firsts = written(firsts, "first-shingles")
+
+    def enough(rest: str, others: str, n: str, m: str) -> Column:
+        return (100 + percent) * F.least(rest, others) >= percent * (F.col(n) + F.col(m))
+
+    # Components meet before their members do: a large one is a single row then.
+    groups = firsts.groupBy("shingle", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("n"))
+    groups = written(groups, "first-groups")
+    other = groups.toDF("shingle", "c", "others", "m")
+    met = groups.join(other, "shingle").where((F.col("component") < F.col("c")) & enough("rest", "others", "n", "m"))
+    met = met.select("shingle", "component", "c")
+    one = firsts.withColumnRenamed("node", "u")
+    two = firsts.toDF("shingle", "v", "c", "m", "others")
+    pairs = met.join(one, ["shingle", "component"]).join(two, ["shingle", "c"])
+    return pairs.where(_sizes_allow("n", "m", percent) & enough("rest", "others", "n", "m")).select("u", "v")
+
+
+def _between(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The links between different components, as edges of components."""
+    u = labels.select(F.col("node").alias("u"), F.col("component").alias("c"))
+    v = labels.select(F.col("node").alias("v"), F.col("component").alias("d"))
+    return links.join(u, "u").join(v, "v").where("c <> d").select(F.col("c").alias("u"), F.col("d").alias("v"))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with each component merged into the smallest one it has a link with, if that is smaller.
+
+    Two steps along smaller components are taken: not all that is linked ends in one component, but all that
+    is in one component is linked.
+    """
+    edges = _between(labels, links)
+    both = edges.union(edges.select("v", "u"))
+    lower = both.groupBy("u").agg(F.min("v").alias("v")).where("v < u")
+    lower = written(lower, "lower")
+    steps = lower.join(lower.toDF("v", "w"), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+    found = labels.join(steps.toDF("component", "lower"), "component", "left")
+    return found.select("node", F.coalesce("lower", "component").alias("component"))
 
 
 def deduplicated(
