@@ -105,14 +105,18 @@ def attach_parts(parents: DataFrame, parts: DataFrame, keys: Sequence[str]) -> D
     return parents.join(renamed, matched).drop(*(f"_{k}" for k in keys))
 
 
-def expand(parents: DataFrame, children: DataFrame, keys: Sequence[str]) -> DataFrame:
+def expand(
+    parents: DataFrame, children: DataFrame, keys: Sequence[str], among: DataFrame | None = None
+) -> DataFrame:
     """Left join of parents with their children, for parents with any share of the children.
 
     A left join cannot split a large parent's children over tasks; an inner join can.  So the match is
-    an inner join, and the parents without children are added.
+    an inner join, and the parents without children are added.  ``among`` is a cheaper DataFrame with
+    the same ``keys`` as the children.
     """
     keys = list(keys)
-    childless = parents.join(children.select(*keys).distinct(), keys, "left_anti")
+    known = children if among is None else among
+    childless = parents.join(known.select(*keys).distinct(), keys, "left_anti")
     return parents.join(children, keys).unionByName(childless, allowMissingColumns=True)
 
 

@@ -76,8 +76,11 @@ def ongoing_course_progress(t: Tables, as_of) -> DataFrame:
         "is_badge_earned_module",
     )
     offered = t.module_offerings.select("cohort_schedule_id", "module_id", "module_order_id")
+    # Facts of open runs are told apart by name before they meet the texts of the dimensions.
+    current = facts.join(open_runs.select("cohort_schedule_id").distinct(), "cohort_schedule_id", "left_semi")
+    named = current.join(t.users.select("user_id", "first_name"), "user_id").drop("user_id").distinct()
     rows = join_dimensions(
-        facts,
+        named,
         [
             (offered, ["cohort_schedule_id", "module_id"]),
             (open_runs, ["cohort_schedule_id"]),
@@ -86,8 +89,7 @@ def ongoing_course_progress(t: Tables, as_of) -> DataFrame:
         ],
     )
     return (
-        rows.join(t.users.select("user_id", "first_name"), "user_id")
-        .select(
+        rows.select(
             "course_name",
             "course_order_id",
             "module_order_id",

@@ -272,7 +272,8 @@ def learner_presentation(t: Tables) -> DataFrame:
         *LEARNER_KEY, *prefixed("l", LEARNER_ROW, **_presented_learners())
     )
     taken = expand(courses, modules, COURSE_KEY).drop("course_id")
-    rows = expand(learners, taken, LEARNER_KEY).withColumnRenamed("programme_id", "id")
+    # Every course is taken, so the courses tell which learners have none.
+    rows = expand(learners, taken, LEARNER_KEY, among=courses).withColumnRenamed("programme_id", "id")
     header = ops.programme_info(t).select(
         F.col("programme_id").alias("id"), F.col("offering_status").alias("status")
     )

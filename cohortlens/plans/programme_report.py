@@ -454,7 +454,8 @@ def program_presentation(t: Tables, as_of) -> DataFrame:
             F.col("offering_start_timestamp"), F.col("offering_end_timestamp"), as_of
         ).alias("duration"),
     )
-    rows = expand(offerings, expand(courses, modules, RUN).drop(*RUN), ["id", "cohort"])
+    taught = expand(courses, modules, RUN).drop(*RUN)
+    rows = expand(offerings, taught, ["id", "cohort"], among=courses)
     return rows.select(
         "id",
         "cohort",
