@@ -171,28 +171,28 @@ def judged(
     Any other column is carried unread.  Null and empty texts have no words and fail the base rules;
     repeated rows are judged alike; a column named as ``into`` is replaced.
     """
-    found = df.withColumn(into, metrics(F.col(text)))
+    every = [*base_rules, *rules]
 
-    def metric(name: str) -> Column:
-        return F.col(f"`{into}`").getField(name)
-
-    base = failed(metric, base_rules)
-    every = failed(metric, [*base_rules, *rules])
-    return found.withColumn(
-        into,
-        F.struct(
+    def verdict(found: Column) -> Column:
+        metric = found.getField
+        fails = failed(metric, every)
+        return F.struct(
             *(metric(name).alias(name) for name in METRICS),
-            (F.size(base) > 0).alias("base_failed"),
-            every.alias("failed"),
-            (F.size(every) == 0).alias("kept"),
-        ),
-    )
+            (F.size(failed(metric, base_rules)) > 0).alias("base_failed"),
+            fails.alias("failed"),
+            (F.size(fails) == 0).alias("kept"),
+        )
+
+    return df.withColumn(into, _let(metrics(F.col(text)), verdict))
 
 
-def kept(df: DataFrame, text: str = "text") -> DataFrame:
+def kept(
+    df: DataFrame,
+    text: str = "text",
+    base_rules: Sequence[Rule] = BASE_RULES,
+    rules: Sequence[Rule] = RULES,
+) -> DataFrame:
     """The rows of ``df`` whose text passes every rule, with the columns of ``df``."""
-    into = "quality"
-    while into in df.columns:
-        into = f"_{into}"
-    passed = judged(df, text, into=into)
-    return passed.where(F.col(into).getField("kept")).select(df.columns)
+    # One expression that binds the metrics: a filter on a column of verdicts would repeat them per rule.
+    every = [*base_rules, *rules]
+    return df.where(_let(metrics(F.col(text)), lambda found: F.size(failed(found.getField, every)) == 0))
