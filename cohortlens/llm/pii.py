@@ -289,6 +289,8 @@ def replaced(df: DataFrame, key: str, text: str = "text", count: str | None = No
     by_list = by_list.select(
         F.col("k").alias(listed), F.transform("new", lambda x: x.getField("s")).alias(unused(some, "_new"))
     )
+    # Stored, so that the join deals both sides anew and a list that very many rows have can be split.
+    by_list = written(by_list, "replacements")
     new = by_list.columns[1]
     gaps = F.split(F.col(text), _ANY)
     whole = F.array_join(
