@@ -230,7 +230,8 @@ def with_records(
     first = unused(rows, "_first")
     copies = rows.where(F.octet_length(body) >= least).groupBy("payload_digest")
     copies = copies.agg(F.min(page).alias(first), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    found = rows.join(copies, "payload_digest", "left")
+    # Stored, so that the join deals both sides anew and a payload that very many rows have can be split.
+    found = rows.join(written(copies, "copied-payloads"), "payload_digest", "left")
     revisits = F.col(first).isNotNull() & ~F.col(page).eqNullSafe(F.col(first))
     found = found.withColumns(
         {
