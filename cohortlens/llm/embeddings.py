@@ -179,26 +179,22 @@ def _blocks(ordered: DataFrame, grid: Grid) -> DataFrame:
 
 def _block_pairs(blocks: DataFrame, grid: Grid) -> DataFrame:
     """Pairs of blocks (``a`` <= ``b``) that may hold a link."""
-    meta = blocks.select("block", "label", "size", "low", "high", "cells")
-    cells = meta.withColumn("cell", F.explode("cells")).drop("cells")
+    cells = blocks.select("block", "label", "size", F.explode("cells").alias("cell"))
     steps = list(itertools.product((-1, 0, 1), repeat=grid.meeting))
     moves = F.array(*(F.array(*map(F.lit, s)) for s in steps))
     # Vectors of few dimensions have fewer axes: what a cell lacks, its neighbours lack too.
-    near = F.explode(
-        F.array_distinct(
-            F.transform(moves, lambda m: F.transform("cell", lambda c, i: c + F.get(m, i)))
-        )
-    )
-    probes = cells.select(
-        F.col("block").alias("a"), "label", "size", F.col("low").alias("low_a"), F.col("high").alias("high_a"), near.alias("cell")
-    ).distinct()
-    met = probes.join(cells.withColumnRenamed("block", "b"), ["label", "size", "cell"]).where("a <= b")
+    near = F.transform(moves, lambda m: F.transform("cell", lambda c, i: c + F.get(m, i)))
+    probes = cells.select(F.col("block").alias("a"), "label", "size", F.explode(F.array_distinct(near)).alias("cell"))
+    met = probes.distinct().join(cells.withColumnRenamed("block", "b"), ["label", "size", "cell"])
+    met = met.where("a <= b").select("a", "b").distinct()
+    boxes = blocks.select("block", "low", "high")
+    met = met.join(boxes.toDF("a", "low_a", "high_a"), "a").join(boxes.toDF("b", "low", "high"), "b")
     gaps = F.transform(
         F.arrays_zip("low_a", "high_a", "low", "high"),
         lambda g: F.greatest(g.getField("low") - g.getField("high_a"), g.getField("low_a") - g.getField("high"), F.lit(0.0)),
     )
     apart = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap)
-    return met.where(apart <= grid.epsilon**2).select("a", "b").distinct()
+    return met.where(apart <= grid.epsilon**2).select("a", "b")
 
 
 def _near_parts(place_a: np.ndarray, place_b: np.ndarray, same: bool, grid: Grid) -> Iterator[tuple[slice, slice]]:
