@@ -7,9 +7,9 @@ choice of ``errors`` slots left out, and such a pair shares an index key.  Signa
 decides which pairs of a key are compared on their full sets.
 
 Texts with the same set are one class.  The pairs of a key are not all formed: its classes are compared with a
-leader first, twice with different leaders, and linked classes become one component.  What is left are classes
-that share a key and are in different components; of these, pairs are formed only if their sets, rare shingles
-first, can overlap enough.  Links within a component would add nothing.
+leader first, twice with different leaders, and linked classes become one component.  What is left are classes that share a key and are in
+different components; of these, pairs are formed only if their sets, rare shingles first, can overlap enough.
+Links within a component would add nothing.
 """
 
 from __future__ import annotations
@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.components import components
 from cohortlens.llm.work import unused, written
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _REMEMBERED = 400_000
 _BLOCK = 4096
-_COUNTERS = 1 << 20
+_COUNTERS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -271,9 +270,9 @@ def near_duplicates(
     compare = _Comparison(classes, texts, settings)
     labels = buckets.select("node").distinct().withColumn("component", F.col("node"))
     members = buckets.withColumn("component", F.col("node"))
-    links = None
     for turn in range(2):
-        # First the smallest class leads, so that most of a group have one leader, then one drawn by lot.
+        # First the smallest class leads, so that most of a group have one leader, then one drawn by lot, which
+        # joins large components that have but few links.
         rank = F.col("node") if turn == 0 else F.xxhash64(F.col("node"), F.lit(turn))
         order = F.struct(rank.alias("h"), "node", "component", "n")
         leaders = members.groupBy("key").agg(
@@ -282,18 +281,14 @@ def near_duplicates(
         leaders = written(leaders.where("x <> y").select("key", "l"), "leaders")
         pairs = members.join(leaders, "key").where("component <> l.component")
         pairs = pairs.where(_sizes_allow("n", "l.n", settings.percent))
-        more = written(compare.links(pairs.select(F.col("l.node").alias("u"), F.col("node").alias("v"))), "links")
-        links = more if links is None else links.unionByName(more)
-        labels = written(_joined(labels, more), "labels")
+        pairs = pairs.select(F.col("l.node").alias("u"), F.col("node").alias("v"))
+        labels = _joined(labels, written(compare.links(pairs), "links"))
         members = buckets.join(labels, "node")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     mixed = written(mixed.where("x <> y").select("key"), "mixed-keys")
     left = members.join(mixed, "key", "left_semi").select("node", "component").distinct()
     pairs = _overlapping(written(left.join(texts, "node"), "left"), settings)
-    links = links.unionByName(written(compare.links(pairs), "links"))
-
-    top = components(_between(labels, links)).toDF("component", "top")
-    found = labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    found = _joined(labels, written(compare.links(pairs), "links"))
     first = classes.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("first"))
     named = found.join(first, "component").select("node", "first")
     answers = classes.join(named, "node", "left").select(
@@ -379,18 +374,20 @@ def _between(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` with each component merged into the smallest one it has a link with, if that is smaller.
+    """``labels`` with linked components made one.
 
-    Two steps along smaller components are taken: not all that is linked ends in one component, but all that
-    is in one component is linked.
+    Each round merges every component into the smallest one it has a link with, if that is smaller, and on into
+    the one that joins next.  At least half of the components that still have links go in a round.
     """
-    edges = _between(labels, links)
-    both = edges.union(edges.select("v", "u"))
-    lower = both.groupBy("u").agg(F.min("v").alias("v")).where("v < u")
-    lower = written(lower, "lower")
-    steps = lower.join(lower.toDF("v", "w"), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
-    found = labels.join(steps.toDF("component", "lower"), "component", "left")
-    return found.select("node", F.coalesce("lower", "component").alias("component"))
+    labels = written(labels, "labels")
+    while not (edges := written(_between(labels, links).distinct(), "between")).isEmpty():
+        both = edges.union(edges.select("v", "u"))
+        lower = both.groupBy("u").agg(F.min("v").alias("v")).where("v < u")
+        lower = written(lower, "lower")
+        steps = lower.join(lower.toDF("v", "w"), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+        found = labels.join(steps.toDF("component", "lower"), "component", "left")
+        labels = written(found.select("node", F.coalesce("lower", "component").alias("component")), "labels")
+    return labels
 
 
 def deduplicated(
