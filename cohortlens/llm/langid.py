@@ -92,10 +92,13 @@ class Model:
         return total / max(n, 1)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score from 0 to 1, and whether it is ambiguous."""
+        """Language, score from 0 to 1, and whether it is ambiguous.
+
+        A text without letters is ambiguous; where no language was learnt, others aren't.
+        """
         ready = prepared(text)
         if not ready or not self.languages:
-            return UNDETERMINED, 0.0, True
+            return UNDETERMINED, 0.0, not ready
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
         bits = np.clip(self.margins(ready) / self.scale, -3, 3)

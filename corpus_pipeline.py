@@ -18,11 +18,14 @@ SHORT = 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters, or between two languages, go."""
+    """Documents whose language can be told; those without letters, or between two languages, go.
+
+    Where no document names its language nothing can be learnt, and all with letters stay.
+    """
     into = work.unused(docs, "_language")
     found = identified_documents(docs, into, work.unused(docs, "_held_out"))
     is_short = F.length("text") < SHORT
-    told = (F.col(f"{into}.lang_pred") != UNDETERMINED) & (~F.col(f"{into}.ambiguous") | is_short)
+    told = ~F.col(f"{into}.ambiguous") | (is_short & (F.col(f"{into}.lang_pred") != UNDETERMINED))
     return found.where(told).select(docs.columns)
 
 
