@@ -11,6 +11,8 @@ the corpus, is drawn again until all are distinct.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,19 @@ ENDINGS = {
 _TITLE = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 
+# The whole value of a secret, to its closing quote or white space: marks that end a sentence or bracket are left
+# out at its end, and so is what follows as the next ``name=``.  Possessive, so that no length is too long.
+_MARKS = r"&;,.!?:)\]}>"
+_VALUE = (
+    rf"(?:[^\s\"'{_MARKS}]++|(?![{_MARKS}]*+(?<=[&;,])[\w-]{{1,40}}+[=:])[{_MARKS}]++(?=[^\s\"']))++"
+)
+
 #: Type and pattern of every kind of entity; where two match at one place, the first counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-    r"(?=[^\s\"']{0,127}\d)[A-Za-z0-9+/_.~-]{8,128}",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?:sk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,100})(?![A-Za-z0-9])",
+    rf"(?=[A-Za-z0-9+/_.~-]{{8}})(?=[^\s\"']{{0,127}}\d|[A-Za-z0-9+/_.~-]{{128}}){_VALUE}",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16,}+|(?:sk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
@@ -112,20 +121,59 @@ def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _shaped(value: Column, stream: Column) -> Column:
-    """Drawn letters for letters and digits for digits; anything else stays."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+class _Stream:
+    """Keyed bytes for a value, in blocks of 64 written in hex: as many as the value is long."""
 
-    def drawn(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
-        letter = lambda first: F.char(F.lit(ord(first)) + b % 26)
-        return (
-            F.when(c.between("0", "9"), (b % 10).cast("string"))
-            .when(c.between("a", "z"), letter("a"))
-            .when(c.between("A", "Z"), letter("A"))
-            .otherwise(c)
+    def __init__(self, key: str, salt: str, kind: Column, what: Column):
+        # A long value is hashed once, not for every block.
+        self._seed = F.when(F.length(what) > 128, F.sha2(what, 512)).otherwise(what)
+        self._head, self._kind = (F.lit(key), F.lit(salt)), kind
+
+    def _block(self, seed: Column, i: Column) -> Column:
+        key, salt = self._head
+        return F.sha2(F.concat_ws("\u0001", key, F.concat(salt, i.cast("string")), self._kind, seed), 512)
+
+    def start(self) -> Column:
+        """The first 128 bytes."""
+        return F.concat(*(self._block(self._seed, F.lit(i)) for i in range(2)))
+
+    def by_piece(self, value: Column, use: Callable[[Column, Column], Column], size: int = 64) -> Column:
+        """``use(piece, block)`` of all pieces of ``size`` characters of a value, joined."""
+        pieces = F.regexp_extract_all(value, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        done = lambda seed: F.transform(
+            pieces, lambda piece, i: _let(self._block(seed, i), lambda block: use(piece, block))
         )
+        return F.array_join(_let(self._seed, done), "")
 
-    return F.array_join(F.transform(F.split(value, ""), drawn), "")
+
+def _shaped(value: Column, stream: _Stream) -> Column:
+    """Drawn letters for letters and digits for digits; anything else stays."""
+
+    def piece(chars: Column, block: Column) -> Column:
+        def drawn(c: Column, i: Column) -> Column:
+            b = _byte(block, i)
+            letter = lambda first: F.char(F.lit(ord(first)) + b % 26)
+            return (
+                F.when(c.between("0", "9"), (b % 10).cast("string"))
+                .when(c.between("a", "z"), letter("a"))
+                .when(c.between("A", "Z"), letter("A"))
+                .when((c > "~") & c.rlike(r"\p{L}"), letter("a"))
+                .otherwise(c)
+            )
+
+        return F.array_join(F.transform(F.split(chars, ""), drawn), "")
+
+    return stream.by_piece(value, piece)
+
+
+def _hex(value: Column, stream: _Stream) -> Column:
+    """Drawn hex digits, as many as the value has."""
+    return stream.by_piece(value, lambda piece, block: F.substring(block, F.lit(1), F.length(piece)), 128)
 
 
 def _checked(digits: Column) -> Column:
@@ -141,12 +189,12 @@ def _checked(digits: Column) -> Column:
     return total % 10
 
 
-def _card(digits: Column, stream: Column) -> Column:
+def _card(digits: Column, stream: _Stream) -> Column:
     """Same first digit; a valid check digit if the number had one."""
     drawn = F.concat(F.substring(digits, 1, 1), F.substring(_shaped(digits, stream), F.lit(2), F.length(digits) - 2))
     check = F.concat(drawn, ((F.lit(10) - _checked(F.concat(drawn, F.lit("0")))) % 10).cast("string"))
     return F.when(_checked(digits) == 0, check).otherwise(
-        F.concat(drawn, (_byte(stream, F.lit(60)) % 10).cast("string"))
+        F.concat(drawn, (_byte(stream.start(), F.lit(60)) % 10).cast("string"))
     )
 
 
@@ -167,34 +215,31 @@ def _candidate(key: str, draw: int) -> Column:
     """The surrogate of ``canon`` at a draw, in canonical form; from columns ``kind`` and ``canon``."""
     kind, canon = F.col("kind"), F.col("canon")
 
-    def stream(what: Column, salt: str) -> Column:
-        parts = [F.concat_ws("\u0001", F.lit(key), F.lit(f"{salt}{i}"), kind, what) for i in range(2)]
-        return F.concat(*(F.sha2(p, 512) for p in parts))
-
-    drawn = stream(canon, f"{draw}.")
+    stream = _Stream(key, f"{draw}.", kind, canon)
+    drawn = stream.start()
     at = F.instr(canon, "@")
     domain = F.substring(canon, at + 1, F.lit(4096))
     top = F.regexp_extract(domain, r"\.[^.]*$", 0)
     # The mails of one domain stay in one domain; the top level domain stays.
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     longer = F.substring(drawn, 200, 2 * draw) if draw > 2 else F.lit("")
-    local = F.concat(_shaped(F.substring(canon, F.lit(1), at - 1), drawn), longer)
-    email = F.concat(local, F.lit("@"), _shaped(host, stream(host, "host.")), top)
+    local = F.concat(_shaped(F.substring(canon, F.lit(1), at - 1), stream), longer)
+    email = F.concat(local, F.lit("@"), _shaped(host, _Stream(key, "host.", kind, host)), top)
     octets = [(_byte(drawn, F.lit(2 * i)) * 256 + _byte(drawn, F.lit(2 * i + 1))) for i in range(4)]
     ip = F.concat_ws(".", *((F.lit(1) + o % (223 if i == 0 else 254)).cast("string") for i, o in enumerate(octets)))
     is_hex = canon.rlike("^[0-9a-f]+$")
-    secret = F.when(is_hex, F.substring(drawn, F.lit(1), F.length(canon))).otherwise(_shaped(canon, drawn))
+    secret = F.when(is_hex, _hex(canon, stream)).otherwise(_shaped(canon, stream))
     key_head = F.regexp_extract(canon, "^(?:AKIA|sk[-_]|ghp[-_]|xox[bp][-_])", 0)
-    key_tail = F.substring(canon, F.length(key_head) + 1, F.lit(256))
+    key_tail = F.substring(canon, F.length(key_head) + 1, F.length(canon))
     country = F.substring(canon, 1, 2)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
-        .when(kind == "card", _card(canon, drawn))
+        .when(kind == "card", _card(canon, stream))
         .when(kind == "secret", secret)
-        .when(kind == "key", F.concat(key_head, _shaped(key_tail, drawn)))
-        .when(kind == "iban", F.concat(country, _shaped(F.substring(canon, F.lit(3), F.lit(64)), drawn)))
-        .when(kind.isin("phone", "ssn"), _shaped(canon, drawn))
+        .when(kind == "key", F.concat(key_head, _shaped(key_tail, stream)))
+        .when(kind == "iban", F.concat(country, _shaped(F.substring(canon, F.lit(3), F.lit(64)), stream)))
+        .when(kind.isin("phone", "ssn"), _shaped(canon, stream))
         .otherwise(_name(kind, drawn, draw))
     )
 

@@ -59,6 +59,27 @@ def test_secrets_keep_their_names(spark):
     assert got[2] == "the token: something"
 
 
+def test_secrets_and_keys_of_any_length(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "aB3_" * 70 + "." + "x-9Z" * 12
+    twins = ["Q7" * 70 + "left1", "Q7" * 70 + "right"]
+    hexes, key, long = "0a9f" * 100, "sk_" + "k7Q" * 54, "b4" * 60_000
+    texts = [f'token = "{jwt}" end', *(f"password={x} end" for x in twins), f"secret={hexes}", f"see {key}.", f"pwd={long} end"]
+    texts += ["sk-" + "abc_9-" * 40 + "Z end", "password=abcdefg1!x#Y=42, end", "(token=abcd12345&user=jo) password=abcd12345."]
+    texts += ["api_key=" + "abcdefgh" * 20 + " end", "AKIA" + "Z9" * 20]
+    got = run(spark, texts)
+    for text, new in zip(texts, got, strict=True):
+        assert len(new) == len(text) and new != text
+    for value, new in zip([jwt, *twins, hexes, key, long], got, strict=False):
+        assert not any(value[i : i + 12] in new for i in range(0, len(value) - 12, 7))
+    assert shape(got[0]) == shape(texts[0]) and shape(got[4]) == shape(texts[4])
+    assert got[1] != got[2] and got[1][:40] != got[2][:40]
+    assert re.fullmatch("secret=[0-9a-f]{400}", got[3]) and got[5].endswith(" end")
+    assert got[6].endswith(" end") and "abc_9-" not in got[6]
+    assert re.fullmatch(r"password=[a-z]{7}\d![a-z]#[A-Z]=\d\d, end", got[7])
+    assert re.fullmatch(r"\(token=(\w+)&user=jo\) password=\1\.", got[8])
+    assert "abcdefgh" not in got[9] and got[9].endswith(" end") and "Z9Z9Z9" not in got[10]
+
+
 def test_coreference_and_distinctness(spark):
     mails = [f"user{i}@corp.example.org" for i in range(300)] + ["USER7@corp.example.org"]
     got = run(spark, [f"{m} and {m}" for m in mails])
