@@ -3,7 +3,8 @@
 Entities are found by patterns: mail and network addresses, phone, card and social security numbers, bank
 accounts, access keys, secrets and titled names.  Each distinct entity receives a surrogate drawn from a keyed
 hash, of the same type and format: digits for digits, letters for letters, a valid check digit for a valid one,
-and for names the same script and gender.  Mentions of one entity have one surrogate in all texts.
+and for names the same script and gender.  Mentions of one entity have one surrogate in all texts; the names of a
+text's titled persons are found in that text without their title, too.
 
 Draws are checked for collisions: a surrogate that another entity holds, or that is itself an entity of
 the corpus, is drawn again until all are distinct.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.work import unused, written
@@ -35,7 +36,8 @@ ENDINGS = {
     "greek": {"m": "ς", "f": "νη", "n": "ν", "surname": "κης"},
 }
 
-_TITLE = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))
+_TITLES = [*MALE, *FEMALE, *NEUTRAL]
+_TITLE = "|".join(sorted(_TITLES, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 
 # The whole value of a secret, to its closing quote or white space: marks that end a sentence or bracket are left
@@ -66,9 +68,46 @@ _SECRET_HEAD = r"^[^=:]*[=:]\s{0,3}[\"']?"
 MOST_DRAWS = 24
 
 
+_TITLED = rf"^(?:{_TITLE})\.? "
+_NAME_END = r"(?:['’][sS])?[-'’]*$"
+
+
+def _bare(mentions: Column) -> Column:
+    """Pattern of the names of all titled persons among the mentions, in runs and any case but a first small letter.
+
+    Null without such persons.  Where one name begins another, the longer comes first.
+    """
+    persons = F.filter(mentions, lambda m: m.rlike(_TITLED))
+    words = F.flatten(F.transform(persons, lambda m: F.split(F.regexp_replace(m, _TITLED, ""), " ")))
+    names = F.transform(words, lambda w: F.lower(F.regexp_replace(w, _NAME_END, "")))
+    names = F.filter(F.array_distinct(names), lambda n: (F.length(n) > 1) & ~n.isin(*(t.lower() for t in _TITLES)))
+
+    def pattern(names: Column) -> Column:
+        name = F.concat(F.lit(r"(?=\p{Lu})(?iu:"), F.array_join(F.sort_array(names, asc=False), "|"), F.lit(r")(?![\p{L}@])"))
+        return F.when(
+            F.size(names) > 0, F.concat(F.lit(r"(?<!\p{L})"), name, F.lit("(?: "), name, F.lit("){0,2}"))
+        )
+
+    return _let(names, pattern)
+
+
+def _pattern(bare: Column) -> Column:
+    """Pattern of all entities of a text, given that of its bare names."""
+    return F.when(bare.isNull(), F.lit(_ANY)).otherwise(F.concat(F.lit(f"{_ANY}|"), bare))
+
+
 def entities(text: Column) -> Column:
-    """All entities of a text as they are written, in order; null for a null text."""
-    return F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
+    """Struct ``found`` and ``bare`` of a text: all entities as they are written, in order, null for a null text;
+    and the pattern of the names that count without a title, or null."""
+
+    def again(first: Column) -> Column:
+        def whole(bare: Column) -> Column:
+            found = F.when(bare.isNull(), first).otherwise(F.regexp_extract_all(text, _pattern(bare), F.lit(0)))
+            return F.struct(found.alias("found"), bare.alias("bare"))
+
+        return _let(_bare(first), whole)
+
+    return _let(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), again)
 
 
 def _type(mention: Column) -> Column:
@@ -92,16 +131,17 @@ def _tokens(mention: Column) -> Column:
     """The entities of a mention as structs ``kind`` and ``canon``.
 
     A person has one for each name, so that the surname alone is still the same person; anything else has one.
+    Names without a title have the role ``bare`` until :func:`_settled` gives them one.
     """
-    words = F.split(mention, " ")
-    title = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
+    titled = mention.rlike(_TITLED)
+    title = F.regexp_replace(F.get(F.split(mention, " "), F.lit(0)), r"\.$", "")
     gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
-    names = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    names = F.split(F.regexp_replace(mention, _TITLED, ""), " ")
 
     def name(word: Column, i: Column) -> Column:
-        role = F.when(i == F.size(names) - 1, "surname").otherwise(gender)
+        role = F.when(~titled, "bare").when(i == F.size(names) - 1, "surname").otherwise(gender)
         kind = F.concat(F.lit("name."), _script(word), F.lit("."), role)
-        return F.struct(kind.alias("kind"), F.lower(word).alias("canon"))
+        return F.struct(kind.alias("kind"), F.lower(F.regexp_replace(word, _NAME_END, "")).alias("canon"))
 
     kind = _type(mention)
     canon = (
@@ -116,6 +156,23 @@ def _tokens(mention: Column) -> Column:
     return F.when(kind == "person", F.transform(names, name)).otherwise(one)
 
 
+def _settled(parts: DataFrame) -> DataFrame:
+    """``parts`` (``k``, ``kind``, ``canon``, …) with one role for names after a neutral title or none.
+
+    A neutral first name has the gender that the same name has elsewhere in its text, if it is one; a name
+    without a title is the surname or first name that its text knows.
+    """
+    is_name = F.col("kind").startswith("name.")
+    stem = F.regexp_extract("kind", r"^name\.[a-z]+\.", 0)
+    role = F.regexp_extract("kind", r"[a-z]+$", 0)
+    same = Window.partitionBy("k", stem, "canon")
+    has = {r: F.max(role == r).over(same) for r in ("surname", "m", "f", "n")}
+    gender = F.when(has["m"] & ~has["f"], "m").when(has["f"] & ~has["m"], "f").otherwise("n")
+    settled = F.when(role == "n", gender).when(role == "bare", F.when(has["surname"], "surname").otherwise(gender))
+    names = parts.where(is_name).withColumn("kind", F.concat(stem, F.coalesce(settled, role)))
+    return parts.where(~is_name).unionByName(names)
+
+
 def _byte(stream: Column, i: Column) -> Column:
     """The ``i``-th byte of a hash written in hex, from 0."""
     return F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -285,15 +342,30 @@ def _formatted(mention: Column, kind: Column, surrogate: Column) -> Column:
         return F.aggregate(F.split(mention, ""), start, put, lambda done: done.getField("out"))
 
     head = F.regexp_extract(mention, _SECRET_HEAD, 0)
+    end = F.regexp_extract(mention, _NAME_END, 0)
+    stem = F.regexp_replace(mention, _NAME_END, "")
     return (
         F.when(kind.isin("phone", "card", "ssn"), filled("[0-9]"))
         .when(kind == "iban", filled("[A-Z0-9]"))
         .when(kind == "secret", F.concat(head, surrogate))
-        .when(kind.startswith("name.") & (F.upper(mention) == mention), F.upper(surrogate))
+        .when(kind.startswith("name."), F.concat(F.when(F.upper(stem) == stem, F.upper(surrogate)).otherwise(surrogate), end))
         .otherwise(surrogate)
     )
 
 
+def _drawn(found: DataFrame, key: str) -> DataFrame:
+    """:func:`assigned`, where a neutral first name has the surrogate of the same name with a gender, if there is one."""
+    every = written(found.select("kind", "canon").distinct(), "kinds")
+    stem = F.regexp_extract("kind", r"^name\.[a-z]+\.", 0)
+    gendered = every.where(F.col("kind").rlike(r"^name\..*\.[mf]$")).select(stem.alias("stem"), "canon", F.col("kind").alias("as"))
+    gendered = gendered.groupBy("stem", "canon").agg(F.max("as").alias("as"))
+    neutral = every.where(F.col("kind").rlike(r"^name\..*\.n$")).withColumn("stem", stem)
+    same = written(neutral.join(gendered, ["stem", "canon"]).select("kind", "canon", "as"), "neutral")
+    surrogates = assigned(every.join(same, ["kind", "canon"], "left_anti"), key)
+    given = surrogates.withColumnRenamed("kind", "as").join(same, ["as", "canon"])
+    return surrogates.unionByName(given.select("kind", "canon", "surrogate"))
+
+
 def replaced(df: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``df`` with every entity of ``text`` replaced; all other columns and texts are as they were.
 
@@ -303,20 +375,23 @@ def replaced(df: DataFrame, key: str, text: str = "text", count: str | None = No
     entities do, until they rejoin their rows.
     """
     order = df.columns
-    found, listed = unused(df, "_found"), unused(df, "_list")
-    with_found = df.withColumn(found, entities(F.col(text)))
-    some = with_found.where(F.size(found) > 0)
+    found, bare, listed, both = (unused(df, name) for name in ("_found", "_bare", "_list", "_both"))
+    has_some = F.coalesce(F.col(text), F.lit("")).rlike(_ANY)
+    some = df.where(has_some).withColumn(both, entities(F.col(text)))
+    some = some.select(*(F.col(f"`{c}`") for c in order), F.col(f"{both}.found").alias(found), F.col(f"{both}.bare").alias(bare))
     some = written(some.withColumn(listed, F.sha2(F.array_join(found, "\u0001"), 256)), "with-entities")
-    none = df.where(~F.coalesce(F.col(text), F.lit("")).rlike(_ANY))
+    none = df.where(~has_some)
 
     lists = some.select(F.col(listed).alias("k"), F.col(found).alias("mentions")).dropDuplicates(["k"])
     mentions = lists.select("k", F.posexplode("mentions").alias("at", "mention"))
     parts = mentions.select("k", "at", "mention", F.posexplode(_tokens(F.col("mention"))).alias("part", "token"))
-    parts = written(parts.select("k", "at", "mention", "part", "token.*"), "mentions")
-    surrogates = assigned(parts, key)
+    parts = written(_settled(parts.select("k", "at", "mention", "part", "token.*")), "mentions")
+    surrogates = _drawn(parts, key)
     person = F.col("kind").startswith("name.")
+    titled = F.col("mention").rlike(_TITLED)
     # A mention of a person is written name by name.
-    word = F.when(person, F.get(F.split("mention", " "), F.col("part") + 1)).otherwise(F.col("mention"))
+    place = F.col("part") + titled.cast("int")
+    word = F.when(person, F.get(F.split("mention", " "), place)).otherwise(F.col("mention"))
     shown = parts.join(surrogates, ["kind", "canon"]).select(
         "k", "at", "part", "mention", person.alias("person"), _formatted(word, F.col("kind"), F.col("surrogate")).alias("s")
     )
@@ -328,7 +403,7 @@ def replaced(df: DataFrame, key: str, text: str = "text", count: str | None = No
     )
     names = F.array_join(F.transform("names", lambda x: x.getField("s")), " ")
     by_mention = by_mention.select(
-        "k", "at", F.when(F.col("person"), F.concat_ws(" ", title, names)).otherwise(names).alias("s")
+        "k", "at", F.when(F.col("person") & titled, F.concat_ws(" ", title, names)).otherwise(names).alias("s")
     )
     by_list = by_mention.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("new"))
     by_list = by_list.select(
@@ -337,7 +412,7 @@ def replaced(df: DataFrame, key: str, text: str = "text", count: str | None = No
     # Stored, so that the join deals both sides anew and a list that very many rows have can be split.
     by_list = written(by_list, "replacements")
     new = by_list.columns[1]
-    gaps = F.split(F.col(text), _ANY)
+    gaps = F.split(F.col(text), _pattern(F.col(bare)))
     whole = F.array_join(
         F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col(new), i), F.lit("")))), ""
     )

@@ -102,6 +102,19 @@ def test_names_by_gender_and_script(spark):
     assert re.fullmatch(r"госпожа [А-Я][а-я]+ко", got[2]) and got[4] == "Smith"
 
 
+def test_persons_are_found_without_their_title_in_their_own_text(spark):
+    texts = ["Mr John Smith came. Smith said: JOHN SMITH, John and Mr Smith's son. Smithson, smith.", "Smith", "Dr John Smith"]
+    texts += ["Frau Dr John met Mrs Sasha Poe, Dr Sasha Poe; Sasha", "Prof Sasha Poe"]
+    got = run(spark, texts)
+    n = re.match(r"Mr (\w+n) (\w+ler) came", got[0])
+    john, smith = n.groups()
+    up = f"{john} {smith}".upper()
+    assert got[0] == f"Mr {john} {smith} came. {smith} said: {up}, {john} and Mr {smith}'s son. Smithson, smith."
+    assert got[1] == "Smith" and got[2] == f"Dr {john} {smith}"
+    sasha, poe = re.search(r"Mrs (\w+na) (\w+ler),", got[3]).groups()
+    assert got[3].endswith(f"Mrs {sasha} {poe}, Dr {sasha} {poe}; {sasha}") and got[4] == f"Prof {sasha} {poe}"
+
+
 def test_collisions_are_drawn_again(spark):
     """Two-digit house codes leave little room: forced collisions must still end distinct."""
     rows = [("email", f"{a}{b}@x.example") for a in "abcdefghij" for b in "abcdefghij"]
