@@ -26,6 +26,13 @@ STOP_WORDS = (
     "el los las del y se con por es su para como"
 ).split()
 
+# The languages of the list as labels name them, their letters, and labels that name no language.
+COVERED = r"^(?:en|eng|english|fr|fra|fre|french|de|deu|ger|german|es|spa|spanish)(?:[-_].*)?$"
+LETTERS = "abcdefghijklmnopqrstuvwxyzàâäæçéèêëîïôœùûüÿñßáíóú"
+UNNAMED = ["", "und", "unknown", "none", "null", "mul", "mis", "zxx", "other", "n/a"]
+_NOT_OTHER = rf"[\P{{L}}{LETTERS}{LETTERS.upper()}]+"
+_UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]+"
+
 METRICS = (
     "n_words",
     "word_chars",
@@ -39,7 +46,10 @@ METRICS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep a text if ``low * per <= scale * metric <= high * per``; ``per`` None stands for 1."""
+    """Keep a text if ``low * per <= scale * metric <= high * per``; ``per`` None stands for 1.
+
+    ``unless`` tells, from the text and the label of its language, where the rule doesn't apply.
+    """
 
     name: str
     metric: str
@@ -47,6 +57,7 @@ class Rule:
     scale: int = 1
     low: int | None = None
     high: int | None = None
+    unless: Callable[[Column, Column], Column] | None = None
 
     def fails(self, metric: Callable[[str], Column]) -> Column:
         value = F.lit(self.scale) * metric(self.metric)
@@ -59,6 +70,24 @@ class Rule:
         return failed
 
 
+def _share(text: Column, rest: str, percent: int) -> Column:
+    """Whether so much of the text's letters is left when ``rest`` is taken out."""
+    left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("bigint")
+    return (left(rest) > 0) & (100 * left(rest) >= percent * left(r"\P{L}+"))
+
+
+def other_language(text: Column, lang: Column) -> Column:
+    """The label names a language without words in the list, or 3 % of the letters are none of its languages'."""
+    label = F.lower(F.trim(lang))
+    named = label.isNotNull() & ~label.isin(*UNNAMED) & ~label.rlike(COVERED)
+    return F.coalesce(named, F.lit(False)) | F.coalesce(_share(text, _NOT_OTHER, 3), F.lit(False))
+
+
+def unspaced_script(text: Column, lang: Column) -> Column:
+    """A third of the letters belong to scripts written without spaces, whose words can't be told."""
+    return F.coalesce(_share(text, _UNSPACED, 33), F.lit(False))
+
+
 #: Too short, or too much of it said twice.
 BASE_RULES = (
     Rule("words", "n_words", low=20),
@@ -66,9 +95,9 @@ BASE_RULES = (
 )
 
 RULES = (
-    Rule("word_length", "word_chars", per="n_words", low=2, high=15),
+    Rule("word_length", "word_chars", per="n_words", low=2, high=15, unless=unspaced_script),
     Rule("symbols", "n_symbols", per="n_words", scale=100, high=10),
-    Rule("stop_words", "n_stop_words", per="n_words", scale=100, low=2),
+    Rule("stop_words", "n_stop_words", per="n_words", scale=100, low=2, unless=other_language),
     Rule("duplicate_lines", "n_dup_lines", per="n_lines", scale=100, high=60),
 )
 
@@ -153,10 +182,18 @@ def metrics(text: Column) -> Column:
     return F.get(F.transform(parts, flat), F.lit(0))
 
 
-def failed(metric: Callable[[str], Column], rules: Sequence[Rule]) -> Column:
+def failed(metric: Callable[[str], Column], rules: Sequence[Rule], text: Column, lang: Column) -> Column:
     """Names of the rules that a text fails."""
-    names = [F.when(rule.fails(metric), F.lit(rule.name)) for rule in rules]
-    return F.array_compact(F.array(*names))
+
+    def fails(rule: Rule) -> Column:
+        # The text is read again only where the rule would fail it.
+        return rule.fails(metric) & ~rule.unless(text, lang) if rule.unless else rule.fails(metric)
+
+    return F.array_compact(F.array(*(F.when(fails(rule), F.lit(rule.name)) for rule in rules)))
+
+
+def _label(lang: str | None) -> Column:
+    return (F.col(lang) if lang else F.lit(None)).cast("string")
 
 
 def judged(
@@ -165,20 +202,22 @@ def judged(
     base_rules: Sequence[Rule] = BASE_RULES,
     rules: Sequence[Rule] = RULES,
     into: str = "quality",
+    lang: str | None = None,
 ) -> DataFrame:
     """Add the struct ``into``: all metrics, ``base_failed``, ``failed`` (names) and ``kept``.
 
-    Any other column is carried unread.  Null and empty texts have no words and fail the base rules;
+    ``lang`` names the column with the label of the language, if there is one; any other column is carried
+    unread.  Null and empty texts have no words and fail the base rules;
     repeated rows are judged alike; a column named as ``into`` is replaced.
     """
     every = [*base_rules, *rules]
 
     def verdict(found: Column) -> Column:
         metric = found.getField
-        fails = failed(metric, every)
+        fails = failed(metric, every, F.col(text), _label(lang))
         return F.struct(
             *(metric(name).alias(name) for name in METRICS),
-            (F.size(failed(metric, base_rules)) > 0).alias("base_failed"),
+            (F.size(failed(metric, base_rules, F.col(text), _label(lang))) > 0).alias("base_failed"),
             fails.alias("failed"),
             (F.size(fails) == 0).alias("kept"),
         )
@@ -191,8 +230,10 @@ def kept(
     text: str = "text",
     base_rules: Sequence[Rule] = BASE_RULES,
     rules: Sequence[Rule] = RULES,
+    lang: str | None = None,
 ) -> DataFrame:
     """The rows of ``df`` whose text passes every rule, with the columns of ``df``."""
     # One expression that binds the metrics: a filter on a column of verdicts would repeat them per rule.
     every = [*base_rules, *rules]
-    return df.where(_let(metrics(F.col(text)), lambda found: F.size(failed(found.getField, every)) == 0))
+    none = lambda found: F.size(failed(found.getField, every, F.col(text), _label(lang))) == 0
+    return df.where(_let(metrics(F.col(text)), none))

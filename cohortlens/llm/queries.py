@@ -104,7 +104,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and verdict of the quality rules for every document."""
-    judged = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), lang="lang")
     return judged.select("doc_id", "quality.*").drop("failed")
 
 

@@ -74,3 +74,21 @@ def test_query_equals_its_sql(spark):
     want = con.sql(ORACLE_SQL["op5_quality_rules"])
     got = op5_quality_rules(spark, folder).select(want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_text_of_languages_beyond_the_word_list_stays(spark):
+    clean = {
+        "ru": "Старый дом стоит на берегу реки рядом с мостом, который построили жители города много лет назад, и каждый год туда приезжают гости.",
+        "el": "Το παλιό σπίτι βρίσκεται κοντά στο ποτάμι και τη γέφυρα που έχτισαν οι κάτοικοι της πόλης πριν από πολλά χρόνια για όλους τους επισκέπτες.",
+        "pl": "Stary dom stoi nad brzegiem rzeki obok mostu, który mieszkańcy miasta zbudowali wiele lat temu, i każdego roku przyjeżdżają tutaj goście z całego świata.",
+        "tr": "Eski ev nehrin kıyısında, şehir halkının yıllar önce yaptığı köprünün yanında durur ve her yıl birçok ziyaretçi buraya gelip güzel günler geçirir, sonra yine döner.",
+        "zh": " ".join(f"河边的老房子靠近一座桥是城里的人们在很多年以前修建的第{c}" for c in "一二三四五六七八九十百千万亿甲乙丙丁戊己庚辛"),
+    }
+    finnish = "Vanha talo seisoo joen rannalla sillan vieressä, jonka kaupungin asukkaat rakensivat monta vuotta sitten, ja joka vuosi sinne saapuu paljon iloisia vieraita."
+    rows = [(k, t, None) for k, t in clean.items()] + [("fi", finnish, "fi-FI")]
+    rows += [("en", finnish, "en"), ("none", finnish, None), ("und", finnish, "und")]
+    df = spark.createDataFrame(rows, "k string, text string, lang string")
+    assert {r.k for r in Q.kept(df, lang="lang").collect()} == {*clean, "fi"}
+    judged = Q.judged(df, lang="lang").where("quality.kept")
+    assert {r.k for r in judged.collect()} == {*clean, "fi"}
+    assert {r.k for r in Q.kept(df.drop("lang")).collect()} == set(clean)
