@@ -32,9 +32,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20
 LEAST_REVISIT = 100
 
-#: Bytes read at once, and the longest headers of a record.
+#: Bytes read at once.
 _CHUNK = 4 << 20
-_HEADERS = 1 << 20
 
 _RECORD_ID = "urn:x-page:"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -155,7 +154,7 @@ def _record_length(read: ReadAt, start: int, most: int) -> int:
 def record(packed: bytes) -> tuple[dict[str, str], bytes]:
     """Headers in lower case, and block, of one record's bytes."""
     plain = zlib.decompress(packed, 31) if packed[:2] == b"\x1f\x8b" else packed
-    end = plain.find(b"\r\n\r\n", 0, _HEADERS)
+    end = plain.find(b"\r\n\r\n")
     if not plain.startswith(b"WARC/") or end < 0:
         raise ValueError("not a WARC record")
     headers = {}

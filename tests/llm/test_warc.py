@@ -118,3 +118,10 @@ def test_query_equals_its_sql(spark):
     want = con.sql(ORACLE_SQL["op8_warc"])
     got = op8_warc(spark, folder).select(want.columns)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_headers_of_any_length_come_back():
+    wanted = [row(1, b"one", url="http://a.example/" + "x" * 3_000_000), row(2, b"two")]
+    data = package(wanted)
+    got = [warc._row(reader(data)(start, n)) for start, n in warc.ranges(reader(data), len(data))]
+    assert [(g["page_id"], g["url"], g["payload"]) for g in got] == [(w[0], w[1], w[3]) for w in wanted]
