@@ -15,15 +15,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.work import written
+
 UNDETERMINED = "und"
 
-#: Buckets of hashed n-grams, longest n-gram in bytes, and most languages of one model.
+#: Buckets of hashed n-grams, longest n-gram in bytes, and most languages whose counts are held at once.
 BUCKETS = 1 << 14
 LONGEST = 3
 MOST_LANGUAGES = 512
@@ -66,6 +69,9 @@ def codewords(n: int) -> np.ndarray:
         return np.array(bits, np.int8).reshape(n, len(divisions) if n else 0)
     best, best_apart = None, -1
     width = 10 * int(np.ceil(np.log2(n)))
+    if n > MOST_LANGUAGES:  # random words of so many bits are far apart; comparing all pairs would cost too much
+        code = np.random.default_rng(0).choice(np.array([-1, 1], np.int8), (n, width))
+        return code[:, np.abs(code.sum(axis=0)) < n]
     for seed in range(20):
         code = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (n, width))
         code = code[:, np.abs(code.sum(axis=0)) < n]
@@ -108,52 +114,67 @@ class Model:
         return self.languages[first], score, score < AMBIGUOUS
 
 
-def _counted(buckets: int):
+def _counted(buckets: int, most: int):
+    def emitted(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            columns = [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
+        totals.clear()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if lang not in totals:
-                    if len(totals) >= MOST_LANGUAGES:
-                        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+                    if len(totals) >= most:  # a full table is sent on, and Spark sums
+                        yield from emitted(totals)
                     totals[lang] = np.zeros(buckets, np.int64)
                 for found in grams(prepared(text.as_py()), buckets):
                     totals[lang] += np.bincount(found, minlength=buckets)
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            columns = [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
+        yield from emitted(totals)
 
     return count
 
 
+def _shares(counts: DataFrame, languages: tuple[str, ...], buckets: int) -> np.ndarray:
+    """Smoothed share of every bucket in the n-grams of a few languages: language, bucket."""
+    found = counts.where(F.col("lang").isin(*languages)).toArrow()
+    n = np.full((len(languages), buckets), 0.5)
+    row = {name: i for i, name in enumerate(languages)}
+    at = np.array([row[x] for x in found["lang"].to_pylist()], np.int64)
+    n[at, found["bucket"].to_numpy()] += found["n"].to_numpy()
+    return n / n.sum(axis=1, keepdims=True)
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
     """Learn from every row with a text and a language.
 
-    The driver receives one count per language and bucket, at most ``MOST_LANGUAGES * buckets`` numbers
-    however large ``df`` is.  Texts without letters teach nothing; without any others the model has no
+    The driver receives the names of all languages, and one count per language and bucket for
+    ``MOST_LANGUAGES`` languages at a time, however large ``df`` is and however many they are.  Texts without letters teach nothing; without any others the model has no
     language and predicts ``und``.
     """
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    counts = rows.mapInArrow(_counted(buckets), "lang string, bucket long, n long")
-    found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = tuple(sorted(set(found["lang"].to_pylist())))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    n = np.full((len(languages), buckets), 0.5)
-    row = {name: i for i, name in enumerate(languages)}
-    at = np.array([row[x] for x in found["lang"].to_pylist()], np.int64)
-    n[at, found["bucket"].to_numpy()] += found["n"].to_numpy()
-    share = n / n.sum(axis=1, keepdims=True)
+    most = MOST_LANGUAGES
+    counts = rows.mapInArrow(_counted(buckets, most), "lang string, bucket long, n long")
+    counts = written(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    languages = tuple(sorted(r.lang for r in counts.select("lang").distinct().collect()))
+    blocks = [slice(at, at + most) for at in range(0, len(languages), most)]
+    held = cache(lambda at: _shares(counts, languages[at : at + most], buckets))
+    shares = held if len(blocks) == 1 else held.__wrapped__  # one block is read once, many are read in turn
     code = codewords(len(languages))
     if not code.size:
         empty = np.zeros((len(languages), 0))
         return Model(languages, code, np.zeros((buckets, 0)), empty, np.zeros(0))
-    has, lacks = (code > 0).astype(float), (code < 0).astype(float)
-    with_bit = share.T @ (has / has.sum(axis=0))
-    without = share.T @ (lacks / lacks.sum(axis=0))
+    n_has, n_lacks = (code > 0).sum(axis=0), (code < 0).sum(axis=0)
+    with_bit, without = np.zeros((2, buckets, code.shape[1]))
+    for b in blocks:
+        share = shares(b.start)
+        with_bit += share.T @ ((code[b] > 0) / n_has)
+        without += share.T @ ((code[b] < 0) / n_lacks)
     weights = np.log(with_bit / without)
-    expected = (share @ weights) * code  # mean margin of each language on its own side
+    # Mean margin of each language on its own side.
+    expected = np.concatenate([shares(b.start) @ weights for b in blocks]) * code
     trust = np.clip(expected, 1e-6, None)
     trust /= trust.sum(axis=1, keepdims=True)
     return Model(languages, code, weights, trust, np.abs(expected).mean(axis=0) + 1e-9)

@@ -85,3 +85,22 @@ def test_query_on_held_out_documents(spark):
         if row.held_out and docs[row.doc_id].lang:
             right.append(row.lang_pred == docs[row.doc_id].lang)
     assert sum(right) >= 0.97 * len(right), (sum(right), len(right))
+
+
+def test_more_labels_than_are_held_at_once(spark, model, monkeypatch):
+    rows = spark.createDataFrame([(k, t) for k, t in SAMPLES.items()] * 3, "lang string, text string").coalesce(1)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    monkeypatch.setattr(langid, "codewords", lambda n: model.code)
+    one, same = langid.fit(rows), langid.fit(spark.createDataFrame(rows.collect(), rows.schema))
+    assert one.languages == same.languages == model.languages
+    assert np.allclose(one.weights, same.weights) and np.allclose(one.trust, same.trust)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 512)
+    whole = langid.fit(rows)
+    assert np.allclose(one.weights, whole.weights) and np.allclose(one.scale, whole.scale)
+
+
+def test_a_corpus_with_very_many_labels_has_a_model(spark):
+    rows = [(k, t) for k, t in SAMPLES.items()] + [(f"noise{i}", f"zq{i} qz xx" + chr(97 + i % 26) * 5) for i in range(600)]
+    found = langid.fit(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    assert len(found.languages) == 604 and len({tuple(c) for c in found.code}) == 604
+    assert [found.predict(t)[0] for t in SAMPLES.values()] == list(SAMPLES)
