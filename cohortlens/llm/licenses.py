@@ -36,12 +36,20 @@ TEMPLATES = {
         the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
         conditions: The above copyright notice and this permission notice
         <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or
-        substantial portions of the Software. <<beginOptional>>THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
-        OF ANY KIND, EXPRESS OR IMPLIED<<endOptional>>""",
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;words=1-20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+        THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc-text": """
         Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
         purpose with or without fee is hereby granted, provided that the above copyright notice and this
-        permission notice appear in all copies.""",
+        permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;words=1-20>> DISCLAIMS
+        ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL <<var;words=1-20>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES
+        OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
     "bsd-text": """
         Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met: <<var;words=0-1>> Redistributions of source code must retain the
@@ -50,7 +58,13 @@ TEMPLATES = {
         following disclaimer in the documentation and/or other materials provided with the distribution.
         <<beginOptional>><<var;words=0-1>> Neither the name of <<var;words=1-12>> nor the names of its contributors
         may be used to endorse or promote products derived from this software without specific prior written
-        permission.<<endOptional>>""",
+        permission.<<endOptional>> THIS SOFTWARE IS PROVIDED BY <<var;words=1-20>> "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;words=1-20>> BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+        ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "apache-2.0": """
         Licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0
         <<beginOptional>>(the "License"); you may not use <<var;words=1-6>> except in compliance with the

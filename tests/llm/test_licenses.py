@@ -112,3 +112,14 @@ def test_query_equals_brute_force(spark):
         n, n_base, first, last, labels = brute(docs[r.doc_id])
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, n_base, first, last, ",".join(labels))
         assert set(labels) <= set(r.labels.split(",")) | {""}
+
+
+def test_license_texts_match_only_to_their_end():
+    automata = {name: licenses.compiled(licenses.TEMPLATES[name]) for name in ("mit-text", "isc-text", "bsd-text")}
+    for name, automaton in automata.items():
+        text = re.sub(r"<<var;[^>]*>>", " holders ", re.sub(r"<<(begin|end)Optional>>", " ", licenses.TEMPLATES[name]))
+        whole = split(text)
+        label = lambda found: licenses.scan(" ".join(found).encode(), {}, {name: automaton})["labels"]  # noqa: E731, B023
+        at = whole.index("liable")
+        assert label(whole) == [name] and label(whole[:-1]) == label(whole[: at - 5]) == []
+        assert label([*whole[: at + 2], "changed", *whole[at + 3 :]]) == []
