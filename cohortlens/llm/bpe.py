@@ -26,12 +26,14 @@ _NO_PAIR = 1 << 62
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 #: What a task remembers of the words it has met, in words and in characters.
-REMEMBERED = 500_000
-REMEMBERED_LENGTH = 16 << 20
+REMEMBERED = 200_000
+REMEMBERED_LENGTH = 8 << 20
 
-#: Words of up to so many bytes are merged side by side; texts are taken in groups of so many bytes.
+#: Words of up to so many bytes are merged side by side, so many at once (some 2 kB each while they are); texts are
+#: taken in groups of so many bytes.
 SHORT = 32
-TOGETHER = 4 << 20
+SIDE_BY_SIDE = 4096
+TOGETHER = 2 << 20
 
 # Texts of these characters need no normalization but lower case, and split by this pattern: printable
 # ASCII, its white space, and the letters (and two signs) of Latin-1.
@@ -47,8 +49,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
+def _special(spec: dict) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+
+
+@cache
+def tokens(path: str) -> dict[int, bytes]:
+    """The text of every id, special ones included: all that decoding needs of a vocabulary file."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    if spec.get("decoder"):
+        raise ValueError("only vocabularies without a decoder are supported")
+    known = {i: t.encode() for t, i in spec["model"]["vocab"].items()}
+    return {**known, **{i: t.encode() for t, i in _special(spec).items()}}
+
+
 class Vocabulary:
-    """Tokens, merges and special tokens of one vocabulary file."""
+    """Merges and special tokens of one vocabulary file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,8 +75,6 @@ class Vocabulary:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("dropout"):
             raise ValueError(f"not a plain BPE vocabulary: {path}")
-        if spec.get("decoder"):
-            raise ValueError("only vocabularies without a decoder are supported")
         ids: dict[str, int] = model["vocab"]
         end: str = model.get("end_of_word_suffix") or ""
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -71,14 +86,10 @@ class Vocabulary:
         self.last = np.array([ids[x + end] for x in letters], np.int64)
         self.bytes_of = {ord(x): bytes([b]) for b, x in enumerate(letters)}
 
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        self.special = _special(spec)
         # Where special tokens overlap, the longest one counts.
         found = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.special_text = re.compile(f"({found})") if found else None
-        tokens = {**{i: t for t, i in ids.items()}, **{i: t for t, i in self.special.items()}}
-        self.tokens: list[bytes | None] = [None] * (max(tokens) + 1)
-        for i, token in tokens.items():
-            self.tokens[i] = token.encode()
 
         library = Tokenizer.from_file(path)
         self._normalizer, self._splitter = library.normalizer, library.pre_tokenizer
@@ -264,9 +275,11 @@ class Vocabulary:
             elif word:
                 found[k] = np.array(self.merged(word), "<u4").tobytes()
         for base, places in sizes.items():
-            done = self.merged_together([words[k] for k in places], base)
-            for k, packed in zip(places, done, strict=True):
-                found[k] = packed
+            for at in range(0, len(places), SIDE_BY_SIDE):
+                some = places[at : at + SIDE_BY_SIDE]
+                done = self.merged_together([words[k] for k in some], base)
+                for k, packed in zip(some, done, strict=True):
+                    found[k] = packed
         return found
 
 
@@ -340,6 +353,16 @@ def encoded(text: Column, path: str) -> Column:
     return ids(text)
 
 
+def _joined(packed: bytes | None, known: dict[int, bytes]) -> bytes | None:
+    if packed is None:
+        return None
+    ids = np.frombuffer(packed, "<u4").tolist()
+    try:
+        return b" ".join([known[i] for i in ids])
+    except KeyError:
+        return b" ".join([known[i] for i in ids if i in known])
+
+
 def decoded(ids: Column, path: str) -> Column:
     """Text of binary ids as :func:`encoded` returns them; null ids give null.
 
@@ -349,23 +372,27 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = vocabulary(path).tokens
-        known = {i: t for i, t in enumerate(tokens) if t is not None}
-
-        def joined(packed: bytes | None) -> bytes | None:
-            if packed is None:
-                return None
-            ids = np.frombuffer(packed, "<u4").tolist()
-            try:
-                return b" ".join([known[i] for i in ids])
-            except KeyError:
-                return b" ".join([known[i] for i in ids if i in known])
-
+        known = tokens(path)
         for batch in batches:
-            yield pa.array([joined(b.as_py()) for b in batch], pa.string())
+            yield pa.array([_joined(b.as_py(), known) for b in batch], pa.string())
 
     return text(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """``ids`` of :func:`encoded` and ``decoded``, their text as of :func:`decoded`, by one worker of a task."""
+    made = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+
+    @F.arrow_udf("ids binary, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, known = Encoder(path), tokens(path)
+        for batch in batches:
+            packed = list(encoder.texts(t.as_py() for t in batch.cast(pa.binary())))
+            columns = pa.array(packed, pa.binary()), pa.array((_joined(b, known) for b in packed), pa.string())
+            yield pa.StructArray.from_arrays(columns, fields=list(made))
+
+    return both(text)
+
+
 def token_count(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("bigint")

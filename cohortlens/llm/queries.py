@@ -23,8 +23,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
     path = vocabulary_path()
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = documents.select("doc_id", bpe.encoded(F.col("text"), path).alias("ids"))
-    texts = ids.select("doc_id", "ids", bpe.decoded(F.col("ids"), path).alias("decoded"))
+    texts = documents.select("doc_id", bpe.round_trip(F.col("text"), path).alias("r")).select("doc_id", "r.*")
     return texts.select(
         "doc_id",
         bpe.token_count(F.col("ids")).alias("n_tokens"),

@@ -88,3 +88,9 @@ def test_query_on_every_document(spark, library):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_query_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_bpe(spark, str(tmp_path))
+    assert got.collect() == [] and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
