@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, embeddings, importance, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
+from cohortlens.llm import bpe, conversations, embeddings, importance, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
 
 
 def vocabulary_path() -> str:
@@ -251,6 +251,23 @@ FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
 """
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage every conversation, then repair it: faults, cheapest edits and the digest of the result."""
+    table = _table(spark, sf_dir, "conversations")
+    found = conversations.repaired(conversations.damaged(table))
+    report = found.report.withColumnRenamed("conv_id", "c")
+    shown = conversations.digests(found.turns).withColumnRenamed("conv_id", "d")
+    ids = table.select("conv_id").distinct()
+    rows = ids.join(report, ids.conv_id.eqNullSafe(report.c), "left").join(shown, ids.conv_id.eqNullSafe(shown.d), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return rows.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -262,6 +279,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_embeddings": op10_embeddings,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
