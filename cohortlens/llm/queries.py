@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, conversations, embeddings, importance, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
+from cohortlens.llm import bpe, conversations, curve, embeddings, importance, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
 
 
 def vocabulary_path() -> str:
@@ -251,6 +251,13 @@ FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
 """
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents, neighbours on the curve together, into sequences without padding."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = curve.packed(curve.encoded(documents, vocabulary_path()))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage every conversation, then repair it: faults, cheapest edits and the digest of the result."""
     table = _table(spark, sf_dir, "conversations")
@@ -279,6 +286,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_embeddings": op10_embeddings,
+    "op11_curve_packing": op11_curve_packing,
     "op13_conversations": op13_conversations,
 }
 
