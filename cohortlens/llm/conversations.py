@@ -580,7 +580,7 @@ def repaired(
     )
     segments = _segments(_marked(rows), repairer, segment)
     folded = _folded(segments, repairer)
-    edits = _edited(segments, folded).where("action <> 'D'")
+    edits = written(_edited(segments, folded).where("action <> 'D'"), "edits")
     places = edits.where("action <> 'I'").withColumnRenamed("conv_id", "c").withColumnRenamed("turn", "t")
     texts = rows.withColumn("d", F.unhex(F.md5("text"))).dropDuplicates(["conv_id", "turn", "role", "d"])
     texts = texts.withColumnRenamed("role", "r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, conversations, curve, embeddings, importance, langid, licenses, near_dup, packing, pii, quality_rules, warc, work
+from cohortlens.llm import bpe, conversations, curve, embeddings, importance, langid, licenses, near_dup, negatives, packing, pii, quality_rules, warc, work
 
 
 def vocabulary_path() -> str:
@@ -258,6 +258,41 @@ def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all, on whole components and partly changed labels."""
+    table = _table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    rows = table.select("vec_id", changed.alias("label"), whole.alias("embedding"))
+    return negatives.mined(rows, F.col("vec_id") % 100 == 0)
+
+
+_OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+    CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage every conversation, then repair it: faults, cheapest edits and the digest of the result."""
     table = _table(spark, sf_dir, "conversations")
@@ -287,6 +322,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_embeddings": op10_embeddings,
     "op11_curve_packing": op11_curve_packing,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_conversations": op13_conversations,
 }
 
@@ -295,4 +331,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": _OP5_SQL,
     "op8_warc": _OP8_SQL,
     "op10_embeddings": _OP10_SQL,
+    "op12_hard_negatives": _OP12_SQL,
 }
