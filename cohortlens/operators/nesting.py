@@ -1,18 +1,21 @@
 """Bring parents and children together: as flat rows, or as lists of bounded length.
 
 A parent's list may hold any share of all rows, so it is delivered in *parts*: one row per
-(parent, part) whose lists hold about ``part_size`` elements.  Most parents have the single part 0.
-The whole list is the concatenation of the parts; no element is dropped.
+(parent, part) whose lists hold about ``part_size`` elements.  Parts are numbered from 0 without gaps, most parents
+have the single part 0, and the parts in order are the whole sorted list: neither its elements nor their order
+depend on ``part_size``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.operators.ranking import running, stored
+
 PART_SIZE = 10_000
 
 
@@ -25,11 +28,25 @@ def split_copies(rows: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     )
 
 
+def _has_list(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_list(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.ArrayType)
+
+
+def _plain(name: str, kind: T.DataType) -> Column:
+    """What an element is sorted by: all of it but the lists it holds."""
+    if not isinstance(kind, T.StructType) or not _has_list(kind):
+        return F.col(name)
+    kept = [F.col(f"{name}.{f.name}") for f in kind.fields if not _has_list(f.dataType)]
+    return F.when(F.col(name).isNotNull(), F.struct(*kept))
+
+
 def collect_parts(
     rows: DataFrame,
     keys: Sequence[str],
     lists: Mapping[str, Column],
-    spread: Sequence[str],
+    ties: Sequence[str] = (),
     *,
     copies: str | None = None,
     weight: Column | None = None,
@@ -39,11 +56,15 @@ def collect_parts(
 ) -> DataFrame:
     """One row per (``keys``, part) with a sorted list per entry of ``lists``.
 
-    ``lists`` maps a list name to the element a row contributes, or null for none.  ``spread`` names
-    the columns that tell the rows of one parent apart; ``copies`` a column with the number of times
-    to repeat the element; ``weight`` the size of an element that itself holds lists.  ``parents``
-    adds empty parts, so that :func:`attach_parts` finds every parent.  ``census`` is a cheaper DataFrame
-    of ``keys`` and ``weight`` from which to tell the large parents; it only steers the work.
+    ``lists`` maps a list name to the element a row contributes, or null for none; a row contributes to one
+    list.  Elements are sorted by their plain fields, then by the columns ``ties``, then by a hash of the lists they hold.
+    ``copies`` names a column with the number of times to repeat the element; ``weight`` is the size of an
+    element that itself holds lists.  ``parents`` adds empty parts, so that :func:`attach_parts` finds every parent.
+    ``census`` is a cheaper DataFrame of ``keys`` and ``weight`` from which to tell the large parents; it only
+    steers the work.
+
+    Parents of at most ``part_size`` are grouped as they are.  The elements of the others are ranked over sorted
+    ranges, whoever they belong to, and cut by rank; that gives the same order.
     """
     keys = list(keys)
     if weight is None:
@@ -52,46 +73,58 @@ def collect_parts(
         *keys,
         *(e.alias(n) for n, e in lists.items()),
         *([F.col(copies).cast("int").alias("_copies")] if copies else []),
-        weight.cast("bigint").alias("_weight"),
-        F.xxhash64(*spread).alias("_spread"),
+        # No element fills more than a part, so that no part is left out.
+        F.least(weight.cast("bigint"), F.lit(part_size)).alias("_size"),
+        *(F.col(c).alias(f"_tie_{i}") for i, c in enumerate(ties)),
     )
+    kinds = {n: elements.schema[n].dataType for n in lists}
     if parents is not None:
-        none = F.lit(0).cast("bigint")
-        blank = parents.select(*keys, none.alias("_weight"), none.alias("_spread"))
+        blank = parents.select(*keys, F.lit(0).cast("bigint").alias("_size"))
         elements = elements.unionByName(blank, allowMissingColumns=True)
-
-    counted = elements if census is None else census.withColumnRenamed("weight", "_weight")
-    hot = (
-        counted.groupBy(*keys)
-        .agg(F.sum("_weight").alias("_total"))
-        .filter(F.col("_total") > part_size)
-        .select(*keys, F.ceil(F.col("_total") * 2 / part_size).alias("_salts"))
-    )
-    salted = (
-        elements.join(hot, keys, "left")
-        .withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-        .withColumn("_salt", F.pmod("_spread", "_salts"))
-    )
-
-    before = F.sum("_weight").over(
-        Window.partitionBy(*keys, "_salt")
-        .orderBy("_spread")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("_weight")
-    chunk = F.floor(before / part_size).cast("bigint")
-
-    def gathered(name: str) -> Column:
-        if copies is None:
-            return F.sort_array(F.collect_list(name))
-        repeated = F.when(F.col(name).isNotNull(), F.array_repeat(name, F.col("_copies")))
-        return F.sort_array(F.flatten(F.collect_list(repeated)))
-
-    return (
-        salted.withColumn("part", F.col("_salt") + F.col("_salts") * chunk)
-        .groupBy(*keys, "_salt", "part")
-        .agg(*(gathered(n).alias(n) for n in lists), F.sum("_weight").alias("part_weight"))
-        .drop("_salt")
-    )
+    holds = [n for n, kind in kinds.items() if _has_list(kind)]
+    order = {f"_{n}": _plain(n, kind) for n, kind in kinds.items()}
+    order |= {f"_tie_{i}": F.col(f"_tie_{i}") for i in range(len(ties))}
+    if holds:
+        order["_hash"] = F.xxhash64(*holds)
+
+    def gathered(name: str, place: Column | None) -> Column:
+        """The list of one part; elements without lists sort themselves."""
+        element = F.col(name)
+        if copies:
+            element = F.when(element.isNotNull(), F.array_repeat(element, F.col("_copies")))
+        if place is None and name not in holds:
+            found = F.sort_array(F.collect_list(element))
+        else:
+            place = F.struct(*(c.alias(k) for k, c in order.items())) if place is None else place
+            placed = F.when(F.col(name).isNotNull(), F.struct(place.alias("place"), element.alias("element")))
+            found = F.transform(F.sort_array(F.collect_list(placed)), lambda x: x["element"])
+        return (F.flatten(found) if copies else found).alias(name)
+
+    def grouped(df: DataFrame, by: list[str], place: Column | None) -> DataFrame:
+        return df.groupBy(*by).agg(
+            *(gathered(n, place) for n in lists), F.sum("_size").alias("part_weight")
+        )
+
+    counted = elements.withColumnRenamed("_size", "weight") if census is None else census
+    hot = counted.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.sum("weight").alias("_total"))
+    hot = stored(hot.where(F.col("_total") > part_size).drop("_total"), "large-parents")
+    none = F.lit(0).cast("bigint").alias("part")
+    shown = [*keys, "part", *lists, "part_weight"]
+    if hot.isEmpty():
+        return grouped(elements, keys, None).withColumn("part", none).select(*shown)
+    elements = stored(elements, "elements").withColumn("_element", F.monotonically_increasing_id())
+    large = [elements[k].eqNullSafe(hot[f"_{k}"]) for k in keys]
+    small = grouped(elements.join(hot, large, "left_anti"), keys, None).withColumn("part", none)
+
+    # Only the sorted fields are ranked; the elements meet their rank afterwards.
+    spread = elements.join(hot, large, "left_semi")
+    # Which list an element is of comes first.
+    which = F.coalesce(*(F.when(F.col(n).isNotNull(), i) for i, n in enumerate(lists)), F.lit(-1)).alias("_list")
+    slim = spread.select("_element", *keys, "_size", which, *(c.alias(k) for k, c in order.items()))
+    ranked = running(slim, keys, ["_list", *order], F.col("_size"), "_before", row="_element")
+    ranked = ranked.select("_element", "_before")
+    cut = spread.join(ranked, "_element").withColumn("part", F.floor(F.col("_before") / part_size))
+    return small.select(*shown).unionByName(grouped(cut, [*keys, "part"], F.col("_before")).select(*shown))
 
 
 def attach_parts(parents: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -26,6 +26,7 @@ from cohortlens.operators.nesting import (
     prefixed,
     record,
 )
+from cohortlens.operators.ranking import stored
 from cohortlens.schemas import (
     CERTIFICATES,
     INT,
@@ -77,20 +78,17 @@ def learner_progress(t: Tables) -> DataFrame:
     )
 
 
-def _censuses(t: Tables) -> dict[str, DataFrame]:
-    """Rows per course, learner and programme, to tell the large ones; facts are counted once."""
-    weight = F.count("*").alias("weight")
+def _census(t: Tables) -> DataFrame:
+    """Modules and runs of every learner's courses, stored: each fact is counted once for all levels of lists."""
     programme = F.col("programme_id_fk").alias("programme_id")
-    modules = t.module_facts.groupBy(
-        programme, "user_id", F.col("course_id_fk").alias("course_id")
-    ).agg(weight)
-    courses = t.course_facts.groupBy(programme, "user_id", "course_id").agg(weight)
-    learners = modules.unionAll(courses)
-    return {
-        "course": modules,
-        "learner": learners.select(*LEARNER_KEY, "weight"),
-        "programme": learners.select(F.col("programme_id").alias("id"), "weight"),
-    }
+    course = [programme, "user_id"]
+    modules = t.module_facts.groupBy(*course, F.col("course_id_fk").alias("course_id")).agg(
+        F.count("*").alias("modules"), F.lit(0).cast("bigint").alias("runs")
+    )
+    runs = t.course_facts.groupBy(*course, "course_id").agg(
+        F.lit(0).cast("bigint").alias("modules"), F.count("*").alias("runs")
+    )
+    return stored(modules.unionAll(runs), "census")
 
 
 def _presented_modules() -> dict[str, Column]:
@@ -126,29 +124,27 @@ def _presented_learners() -> dict[str, Column]:
     }
 
 
-def _module_parts(t: Tables, part_size: int) -> DataFrame:
+def _module_parts(t: Tables, part_size: int, census: DataFrame) -> DataFrame:
     modules = ops.learner_modules(t).select(
         "programme_id",
         "user_id",
         F.col("course_id_fk").alias("course_id"),
-        "cohort_schedule_id",
         record(LEARNER_MODULE, **_presented_modules()).alias("module"),
     )
     return collect_parts(
         modules.na.drop(subset=COURSE_KEY),
         COURSE_KEY,
         {"modules": F.col("module")},
-        ["cohort_schedule_id", "module"],
         parents=ops.learner_courses(t).select(*COURSE_KEY).distinct(),
-        census=_censuses(t)["course"],
+        census=census.select(*COURSE_KEY, F.col("modules").alias("weight")),
         part_size=part_size,
     )
 
 
-def _course_parts(t: Tables, with_modules: bool, part_size: int) -> DataFrame:
+def _course_parts(t: Tables, with_modules: bool, part_size: int, census: DataFrame) -> DataFrame:
     courses = ops.learner_courses(t)
     if with_modules:
-        modules = _module_parts(t, part_size).select(*COURSE_KEY, "part", "modules")
+        modules = _module_parts(t, part_size, census).select(*COURSE_KEY, "part", "modules")
         courses = attach_parts(courses, modules, COURSE_KEY)
     else:
         kind = LEARNER["courses"].dataType.elementType["modules"].dataType
@@ -163,10 +159,10 @@ def _course_parts(t: Tables, with_modules: bool, part_size: int) -> DataFrame:
         courses.na.drop(subset=LEARNER_KEY),
         LEARNER_KEY,
         {"courses": F.col("course")},
-        ["cohort_schedule_id", "course.id", "part"],
+        ["cohort_schedule_id", "part"],
         weight=F.size("course.modules") + 1,
         parents=t.programme_facts.select(*LEARNER_KEY).distinct(),
-        census=_censuses(t)["learner"],
+        census=census.select(*LEARNER_KEY, (F.col("modules") + F.col("runs")).alias("weight")),
         part_size=part_size,
     )
 
@@ -183,17 +179,23 @@ _INTEGERS = (
 )
 
 
-def learner_documents(t: Tables, tree: dict | None = None, part_size: int = PART_SIZE) -> DataFrame:
+def learner_documents(
+    t: Tables,
+    tree: dict | None = None,
+    part_size: int = PART_SIZE,
+    census: DataFrame | None = None,
+) -> DataFrame:
     """One nested learner per row; a learner whose courses fill several parts has several rows.
 
     ``tree`` selects fields of the learner; unless it includes the courses, or their modules, these
-    are left empty and not computed.
+    are left empty and not computed.  ``census`` is what :func:`_census` returns, if it is known.
     """
     tree = tree or {}
     # A learner who breaks the contract is set aside; ``learner_violations`` tells why.
     learners, _ = quarantine(ops.learner_data(t), _REQUIRED, _INTEGERS)
     if wants(tree, "courses"):
-        parts = _course_parts(t, wants(tree, "courses", "modules"), part_size)
+        census = _census(t) if census is None else census
+        parts = _course_parts(t, wants(tree, "courses", "modules"), part_size, census)
         learners = attach_parts(
             learners,
             parts.withColumnRenamed("part", "learner_part"),
@@ -219,6 +221,16 @@ def learner_documents(t: Tables, tree: dict | None = None, part_size: int = PART
     )
 
 
+def conformed_headers(t: Tables, first_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Offerings' headers that keep the contract, and those that break it.
+
+    With ``first_only`` a programme's first offering is taken before it is judged, as a single answer would be.
+    """
+    kinds = {f.name: f.dataType for f in LEARNER_PROGRESS.fields if f.name != "learner_data"}
+    header = _first_offerings(_header(t)) if first_only else _header(t)
+    return quarantine(header, kinds, [n for n, kind in kinds.items() if kind == INT])
+
+
 def learner_progress_documents(
     t: Tables,
     programme_id: str | None = None,
@@ -229,28 +241,29 @@ def learner_progress_documents(
     """The full contract: nine fields with the nested learners, in one or more parts per offering.
 
     With ``programme_id`` the answer is that programme's first offering by status, or no row if the
-    programme is unknown.  Without it every programme is returned, with all its offerings or, if
-    ``first_only``, with the first.  ``fields`` selects dotted fields; what only the others need is
-    not computed.  Offerings and learners that break the contract are set aside.
+    programme is unknown or its first offering breaks the contract.  Without it every programme is returned, with all
+    its offerings or, if ``first_only``, with the first.  A programme without learners has an empty list.
+    ``fields`` selects dotted fields; what only the others need is not computed.  Offerings and learners that break the
+    contract are set aside: :func:`conformed_headers` and :func:`conformed_learners` return them.
     """
     tree = field_tree(fields or LEARNER_PROGRESS.names)
     if programme_id is not None:
         t = t.for_programme(programme_id)
-    kinds = {f.name: f.dataType for f in LEARNER_PROGRESS.fields if f.name != "learner_data"}
-    documents, _ = quarantine(_header(t), kinds, [n for n, kind in kinds.items() if kind == INT])
-    if first_only or programme_id is not None:
-        documents = _first_offerings(documents)
+    documents, _ = conformed_headers(t, first_only or programme_id is not None)
     if wants(tree, "learner_data"):
+        census = _census(t)
+        listed = learner_documents(t, tree["learner_data"], part_size, census)
+        # A learner's own row counts as well.
+        weights = census.select(F.col("programme_id").alias("id"), (F.col("modules") + F.col("runs")).alias("weight"))
+        own = t.programme_facts.select(F.col("programme_id").alias("id"), F.lit(1).cast("bigint").alias("weight"))
         parts = collect_parts(
-            learner_documents(t, tree["learner_data"], part_size).withColumnRenamed(
-                "programme_id", "id"
-            ),
+            listed.withColumnRenamed("programme_id", "id"),
             ["id"],
             {"learner_data": F.col("learner")},
-            ["learner.id", "learner_part"],
+            ["learner_part"],
             weight=F.col("weight"),
             parents=t.programmes.select(F.col("programme_id").alias("id")).distinct(),
-            census=_censuses(t)["programme"],
+            census=weights.unionAll(own) if wants(tree, "learner_data", "courses") else own,
             part_size=part_size,
         )
         documents = attach_parts(documents, parts.select("id", "part", "learner_data"), ["id"])
@@ -281,13 +294,13 @@ def learner_presentation(t: Tables) -> DataFrame:
 
 
 def flat_learners(documents: DataFrame) -> DataFrame:
-    """Documents laid out as :func:`learner_presentation` does."""
+    """Documents laid out as :func:`learner_presentation` does; one without learners has a row of its own."""
     kinds = {"l": documents.schema["learner_data"].dataType.elementType}
     kinds["c"] = kinds["l"]["courses"].dataType.elementType
     kinds["m"] = kinds["c"]["modules"].dataType.elementType
     nested = ("certificates", "courses", "modules")
     return (
-        documents.select("id", "status", F.explode("learner_data").alias("l"))
+        documents.select("id", "status", F.explode_outer("learner_data").alias("l"))
         .select("*", F.explode_outer("l.courses").alias("c"))
         .select("*", F.explode_outer("c.modules").alias("m"))
         .select(

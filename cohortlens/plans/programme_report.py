@@ -254,7 +254,6 @@ def _module_parts(t: Tables, part_size: int) -> DataFrame:
         modules.na.drop(subset=RUN),
         RUN,
         {"modules": F.col("module")},
-        ["module"],
         parents=ops.program_courses(t).select(*RUN).distinct(),
         census=t.module_offerings.withColumnRenamed("course_id_fk", "course_id").select(
             *RUN, F.lit(1).alias("weight")
@@ -266,7 +265,7 @@ def _module_parts(t: Tables, part_size: int) -> DataFrame:
 def _course_rows(
     t: Tables, pairs: DataFrame, with_modules: bool, part_size: int
 ) -> DataFrame:
-    """(id, cohort, course, weight) per course of the given offerings, modules nested."""
+    """(id, cohort, piece, course, weight) per course of the given offerings, modules nested."""
     courses = (
         ops.program_courses(t)
         .withColumnRenamed("cohort_identifier_fk", "cohort")
@@ -274,14 +273,15 @@ def _course_rows(
     )
     offered = courses.join(pairs, ["id", "cohort"])
     if with_modules:
-        modules = _module_parts(t, part_size).select(*RUN, "modules")
+        modules = _module_parts(t, part_size).select(*RUN, "part", "modules")
         offered = attach_parts(offered, modules, RUN)
     else:
         modules = PROGRAM["courses"].dataType.elementType["modules"].dataType
-        offered = offered.withColumn("modules", F.array().cast(modules))
+        offered = offered.withColumns({"part": F.lit(0), "modules": F.array().cast(modules)})
     nested = offered.select(
         "id",
         "cohort",
+        F.col("part").cast("bigint").alias("piece"),
         record(PROGRAM_COURSE, **_presented_courses()).alias("course"),
         (F.size("modules") + 1).cast("bigint").alias("weight"),
     )
@@ -292,8 +292,9 @@ def _course_rows(
         F.array().cast(kind["modules"].dataType).alias("modules"),
     )
     present = courses.select("id", "cohort").distinct()
+    one = F.lit(1).cast("bigint")
     without = pairs.join(present, ["id", "cohort"], "left_anti").select(
-        "id", "cohort", empty.alias("course"), F.lit(1).cast("bigint").alias("weight")
+        "id", "cohort", (one - 1).alias("piece"), empty.alias("course"), one.alias("weight")
     )
     return nested.unionByName(without)
 
@@ -333,6 +334,7 @@ def _parts(t: Tables, listed: DataFrame | None, tree: dict, part_size: int) -> D
     if listed is not None:
         elements.append(
             split_copies(listed, part_size)
+            .withColumn("piece", F.col("piece").cast("bigint"))
             .withColumnRenamed("programme_id", "id")
             .join(pairs, "id")
             .withColumn("weight", F.col("copies"))
@@ -377,7 +379,7 @@ def _parts(t: Tables, listed: DataFrame | None, tree: dict, part_size: int) -> D
         rows,
         ["id", "cohort"],
         {n: e for n, e in lists.items() if wants(tree, n)},
-        [c for c in rows.columns if c not in ("id", "cohort", "copies", "weight")],
+        ["piece"],
         copies="copies",
         weight=F.col("weight"),
         parents=pairs,

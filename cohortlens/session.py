@@ -24,9 +24,9 @@ SHARED_FOLDER = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to an existing session."""
+    """Apply the run-time settings to an existing session, but for those its user has set."""
     for key, value in SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 

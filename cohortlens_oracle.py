@@ -434,7 +434,7 @@ LEARNER_PRESENTATION = f"""
 
 # Offerings that agree in every header field cannot be told apart; one of them is kept.
 FIRST_HEADER = """
-    SELECT * FROM b_header WHERE id IS NOT NULL AND name IS NOT NULL AND status IS NOT NULL
+    SELECT * FROM b_header
     QUALIFY 1 = ROW_NUMBER() OVER (
       PARTITION BY id ORDER BY status NULLS FIRST, name NULLS FIRST, completion_certificates,
       distinction_certificates, performance, total_course_certificates, total_badges)"""
@@ -445,16 +445,21 @@ _WHOLE_LEARNER = "user_id IS NOT NULL AND name IS NOT NULL AND email IS NOT NULL
 #: The programme that the single-programme query asks for.
 ONE_PROGRAMME = "P7"
 
-_KEPT = " WHERE " + " AND ".join(
-    f"{c} IS NOT NULL"
-    for c in ("h.id", "h.name", "h.status", "l.user_id", "l.name", "l.email", "l.status")
-)
-LEARNER_DOCUMENTS = LEARNER_PRESENTATION + _KEPT
-LEARNER_ONE = (
-    LEARNER_PRESENTATION.replace("FROM b_header h", "FROM b_first_header h")
-    + _KEPT
-    + f" AND h.id = '{ONE_PROGRAMME}'"
-)
+_KEPT = "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ("h.id", "h.name", "h.status"))
+EXTRA["b_kept_learners"] = f"SELECT * FROM b_learners WHERE {_WHOLE_LEARNER}"
+
+
+def _documents(header: str, where: str) -> str:
+    """The presented rows of ``header``, with one row of nulls for a programme without learners."""
+    sql = LEARNER_PRESENTATION.replace(
+        "FROM b_header h JOIN b_learners l", f"FROM {header} h LEFT JOIN b_kept_learners l"
+    )
+    shown = f"{_time('l.time_spent_seconds')} AS l_time_spent"
+    return sql.replace(shown, f"CASE WHEN l.user_id IS NOT NULL THEN {_time('l.time_spent_seconds')} END AS l_time_spent") + where
+
+
+LEARNER_DOCUMENTS = _documents("b_header", f" {_KEPT}")
+LEARNER_ONE = _documents("b_first_header", f" {_KEPT} AND h.id = '{ONE_PROGRAMME}'")
 
 QUARANTINED = f"""
     SELECT programme_id, user_id AS id, name, email, status, progress, engagement, performance,
@@ -547,6 +552,8 @@ _STATEMENTS = {
     "learner_presentation": LEARNER_PRESENTATION,
     "learner_documents": LEARNER_DOCUMENTS,
     "learner_progress_one": LEARNER_ONE,
+    "quarantined_programmes": """
+        SELECT * FROM b_header WHERE id IS NULL OR name IS NULL OR status IS NULL""",
     "quarantined_learners": QUARANTINED,
     "program_documents_whole": WHOLE_DOCUMENTS,
     "learner_progress_first": """
@@ -558,9 +565,8 @@ _STATEMENTS = {
                l.name AS learner_name,
                (SELECT COUNT(*) FROM b_learner_courses c
                 WHERE c.programme_id = h.id AND c.user_id = l.user_id) AS course_count
-        FROM b_first_header h JOIN b_learners l ON l.programme_id = h.id
-        WHERE l.user_id IS NOT NULL AND l.name IS NOT NULL AND l.email IS NOT NULL
-          AND l.status IS NOT NULL""",
+        FROM b_first_header h LEFT JOIN b_kept_learners l ON l.programme_id = h.id
+        """ + _KEPT,
     "contract_conform": TYPED_LEARNER,
     "contract_violations": VIOLATIONS,
     "field_selection": f"""

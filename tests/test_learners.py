@@ -143,7 +143,7 @@ def test_full_document(tables):
 
 def test_duplicate_snapshots_are_kept(tables, rows):
     facts = [{**FACT, "completion_status": True, "distinction_status": None}] * 2
-    t = tables(programmes=[P], users=[USER], programme_facts=facts)
+    t = tables(programmes=[P], programme_offerings=[OFFER], users=[USER], programme_facts=facts)
     assert rows(ops.programme_performance(t)) == [("P1", 2, 0, 0.0)]
     assert rows(report.learner_progress(t), "learner_count") == [(2,)]
     [doc] = documents(t)
@@ -180,12 +180,26 @@ def test_unknown_programme_has_no_document(tables):
 
 
 def test_programme_without_learners_has_an_empty_list(tables):
-    [doc] = documents(tables(programmes=[P]), "P1")
-    assert doc["learner_data"] == [] and doc["status"] is None
+    [doc] = documents(tables(programmes=[P], programme_offerings=[OFFER]), "P1")
+    assert doc["learner_data"] == [] and doc["status"] == "Ongoing"
+
+
+def test_a_programme_without_a_status_is_set_aside(tables, rows):
+    t = tables(programmes=[P])
+    assert documents(t, "P1") == documents(t) == []
+    assert rows(report.conformed_headers(t)[1], "id", "status") == [("P1", None)]
+
+
+def test_the_first_offering_is_taken_before_it_is_judged(tables):
+    offers = [{**OFFER, "offering_status": s} for s in (None, "Ongoing")]
+    t = tables(programmes=[P], programme_offerings=offers)
+    assert documents(t, "P1") == []
+    assert [d["status"] for d in documents(t)] == ["Ongoing"]
 
 
 def test_learner_without_courses(tables):
-    [doc] = documents(tables(programmes=[P], users=[USER], programme_facts=[FACT]))
+    t = tables(programmes=[P], programme_offerings=[OFFER], users=[USER], programme_facts=[FACT])
+    [doc] = documents(t)
     assert [x["courses"] for x in doc["learner_data"]] == [[]]
 
 
