@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +82,9 @@ def _broken(
 ) -> list[tuple[str, Column, str]]:
     # Columns whose type already rules the fault out are not read at all.
     kinds = {f.name: f for f in rows.schema.fields}
-    found = [(c, F.col(c).isNull(), "null") for c in required if kinds[c].nullable]
+    found = [(c, F.col(f"`{c}`").isNull(), "null") for c in required if kinds[c].nullable]
     return found + [
-        (c, ~F.col(c).between(INT_MIN, INT_MAX), "integer out of range")
+        (c, ~F.col(f"`{c}`").between(INT_MIN, INT_MAX), "integer out of range")
         for c in integers
         if not isinstance(kinds[c].dataType, T.IntegerType)
     ]
@@ -116,6 +118,66 @@ def violations(
     ).select("level", "programme_id", "user_id", "item_id", "finding.*")
 
 
+def fields_of(
+    contract: T.StructType, path: str = "", prefix: str = ""
+) -> Iterator[tuple[str, str, T.StructField]]:
+    """Every plain field below a contract: the dotted path of the list it is in, its own path there, and the field."""
+    for f in contract.fields:
+        kind = f.dataType
+        if isinstance(kind, T.StructType):
+            yield from fields_of(kind, path, f"{prefix}{f.name}.")
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            yield from fields_of(kind.elementType, f"{path}.{prefix}{f.name}".lstrip("."))
+        else:
+            yield path, prefix + f.name, f
+
+
+@dataclass(frozen=True)
+class Level:
+    """Rows of one list of a document, or of the document itself, before they are nested.
+
+    ``keys`` maps ``programme_id``, ``user_id`` and ``item_id`` to columns; ``columns`` maps fields of the contract to
+    columns where they have other names.  ``only`` names the fields that these rows hold, if not all.
+    """
+
+    name: str
+    rows: DataFrame
+    keys: dict[str, str]
+    columns: Mapping[str, str] = field(default_factory=dict)
+    only: Sequence[str] | None = None
+
+
+def tree_violations(contract: T.StructType, levels: Mapping[str, Sequence[Level]]) -> DataFrame:
+    """Every field of a document, however deep in its lists, that breaks the contract.
+
+    The contract is walked field by field; ``levels`` maps the path of each list ("" for the document) to the rows
+    it is made of.  A field that could break the contract and is in none of the rows is an error.
+    """
+    wanted: dict[str, dict[str, T.StructField]] = {}
+    for path, name, found in fields_of(contract):
+        if not found.nullable or isinstance(found.dataType, T.IntegerType):
+            wanted.setdefault(path, {})[name] = found
+    checks = []
+    for path, fields in wanted.items():
+        missing = set(fields)
+        for level in levels.get(path, ()):
+            mine = {n: f for n, f in fields.items() if level.only is None or n in level.only}
+            missing -= set(mine)
+            columns = {n: F.col(level.columns.get(n, n)) for n in mine}
+            keys = {k: F.col(c).cast("string").alias(f"_{k}") for k, c in level.keys.items()}
+            rows = level.rows.select(*keys.values(), *(c.alias(n) for n, c in columns.items()))
+            required = [n for n, f in mine.items() if not f.nullable]
+            integers = [n for n, f in mine.items() if isinstance(f.dataType, T.IntegerType)]
+            if _broken(rows, required, integers):
+                checks.append(violations(rows, level.name, {k: f"_{k}" for k in keys}, required, integers))
+        if missing:
+            raise ValueError(f"no rows hold {', '.join(sorted(missing))} of {path or 'the document'}")
+    if not checks:
+        some = next(iter(levels.values()))[0]
+        return violations(some.rows, "", {})
+    return reduce(DataFrame.unionByName, checks)
+
+
 def quarantine(
     rows: DataFrame, required: Iterable[str], integers: Iterable[str]
 ) -> tuple[DataFrame, DataFrame]:
@@ -130,13 +192,13 @@ def field_tree(fields: Iterable[str]) -> dict:
     """Dotted names as nested dictionaries; an empty one stands for the whole field."""
     tree: dict = {}
     whole = dict.fromkeys(fields)
-    for field in whole:
-        steps = field.split(".")
+    for name in whole:
+        steps = name.split(".")
         if any(".".join(steps[:i]) in whole for i in range(1, len(steps))):
             continue
         node = tree
-        for name in steps:
-            node = node.setdefault(name, {})
+        for step in steps:
+            node = node.setdefault(step, {})
     return tree
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 from cohortlens.functions import date_text, time_spent_text, zero_if_null
 from cohortlens.operators import learners as ops
 from cohortlens.operators.contract import (
+    Level,
     conform,
     conform_selected,
     field_tree,
     quarantine,
-    violations,
+    tree_violations,
     wants,
 )
 from cohortlens.operators.nesting import (
@@ -339,41 +340,29 @@ def conformed_learners(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def learner_violations(t: Tables) -> DataFrame:
-    """Every field of the learner report that breaks the contract."""
-    header = {f.name: f.dataType for f in LEARNER_PROGRESS.fields if f.name != "learner_data"}
-    row = {f.name: f for f in LEARNER_ROW.fields}
+    """Every field of the learner report that breaks the contract, also inside its lists."""
     user = {"programme_id": "programme_id", "user_id": "user_id"}
-    return (
-        violations(
-            _header(t),
-            "programme",
-            {"programme_id": "id"},
-            header,
-            [n for n, kind in header.items() if kind == INT],
-        )
-        .unionByName(
-            violations(
-                learner_rows(t),
-                "learner",
-                {"programme_id": "programme_id", "user_id": "id"},
-                [n for n, f in row.items() if not f.nullable],
-                [n for n, f in row.items() if f.dataType == INT],
-            )
-        )
-        .unionByName(
-            violations(
-                ops.learner_courses(t),
+    certificates = {f"certificates.{n}": n for n in CERTIFICATES.names}
+    levels = {
+        "": [Level("programme", _header(t), {"programme_id": "id"})],
+        "learner_data": [
+            Level("learner", learner_rows(t), {"programme_id": "programme_id", "user_id": "id"}, certificates)
+        ],
+        "learner_data.courses": [
+            Level(
                 "course",
+                ops.learner_courses(t),
                 {**user, "item_id": "cohort_schedule_id"},
-                integers=["achieved_points", "course_total_points_defined", "total_badges"],
+                {"total_points": "course_total_points_defined"},
             )
-        )
-        .unionByName(
-            violations(
-                ops.learner_modules(t),
+        ],
+        "learner_data.courses.modules": [
+            Level(
                 "module",
+                ops.learner_modules(t),
                 {**user, "item_id": "module_id"},
-                integers=["achieved_points", "bonus_points", "module_total_points_defined"],
+                {"total_points": "module_total_points_defined"},
             )
-        )
-    )
+        ],
+    }
+    return tree_violations(LEARNER_PROGRESS, levels)

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import date_text, schedule, zero_if_null
 from cohortlens.operators import programmes as ops
-from cohortlens.operators.contract import conform_selected, field_tree, violations, wants
+from cohortlens.operators.contract import (
+    INT_MAX,
+    Level,
+    conform_selected,
+    field_tree,
+    fields_of,
+    tree_violations,
+    wants,
+)
 from cohortlens.operators.nesting import (
     PART_SIZE,
     attach_parts,
@@ -527,32 +535,63 @@ def flat_lists(documents: DataFrame) -> DataFrame:
     ).select("id", "cohort", "item.*")
 
 
+# Parts of the document's learners -> columns of the rollup.
+ROLLED_UP = {
+    "learners.total": "total_learners",
+    "learners.active": "active_learners",
+    "learners.pacing.ahead": "ahead_count",
+    "learners.pacing.on_track": "on_track_count",
+    "learners.pacing.behind": "behind_count",
+}
+
+
+def _beyond(counts: DataFrame, columns: Iterable[str], offerings: DataFrame) -> DataFrame:
+    """The offerings of programmes with a count beyond the contract's integers; counts are never negative."""
+    wrong = reduce(lambda a, b: a | b, (F.col(c) > INT_MAX for c in columns))
+    return counts.where(wrong).join(offerings, "id")
+
+
 def program_violations(t: Tables, as_of) -> DataFrame:
-    """Every integer of the programme report that does not fit the contract."""
-    header = programs(t, as_of)
-    offering = {"programme_id": "id", "item_id": "cohort"}
+    """Every integer of the programme report, also inside its lists, that does not fit the contract.
+
+    Counts are tested where they are counted; only those too large meet their offerings.
+    """
+    offerings = valid_offerings(t)
+    pairs = offerings.select("id", "cohort")
+    keys = {"programme_id": "id", "item_id": "cohort"}
     run = {"programme_id": "programme_id_fk", "item_id": "cohort_schedule_id"}
-    numbers = ("total_points_defined", "allowed_quiz_attempts", "badge_bonus_points")
-    numbers += ("sla_ita_attendance_points",)
-    pacing = ["learners_total", "learners_active", "pacing_ahead", "pacing_on_track"]
-    pacing.append("pacing_behind")
-    scalars = [f.name for f in PROGRAM.fields if f.dataType == INT]
-    return (
-        violations(header, "offering", offering, integers=scalars + pacing)
-        .unionByName(
-            violations(
-                ops.program_courses(t),
-                "offered_course",
-                run,
-                integers=[f"course_{n}" for n in numbers],
-            )
-        )
-        .unionByName(
-            violations(
-                ops.program_modules(t),
-                "offered_module",
-                {**run, "item_id": "module_id"},
-                integers=[f"module_{n}" for n in numbers],
-            )
-        )
-    )
+    name = {"programme_id": "programme_id", "user_id": "first_name"}
+    lists = list_rows(t, as_of)
+    # The lengths that the contract has; it has none for the last two lists.
+    lengths = {f: c for f, c in COUNTS.items() if c in PROGRAM.names}
+    counted = _counts(_tagged({f: lists[f].select("programme_id", "copies") for f in lengths}))
+    rollup = ops.programme_rollup(t).withColumnRenamed("programme_id", "id")
+    own = [n for path, n, f in fields_of(PROGRAM) if not path and f.dataType == INT]
+    plain = [n for n in own if n not in ROLLED_UP and n not in COUNTS.values()]
+
+    def renamed(fields: Iterable[str], kind: str) -> dict[str, str]:
+        return {n: n if n.startswith(kind) else f"{kind}_{n}" for n in fields}
+
+    course = renamed([f.name for f in PROGRAM_COURSE.fields if f.dataType == INT], "course")
+    course["course_total_points"] = "course_total_points_defined"
+    module = renamed([f.name for f in PROGRAM_MODULE.fields if f.dataType == INT], "module")
+    module["module_total_points"] = "module_total_points_defined"
+    levels = {
+        "": [
+            Level("offering", offerings, keys, only=plain),
+            Level("offering", _beyond(rollup, ROLLED_UP.values(), pairs), keys, ROLLED_UP, list(ROLLED_UP)),
+            Level("offering", _beyond(counted, lengths.values(), pairs), keys, only=list(lengths.values())),
+        ],
+        "courses": [Level("offered_course", ops.program_courses(t), run, course)],
+        "courses.modules": [
+            Level("offered_module", ops.program_modules(t), {**run, "item_id": "module_id"}, module)
+        ],
+        "lagging_courses_list": [Level("lagging_course", lists["lagging_courses_list"], name)],
+        "ongoing_course_progress": [
+            Level("ongoing_module", lists["ongoing_course_progress"], {**name, "item_id": "module_name"})
+        ],
+        "programme_user_cert_status_list": [
+            Level("course_certificate", lists["programme_user_cert_status_list"], {**name, "item_id": "course_name"})
+        ],
+    }
+    return tree_violations(PROGRAM, levels)

@@ -506,11 +506,29 @@ def _nulls(level: str, source: str, programme: str, user: str, fields: str) -> s
     )
 
 
+def _beyond(level: str, block: str, item: str, *fields: str, programme: str = "programme_id_fk") -> str:
+    """Integers inside a list that leave 32 bits."""
+    return " UNION ALL ".join(
+        f"SELECT DISTINCT '{level}' AS level, CAST({programme} AS VARCHAR) AS programme_id, "
+        f"CAST(first_name AS VARCHAR) AS user_id, CAST({item} AS VARCHAR) AS item_id, '{name}' AS field, "
+        f"'integer out of range' AS reason FROM b_{block} "
+        f"WHERE {column} NOT BETWEEN -2147483648 AND 2147483647"
+        for name, _, column in (f.partition("=") for f in fields)
+    )
+
+
 VIOLATIONS = (
     _nulls("programme", "b_header", "id", "NULL", "id name status")
     + " UNION ALL "
     + _nulls("learner", "(SELECT user_id AS id, * FROM b_learners)", "programme_id", "id",
              "id name email status")
+    + " UNION ALL "
+    + _beyond("lagging_course", "lagging_users", "NULL", "count=course_records_count")
+    + " UNION ALL "
+    + _beyond("ongoing_module", "ongoing_course_progress", "module_name",
+              "course_order_id=course_order_id", "module_order_id=module_order_id")
+    + " UNION ALL "
+    + _beyond("course_certificate", "user_cert_status", "course_name", "course_order_id=course_order_id")
 )
 
 

@@ -1,6 +1,9 @@
+from datetime import datetime
+
 import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.operators import contract
 from cohortlens.plans import learner_report, programme_report
@@ -37,6 +40,76 @@ def test_an_integer_beyond_32_bits_is_an_error(tables, rows):
     assert rows(found) == [("offering", "P1", None, "K1", "total_points", "integer out of range")]
 
 
+BIG = 3_000_000_000
+
+
+def test_integers_inside_lists_are_checked(tables, rows):
+    run = {
+        "programme_id_fk": "P1",
+        "cohort_identifier_fk": "K1",
+        "cohort_schedule_id": "R1",
+        "course_id": "C1",
+        "course_order_id": BIG,
+        "course_offering_start_timestamp": datetime(1998, 12, 1),
+        "course_offering_end_timestamp": datetime(1999, 2, 1),
+    }
+    module = {"cohort_schedule_id": "R1", "module_id": "M1", "module_order_id": -BIG, "programme_id_fk": "P1"}
+    fact = {"user_id": "U1", "cohort_identifier_fk": "R1", "programme_id_fk": "P1"}
+    t = tables(
+        ddl=WIDE,
+        programmes=[{"programme_id": "P1"}],
+        users=[USER],
+        courses=[{"course_id": "C1", "course_name": "Logic"}],
+        modules=[{"module_id": "M1", "module_name": "Sets"}],
+        course_offerings=[run],
+        module_offerings=[module],
+        course_facts=[{**fact, "course_id": "C1"}],
+        module_facts=[{**fact, "module_id": "M1"}],
+    )
+    reason = "integer out of range"
+    assert rows(programme_report.program_violations(t, "1999-01-01")) == [
+        ("course_certificate", "P1", "Ana", "Logic", "course_order_id", reason),
+        ("ongoing_module", "P1", "Ana", "Sets", "course_order_id", reason),
+        ("ongoing_module", "P1", "Ana", "Sets", "module_order_id", reason),
+    ]
+
+
+def test_counts_are_checked(tables, rows, monkeypatch):
+    t = tables(
+        programmes=[{"programme_id": "P1"}],
+        programme_offerings=[{"programme_id": "P1", "cohort_identifier": "K1", "is_valid_offering": 1}],
+        users=[USER, {**USER, "user_id": "U2"}],
+        courses=[{"course_id": "C1", "course_name": "Logic"}],
+        course_offerings=[
+            {"programme_id_fk": "P1", "cohort_schedule_id": "R1", "course_id": "C1",
+             "course_offering_end_timestamp": datetime(1998, 2, 1)}
+        ],
+        course_facts=[
+            {"user_id": "U1", "cohort_identifier_fk": "R1", "programme_id_fk": "P1", "course_id": "C1",
+             "is_certificate_earned_course": False}
+        ],
+        programme_facts=[{**FACT, "user_id": u} for u in ("U1", "U2")],
+    )
+    # Too few rows here to count beyond 32 bits, so the bounds are drawn in.
+    for module in (contract, programme_report):
+        monkeypatch.setattr(module, "INT_MAX", 0)
+    found = programme_report.program_violations(t, "1999-01-01")
+    got = {(r.level, r.user_id, r.field) for r in found.collect()}
+    fields = ["learners.total", "learners.active", "learners.pacing.ahead", "laggards_count", "completed_course_count"]
+    assert got == {("lagging_course", "Ana", "count"), *(("offering", None, f) for f in fields)}
+
+
+def test_every_field_of_the_contract_needs_rows(spark):
+    df = spark.createDataFrame([(1,)], "n long")
+    tree = T.StructType([T.StructField("n", T.IntegerType()),
+                         T.StructField("held", T.ArrayType(T.StructType([T.StructField("m", T.IntegerType())])))])
+    levels = {"": [contract.Level("top", df, {})]}
+    with pytest.raises(ValueError, match="no rows hold m of held"):
+        contract.tree_violations(tree, levels)
+    levels["held"] = [contract.Level("held", df, {}, {"m": "n"})]
+    assert contract.tree_violations(tree, levels).collect() == []
+
+
 def test_learner_violations(tables, rows):
     t = tables(
         ddl=WIDE,
