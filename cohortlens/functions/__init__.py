@@ -73,14 +73,51 @@ def date_text(ts: Column) -> Column:
     return F.date_format(_utc_date(ts), "dd MMM, yyyy")
 
 
-def date_text_of_string(text: Column) -> Column:
-    """:func:`date_text` for a text column; empty or unreadable text gives null.
-
-    A time without a zone is in UTC.
+# The spellings of a date, tried in order, with the places of year, month and day among the groups.
+# Of two numbers that may both be the month, the first one is, unless it is beyond 12.
+_MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"
+_SPELLINGS = (
+    (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
+    (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)),
+    (r"(0?[1-9]|1[0-2])[-/.](\d{1,2})[-/.](\d{4}|\d{2})", (3, 1, 2)),
+    (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})", (3, 2, 1)),
+    (rf"(\d{{1,2}})(?:st|nd|rd|th)?(?: of)?[-/ ,.]*{_MONTH}[-/ ,.]*(\d{{4}}|\d{{2}})", (3, 2, 1)),
+    (rf"{_MONTH}[-/ ,.]*(\d{{1,2}})(?:st|nd|rd|th)?[-/ ,.]+(\d{{4}}|\d{{2}})", (3, 1, 2)),
+    (rf"(\d{{4}})[-/ ,.]*{_MONTH}[-/ ,.]*(\d{{1,2}})", (1, 2, 3)),
+)
+_WEEKDAY = "(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[ ,.]+)?"
+_HOUR = r"(?:[01]?\d|2[0-3])"
+_CLOCK = rf"(?:{_HOUR}:[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|{_HOUR}[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?|(?:0?\d|1[0-2])(?= ?[ap]\.?m))"
+_ZONE = r"(?: ?(?:z|[a-z]{3,5}|[+-]\d{1,2}(?::?\d{2})?|(?:utc|gmt)[+-]\d{1,2}))?(?: ?\([a-z ]+\))?"
+_REST = rf"(?:(?:t| at | |, ){_CLOCK}(?: ?[ap]\.?m\.?)?{_ZONE})?"
+
+#: Years of two digits lie in the hundred years that begin here.
+CENTURY = 1976
+
+
+def date_of_string(text: Column) -> Column:
+    """The day that a text names, null if it can't be read.
+
+    It is the text's own day, whatever its time and zone.  Years first, all digits, months or days first, and names of
+    months and weekdays are read, with or without a time; a month without a day is not.
     """
-    zoned = text.rlike(r"\d{1,2}:\d{2}.*(?:[zZ]|[A-Za-z]{2,}|[+-]\d{1,2}(?::?\d{2})?)$")
-    local = F.date_format(text.try_cast("timestamp_ntz").cast("date"), "dd MMM, yyyy")
-    return F.when(zoned, date_text(text.try_cast("timestamp"))).otherwise(local)
+    said = F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
+    found = F.lit(None).cast("date")
+    for spelling, (year, month, day) in reversed(_SPELLINGS):
+        pattern = f"^{_WEEKDAY}{spelling}{_REST}$"
+        parts = [F.regexp_extract(said, pattern, k) for k in (year, month, day)]
+        number = F.when(parts[1].rlike("[a-z]"), F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.left(parts[1], F.lit(3))) + 2) / 3))
+        number = number.otherwise(parts[1].try_cast("int")).cast("string")
+        short = parts[0].try_cast("int")
+        whole = F.when(F.length(parts[0]) == 2, F.lit(CENTURY) + F.pmod(short - CENTURY, F.lit(100))).otherwise(short)
+        this = F.concat_ws("-", F.lpad(whole.cast("string"), 4, "0"), number, parts[2]).try_cast("date")
+        found = F.when(said.rlike(pattern), this).otherwise(found)
+    return found
+
+
+def date_text_of_string(text: Column) -> Column:
+    """:func:`date_text` for a text column, as :func:`date_of_string` reads it; else null."""
+    return F.date_format(date_of_string(text), "dd MMM, yyyy")
 
 
 def time_spent_text(seconds: Column) -> Column:
