@@ -1,6 +1,6 @@
-"""Writers: report tables and the reusable snapshot."""
+"""Writers: report tables, documents with a manifest, and the reusable snapshot."""
 
-from cohortlens.sinks.snapshot import MAX_AGE, snapshot
-from cohortlens.sinks.writers import write_report, write_tables
+from cohortlens.sinks.snapshot import MAX_AGE, expire, snapshot
+from cohortlens.sinks.writers import read_documents, write_documents, write_report, write_tables
 
-__all__ = ["MAX_AGE", "snapshot", "write_report", "write_tables"]
+__all__ = ["MAX_AGE", "expire", "read_documents", "snapshot", "write_documents", "write_report", "write_tables"]

@@ -597,6 +597,8 @@ _STATEMENTS = {
           ON s.programme_id_fk = r.programme_id_fk AND s.cohort_schedule_id = r.cohort_schedule_id
          AND s.course_id_fk = r.course_id""",
     "programs_snapshot": PROGRAMS,
+    "program_documents_snapshot": PROGRAM_PRESENTATION,
+    "program_documents_stored": PROGRAM_LISTS,
     "time_spent_text": f"""
         SELECT user_id, cohort_identifier_fk, time_spent_seconds_course AS seconds,
                {_time('time_spent_seconds_course')} AS time_spent

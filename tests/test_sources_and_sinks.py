@@ -1,5 +1,5 @@
 import pathlib
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from types import SimpleNamespace
 
 import pytest
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.schemas import INPUTS
 from cohortlens.session import SHARED_FOLDER, partitions_for, shared_folder, size_shuffles
-from cohortlens.sinks import snapshot, write_report, write_tables
+from cohortlens.sinks import expire, read_documents, snapshot, write_documents, write_report, write_tables
 from cohortlens.sources import (
     catalog_tables,
     derived_tables,
@@ -132,6 +132,59 @@ def test_unfinished_snapshot_is_rebuilt(spark, tmp_path):
     assert snapshot(spark, path, now, lambda: spark.range(5)).count() == 5
 
 
+def test_two_writers_at_once_leave_one_whole_snapshot(spark, tmp_path):
+    path, now, inner = str(tmp_path / "s"), "1999-01-01 00:00:00", []
+
+    def build():
+        # While the first one writes, a second one publishes for the same moment.
+        if not inner:
+            inner.append(True)
+            inner.append(snapshot(spark, path, now, lambda: spark.range(7)).count())
+        return spark.range(5)
+
+    first = snapshot(spark, path, now, build)
+    again = snapshot(spark, path, now, lambda: spark.range(9))
+    assert inner == [True, 7]
+    # Whoever's it is, it is whole and the same for all from now on.
+    assert first.count() == again.count() in (5, 7)
+    assert first.inputFiles() == again.inputFiles()
+
+
+def test_a_writer_that_fails_publishes_nothing(spark, tmp_path):
+    path, now = str(tmp_path / "s"), "1999-01-01 00:00:00"
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        snapshot(spark, path, now, lambda: broken)
+    assert snapshot(spark, path, now, lambda: spark.range(4)).count() == 4
+
+
+def test_old_snapshots_expire(spark, tmp_path):
+    path, start = str(tmp_path / "s"), datetime(1999, 1, 1, tzinfo=UTC)
+    for minutes in (0, 10, 20):
+        snapshot(spark, path, start + timedelta(minutes=minutes), lambda: spark.range(3))
+    (tmp_path / "s" / "data_19981201T000000.000000Z-left").mkdir()
+    assert expire(spark, path, start + timedelta(minutes=21)) == 3
+    assert len([p for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")]) == 2
+    assert snapshot(spark, path, start + timedelta(minutes=21), lambda: spark.range(9)).count() == 3
+
+
+def test_documents_and_their_manifest(spark, tmp_path):
+    rows = [("a", 0, [1, 2]), ("a", 1, [3]), ("b", 0, []), (None, 0, [4])]
+    df = spark.createDataFrame(rows, "id string, part long, items array<int>")
+    path = str(tmp_path / "d")
+    write_documents(df, path, ["id"])
+    assert sorted(map(tuple, read_documents(spark, path, ["id"]).collect()), key=repr) == sorted(rows, key=repr)
+    for lost in ("id = 'a' and part = 1", "id is null"):
+        broken = str(tmp_path / lost.replace(" ", "_"))
+        write_documents(df, broken, ["id"])
+        spark.read.parquet(f"{path}/parts").where(f"not coalesce({lost}, false)").write.mode("overwrite").parquet(f"{broken}/parts")
+        with pytest.raises(ValueError, match="do not match"):
+            read_documents(spark, broken, ["id"])
+    write_documents(df.where("part = 1"), str(tmp_path / "e"), ["id"])
+    with pytest.raises(ValueError, match="lack parts"):
+        read_documents(spark, str(tmp_path / "e"), ["id"])
+
+
 def test_shared_folder_is_the_named_one():
     def session(folder, master):
         context = SimpleNamespace(master=master, applicationId="app-1")
