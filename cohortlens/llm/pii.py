@@ -1,13 +1,19 @@
 """Surrogates for personal data, by native expressions only.
 
-Entities are found by patterns: mail and network addresses, phone, card and social security numbers, bank
-accounts, access keys, secrets and titled names.  Each distinct entity receives a surrogate drawn from a keyed
-hash, of the same type and format: digits for digits, letters for letters, a valid check digit for a valid one,
-and for names the same script and gender.  Mentions of one entity have one surrogate in all texts; the names of a
-text's titled persons are found in that text without their title, too.
-
-Draws are checked for collisions: a surrogate that another entity holds, or that is itself an entity of
-the corpus, is drawn again until all are distinct.
+Entities are found by patterns: mail addresses, network addresses of both versions, phone, card and social security
+numbers, bank accounts, access keys, secrets and titled names with their initials and particles.  A number counts as a
+card's only with a valid check digit, and four numbers behind the word "version" are no address.  A secret is what is
+assigned to a name like "password" or "token": anything in quotes, else eight characters with one that is no letter, or
+sixteen.  Each distinct entity receives a surrogate drawn from a keyed hash, of the same type and format: digits for
+digits, letters for letters, valid check digits for valid ones (cards and bank accounts), and for names the same script
+and gender.  Mentions of one entity have one surrogate in all texts; the names of a text's titled persons are found in
+that text without their title, too.
+
+Draws are checked for collisions: a surrogate that another entity of any kind holds, or that is itself an entity of
+the corpus, is drawn again until all are distinct; later draws are longer, so that there is room for any number.
+
+Persons without a title anywhere in their text are not found, nor are postal addresses, dates of birth, or
+secrets that stand without a name.
 """
 
 from __future__ import annotations
@@ -36,9 +42,15 @@ ENDINGS = {
     "greek": {"m": "ς", "f": "νη", "n": "ν", "surname": "κης"},
 }
 
+# Words between a person's names that are no names.
+PARTICLES = "von van vom zu zur der den de del della di da dos du la le ter ten bin ibn al el af".split()
+
 _TITLES = [*MALE, *FEMALE, *NEUTRAL]
+_TITLES += [t.upper() for t in _TITLES]
 _TITLE = "|".join(sorted(_TITLES, key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_PARTICLE = f"(?:{'|'.join(PARTICLES)})"
+# A name or an initial, particles before it; possessive, so that no name is too long.
+_NAME = rf"(?:{_PARTICLE} ){{0,3}}(?:\p{{Lu}}\.|\p{{Lu}}[\p{{L}}'’-]++)"
 
 # The whole value of a secret, to its closing quote or white space: marks that end a sentence or bracket are left
 # out at its end, and so is what follows as the next ``name=``.  Possessive, so that no length is too long.
@@ -51,25 +63,29 @@ _VALUE = (
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-    rf"(?=[A-Za-z0-9+/_.~-]{{8}})(?=[^\s\"']{{0,127}}\d|[A-Za-z0-9+/_.~-]{{128}}){_VALUE}",
+    rf"(?:(?<=\")[^\"\n]{{4,}}+(?=\"|$)|(?<=')[^'\n]{{4,}}+(?='|$)"
+    rf"|(?=[^\s\"']{{8}})(?=[^\s\"']{{0,127}}[^\p{{L}}\s\"'{_MARKS}]|[^\s\"']{{16}}){_VALUE})",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16,}+|(?:sk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)",
+    "ipv6": r"(?<![\w:])(?=[0-9A-Fa-f:]{0,40}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![\w:])",
+    "ip": r"(?<![\w.])(?<!(?:[Vv]ersion|VERSION|[Rr]elease) )(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _SECRET_HEAD = r"^[^=:]*[=:]\s{0,3}[\"']?"
 
-#: Draws after which the check gives up; every further draw doubles the room, so few are ever needed.
-MOST_DRAWS = 24
+#: The first draws have an entity's own length; every further one has a character more and so ten times the room.
+SAME_LENGTH = 3
 
 
 _TITLED = rf"^(?:{_TITLE})\.? "
 _NAME_END = r"(?:['’][sS])?[-'’]*$"
+_INITIAL = r"^\p{Lu}\.$"
 
 
 def _bare(mentions: Column) -> Column:
@@ -80,7 +96,8 @@ def _bare(mentions: Column) -> Column:
     persons = F.filter(mentions, lambda m: m.rlike(_TITLED))
     words = F.flatten(F.transform(persons, lambda m: F.split(F.regexp_replace(m, _TITLED, ""), " ")))
     names = F.transform(words, lambda w: F.lower(F.regexp_replace(w, _NAME_END, "")))
-    names = F.filter(F.array_distinct(names), lambda n: (F.length(n) > 1) & ~n.isin(*(t.lower() for t in _TITLES)))
+    known = {*PARTICLES, *(t.lower() for t in _TITLES)}
+    names = F.filter(F.array_distinct(names), lambda n: (F.length(n) > 1) & ~n.endswith(".") & ~n.isin(*sorted(known)))
 
     def pattern(names: Column) -> Column:
         name = F.concat(F.lit(r"(?=\p{Lu})(?iu:"), F.array_join(F.sort_array(names, asc=False), "|"), F.lit(r")(?![\p{L}@])"))
@@ -110,6 +127,10 @@ def entities(text: Column) -> Column:
     return _let(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), again)
 
 
+#: What a pattern finds but a closer look does not confirm, and particles of names: they stay as they are.
+KEPT = "kept"
+
+
 def _type(mention: Column) -> Column:
     found = F.lit("person")
     for name in reversed([n for n in PATTERNS if n != "person"]):
@@ -128,24 +149,29 @@ def _script(word: Column) -> Column:
 
 
 def _tokens(mention: Column) -> Column:
-    """The entities of a mention as structs ``kind`` and ``canon``.
+    """The entities of a mention as structs ``kind`` and ``canon``; what is none after all is of the kind ``KEPT``.
 
     A person has one for each name, so that the surname alone is still the same person; anything else has one.
     Names without a title have the role ``bare`` until :func:`_settled` gives them one.
     """
     titled = mention.rlike(_TITLED)
     title = F.regexp_replace(F.get(F.split(mention, " "), F.lit(0)), r"\.$", "")
-    gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
+    said = F.upper(title)
+    gender = F.when(said.isin(*(t.upper() for t in MALE)), "m").when(said.isin(*(t.upper() for t in FEMALE)), "f")
+    gender = gender.otherwise("n")
     names = F.split(F.regexp_replace(mention, _TITLED, ""), " ")
+    # One name behind a title may be a first name or a surname.
+    last = F.when(F.size(names) == 1, "only").otherwise("surname")
 
     def name(word: Column, i: Column) -> Column:
-        role = F.when(~titled, "bare").when(i == F.size(names) - 1, "surname").otherwise(gender)
-        kind = F.concat(F.lit("name."), _script(word), F.lit("."), role)
+        role = F.when(~titled, "bare").when(word.rlike(_INITIAL), "n").when(i == F.size(names) - 1, last).otherwise(gender)
+        kind = F.when(word.isin(*PARTICLES), KEPT).otherwise(F.concat(F.lit("name."), _script(word), F.lit("."), role))
         return F.struct(kind.alias("kind"), F.lower(F.regexp_replace(word, _NAME_END, "")).alias("canon"))
 
     kind = _type(mention)
+    kind = F.when((kind == "card") & (_checked(_digits(mention)) != 0), KEPT).otherwise(kind)
     canon = (
-        F.when(kind == "email", F.lower(mention))
+        F.when(kind.isin("email", "ipv6"), F.lower(mention))
         .when(kind.isin("phone", "card", "ssn"), _digits(mention))
         .when(kind == "secret", F.regexp_replace(mention, _SECRET_HEAD, ""))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
@@ -168,7 +194,8 @@ def _settled(parts: DataFrame) -> DataFrame:
     same = Window.partitionBy("k", stem, "canon")
     has = {r: F.max(role == r).over(same) for r in ("surname", "m", "f", "n")}
     gender = F.when(has["m"] & ~has["f"], "m").when(has["f"] & ~has["m"], "f").otherwise("n")
-    settled = F.when(role == "n", gender).when(role == "bare", F.when(has["surname"], "surname").otherwise(gender))
+    is_first = ~has["surname"] & (has["m"] | has["f"] | has["n"])
+    settled = F.when(role == "n", gender).when(role.isin("bare", "only"), F.when(is_first, gender).otherwise("surname"))
     names = parts.where(is_name).withColumn("kind", F.concat(stem, F.coalesce(settled, role)))
     return parts.where(~is_name).unionByName(names)
 
@@ -228,6 +255,16 @@ def _shaped(value: Column, stream: _Stream) -> Column:
     return stream.by_piece(value, piece)
 
 
+def _grouped_hex(value: Column, stream: _Stream) -> Column:
+    """Drawn hex digits for hex digits; anything else stays."""
+
+    def piece(chars: Column, block: Column) -> Column:
+        drawn = lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(block, i * 2 + 1, F.lit(1))).otherwise(c)
+        return F.array_join(F.transform(F.split(chars, ""), drawn), "")
+
+    return stream.by_piece(value, piece)
+
+
 def _hex(value: Column, stream: _Stream) -> Column:
     """Drawn hex digits, as many as the value has."""
     return stream.by_piece(value, lambda piece, block: F.substring(block, F.lit(1), F.length(piece)), 128)
@@ -238,7 +275,7 @@ def _checked(digits: Column) -> Column:
     places = F.reverse(F.split(digits, ""))
 
     def weighed(c: Column, i: Column) -> Column:
-        d = c.cast("int")
+        d = c.try_cast("int")
         twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
         return F.when(i % 2 == 1, twice).otherwise(d)
 
@@ -255,6 +292,32 @@ def _card(digits: Column, stream: _Stream) -> Column:
     )
 
 
+def _mod_97(account: Column) -> Column:
+    """Remainder of a bank account's check sum, the country and check digits moved to its end; 1 is valid."""
+    moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+
+    def add(total: Column, c: Column) -> Column:
+        # Letters count as 10 to 35.
+        code = F.ascii(c)
+        return F.when(code < 65, (total * 10 + code - 48) % 97).otherwise((total * 100 + code - 55) % 97)
+
+    return F.aggregate(F.split(moved, ""), F.lit(0), add)
+
+
+def _account(account: Column, stream: _Stream) -> Column:
+    """Same country; valid check digits if the account had them."""
+    country = F.substring(account, 1, 2)
+    drawn = _shaped(F.substring(account, F.lit(3), F.length(account)), stream)
+
+    def checked(drawn: Column) -> Column:
+        own = F.substring(drawn, F.lit(3), F.length(drawn))
+        rest = F.lit(98) - _mod_97(F.concat(country, F.lit("00"), own))
+        valid = F.concat(country, F.lpad(rest.cast("string"), 2, "0"), own)
+        return F.when(_mod_97(account) == 1, valid).otherwise(F.concat(country, drawn))
+
+    return _let(drawn, checked)
+
+
 def _name(kind: Column, stream: Column, draw: int) -> Column:
     found = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
@@ -279,7 +342,9 @@ def _candidate(key: str, draw: int) -> Column:
     top = F.regexp_extract(domain, r"\.[^.]*$", 0)
     # The mails of one domain stay in one domain; the top level domain stays.
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    longer = F.substring(drawn, 200, 2 * draw) if draw > 2 else F.lit("")
+    more = max(0, draw + 1 - SAME_LENGTH)
+    longer = F.substring(F.repeat(F.substring(drawn, 193, 64), 1 + more // 64), 1, more) if more else F.lit("")
+    digits = F.translate(longer, "abcdef", "012345")
     local = F.concat(_shaped(F.substring(canon, F.lit(1), at - 1), stream), longer)
     email = F.concat(local, F.lit("@"), _shaped(host, _Stream(key, "host.", kind, host)), top)
     octets = [(_byte(drawn, F.lit(2 * i)) * 256 + _byte(drawn, F.lit(2 * i + 1))) for i in range(4)]
@@ -288,15 +353,16 @@ def _candidate(key: str, draw: int) -> Column:
     secret = F.when(is_hex, _hex(canon, stream)).otherwise(_shaped(canon, stream))
     key_head = F.regexp_extract(canon, "^(?:AKIA|sk[-_]|ghp[-_]|xox[bp][-_])", 0)
     key_tail = F.substring(canon, F.length(key_head) + 1, F.length(canon))
-    country = F.substring(canon, 1, 2)
+    # More numbers of one kind than its length allows make longer ones.
     return (
         F.when(kind == "email", email)
-        .when(kind == "ip", ip)
-        .when(kind == "card", _card(canon, stream))
-        .when(kind == "secret", secret)
-        .when(kind == "key", F.concat(key_head, _shaped(key_tail, stream)))
-        .when(kind == "iban", F.concat(country, _shaped(F.substring(canon, F.lit(3), F.lit(64)), stream)))
-        .when(kind.isin("phone", "ssn"), _shaped(canon, stream))
+        .when(kind == "ip", F.concat(ip, F.when(digits != "", F.concat(F.lit("."), digits)).otherwise("")))
+        .when(kind == "ipv6", F.concat(_grouped_hex(canon, stream), longer))
+        .when(kind == "card", F.concat(_card(canon, stream), digits))
+        .when(kind == "secret", F.concat(secret, longer))
+        .when(kind == "key", F.concat(key_head, _shaped(key_tail, stream), longer))
+        .when(kind == "iban", F.concat(_account(canon, stream), digits))
+        .when(kind.isin("phone", "ssn"), F.concat(_shaped(canon, stream), digits))
         .otherwise(_name(kind, drawn, draw))
     )
 
@@ -304,25 +370,24 @@ def _candidate(key: str, draw: int) -> Column:
 def assigned(found: DataFrame, key: str) -> DataFrame:
     """``kind``, ``canon`` and ``surrogate`` of every distinct entity in columns ``kind`` and ``canon``.
 
-    Within a kind all surrogates differ from each other and, in lower case, from all entities.  Entities that
-    lose a draw to another or to a real one draw again.  All steps are joins and partial aggregates over
-    distinct entities.
+    All surrogates differ from each other and, in lower case, from all entities, of whatever kinds.  Entities that
+    lose a draw to another or to a real one draw again, the longer the oftener, so that all end.  All steps are
+    joins and partial aggregates over distinct entities.
     """
-    every = written(found.select("kind", "canon").distinct(), "entities")
-    real = every.select("kind", F.lower("canon").alias("folded"))
-    done, pending = None, every
-    for draw in range(MOST_DRAWS):
+    every = written(found.select("kind", "canon").where(F.col("kind") != KEPT).distinct(), "entities")
+    real = every.select(F.lower("canon").alias("folded")).distinct()
+    done, pending, draw = None, every, 0
+    while done is None or not pending.isEmpty():
         drawn = pending.withColumn("surrogate", _candidate(key, draw))
-        drawn = drawn.withColumn("folded", F.lower("surrogate")).join(real, ["kind", "folded"], "left_anti")
+        drawn = drawn.withColumn("folded", F.lower("surrogate")).join(real, "folded", "left_anti")
         if done is not None:
-            drawn = drawn.join(done.select("kind", "folded"), ["kind", "folded"], "left_anti")
-        winners = drawn.groupBy("kind", "folded").agg(F.min(F.struct("canon", "surrogate")).alias("w"))
-        winners = written(winners.select("kind", "folded", "w.*"), "winners")
+            drawn = drawn.join(done.select("folded"), "folded", "left_anti")
+        winners = drawn.groupBy("folded").agg(F.min(F.struct("kind", "canon", "surrogate")).alias("w"))
+        winners = written(winners.select("folded", "w.*"), "winners")
         done = winners if done is None else done.unionByName(winners)
         pending = written(pending.join(winners, ["kind", "canon"], "left_anti"), "pending")
-        if pending.isEmpty():
-            return done.select("kind", "canon", "surrogate")
-    raise ValueError("the surrogates of some kind of entity are used up")
+        draw += 1
+    return done.select("kind", "canon", "surrogate")
 
 
 def _formatted(mention: Column, kind: Column, surrogate: Column) -> Column:
@@ -339,7 +404,11 @@ def _formatted(mention: Column, kind: Column, surrogate: Column) -> Column:
                 (done.getField("at") + here.cast("int")).alias("at"),
             )
 
-        return F.aggregate(F.split(mention, ""), start, put, lambda done: done.getField("out"))
+        # A longer surrogate ends behind the mention's last place.
+        rest = lambda done: F.substring(surrogate, done.getField("at"), F.length(surrogate))
+        return F.aggregate(
+            F.split(mention, ""), start, put, lambda done: F.concat(done.getField("out"), rest(done))
+        )
 
     head = F.regexp_extract(mention, _SECRET_HEAD, 0)
     end = F.regexp_extract(mention, _NAME_END, 0)
@@ -348,6 +417,7 @@ def _formatted(mention: Column, kind: Column, surrogate: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), filled("[0-9]"))
         .when(kind == "iban", filled("[A-Z0-9]"))
         .when(kind == "secret", F.concat(head, surrogate))
+        .when(kind.startswith("name.") & mention.rlike(_INITIAL), F.concat(F.left(surrogate, F.lit(1)), F.lit(".")))
         .when(kind.startswith("name."), F.concat(F.when(F.upper(stem) == stem, F.upper(surrogate)).otherwise(surrogate), end))
         .otherwise(surrogate)
     )
@@ -376,11 +446,12 @@ def replaced(df: DataFrame, key: str, text: str = "text", count: str | None = No
     """
     order = df.columns
     found, bare, listed, both = (unused(df, name) for name in ("_found", "_bare", "_list", "_both"))
-    has_some = F.coalesce(F.col(text), F.lit("")).rlike(_ANY)
-    some = df.where(has_some).withColumn(both, entities(F.col(text)))
-    some = some.select(*(F.col(f"`{c}`") for c in order), F.col(f"{both}.found").alias(found), F.col(f"{both}.bare").alias(bare))
-    some = written(some.withColumn(listed, F.sha2(F.array_join(found, "\u0001"), 256)), "with-entities")
-    none = df.where(~has_some)
+    seen = df.withColumn(both, entities(F.col(text)))
+    seen = seen.select(*(F.col(f"`{c}`") for c in order), F.col(f"{both}.found").alias(found), F.col(f"{both}.bare").alias(bare))
+    seen = seen.withColumn(listed, F.when(F.size(found) > 0, F.sha2(F.array_join(found, "\u0001"), 256)))
+    # Stored whole: looking for entities is dear, and every text is looked at once.
+    seen = written(seen, "with-entities")
+    some, none = seen.where(F.col(listed).isNotNull()), seen.where(F.col(listed).isNull()).select(*(F.col(f"`{c}`") for c in order))
 
     lists = some.select(F.col(listed).alias("k"), F.col(found).alias("mentions")).dropDuplicates(["k"])
     mentions = lists.select("k", F.posexplode("mentions").alias("at", "mention"))
@@ -395,23 +466,32 @@ def replaced(df: DataFrame, key: str, text: str = "text", count: str | None = No
     shown = parts.join(surrogates, ["kind", "canon"]).select(
         "k", "at", "part", "mention", person.alias("person"), _formatted(word, F.col("kind"), F.col("surrogate")).alias("s")
     )
+    # A kept mention is whole, a particle is one word of a person.
+    particle = F.get(F.split("mention", " "), place)
+    kept = parts.where(F.col("kind") == KEPT).select(
+        "k", "at", "part", "mention", titled.alias("person"), F.when(titled, particle).otherwise(F.col("mention")).alias("s")
+    )
+    shown = shown.unionByName(kept)
     title = F.get(F.split("mention", " "), F.lit(0))
     by_mention = shown.groupBy("k", "at").agg(
         F.sort_array(F.collect_list(F.struct("part", "s"))).alias("names"),
         F.first("mention").alias("mention"),
-        F.first("person").alias("person"),
+        F.max("person").alias("person"),
     )
     names = F.array_join(F.transform("names", lambda x: x.getField("s")), " ")
     by_mention = by_mention.select(
-        "k", "at", F.when(F.col("person") & titled, F.concat_ws(" ", title, names)).otherwise(names).alias("s")
+        "k", "at", "mention", F.when(F.col("person") & titled, F.concat_ws(" ", title, names)).otherwise(names).alias("s")
+    )
+    by_list = by_mention.groupBy("k").agg(
+        F.sort_array(F.collect_list(F.struct("at", "s"))).alias("new"), F.count_if(F.col("s") != F.col("mention")).alias("n")
     )
-    by_list = by_mention.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("new"))
     by_list = by_list.select(
-        F.col("k").alias(listed), F.transform("new", lambda x: x.getField("s")).alias(unused(some, "_new"))
+        F.col("k").alias(listed), F.transform("new", lambda x: x.getField("s")).alias(unused(some, "_new")),
+        F.col("n").alias(unused(some, "_count")),
     )
     # Stored, so that the join deals both sides anew and a list that very many rows have can be split.
     by_list = written(by_list, "replacements")
-    new = by_list.columns[1]
+    _, new, number = by_list.columns
     gaps = F.split(F.col(text), _pattern(F.col(bare)))
     whole = F.array_join(
         F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col(new), i), F.lit("")))), ""
@@ -419,7 +499,7 @@ def replaced(df: DataFrame, key: str, text: str = "text", count: str | None = No
     done = some.join(by_list, listed)
     done = done.withColumn(text, whole)
     if count:
-        done = done.withColumn(count, F.size(found).cast("bigint"))
+        done = done.withColumn(count, F.col(number).cast("bigint"))
         none = none.withColumn(count, F.lit(0).cast("bigint"))
         order = [c for c in order if c != count] + [count]
     return done.select(*(F.col(f"`{c}`") for c in order)).unionByName(none.select(*(F.col(f"`{c}`") for c in order)))
