@@ -150,15 +150,16 @@ def _shares(counts: DataFrame, languages: tuple[str, ...], buckets: int) -> np.n
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
     """Learn from every row with a text and a language.
 
-    The driver receives the names of all languages, and one count per language and bucket for
-    ``MOST_LANGUAGES`` languages at a time, however large ``df`` is and however many they are.  Texts without letters teach nothing; without any others the model has no
-    language and predicts ``und``.
+    The driver receives the names of all languages, which the model holds, and one count per language and bucket for
+    ``MOST_LANGUAGES`` languages at a time, however large ``df`` is and however many they are.  Texts without letters
+    teach nothing; without any others the model has no language and predicts ``und``.
     """
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
     most = MOST_LANGUAGES
     counts = rows.mapInArrow(_counted(buckets, most), "lang string, bucket long, n long")
     counts = written(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
-    languages = tuple(sorted(r.lang for r in counts.select("lang").distinct().collect()))
+    # One name per language, as in the model itself; the names come partition by partition.
+    languages = tuple(sorted(r.lang for r in counts.select("lang").distinct().toLocalIterator()))
     blocks = [slice(at, at + most) for at in range(0, len(languages), most)]
     held = cache(lambda at: _shares(counts, languages[at : at + most], buckets))
     shares = held if len(blocks) == 1 else held.__wrapped__  # one block is read once, many are read in turn
