@@ -6,10 +6,11 @@ pigeonhole principle some chunk differs in at most ``errors`` slots: every chunk
 choice of ``errors`` slots left out, and such a pair shares an index key.  Signature distance then
 decides which pairs of a key are compared on their full sets.
 
-Texts with the same set are one class.  The pairs of a key are not all formed: its classes are compared with a
-leader first, twice with different leaders, and linked classes become one component.  What is left are classes that share a key and are in
-different components; of these, pairs are formed only if their sets, rare shingles first, can overlap enough.
-Links within a component would add nothing.
+Texts with the same set are one class.  The pairs of a key are not formed as rows: its classes are compared with a
+leader first, twice with different leaders, and linked classes become one component.  What is left are classes that
+share a key and are in different components.  These are put in blocks, those of one large key next to each other;
+blocks that share a key are compared as a whole inside a task, by signatures first, then on full sets, and return no
+more links than join components.  Links within a component would add nothing.
 """
 
 from __future__ import annotations
@@ -24,17 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.work import unused, written
+from cohortlens.operators.ranking import running
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _REMEMBERED = 400_000
 _BLOCK = 4096
-_COUNTERS = 1 << 18
+
+#: Shingles of all classes of a block together, unless a single one has more.
+BLOCK_SHINGLES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingle length in words, least similarity in per cent, and the shape of the index.
+    """Shingle length in words, least similarity in per cent, the shape of the index, and classes of a block at most.
 
     With 13 chunks of 5 slots and one error, all pairs within 25 of 65 slots are found.  A pair of similarity
     0.8 differs in 13 slots on average; more than 25 happen once in some 10,000 such pairs, and ever
@@ -47,6 +51,7 @@ class Settings:
     width: int = 5
     errors: int = 1
     seed: int = 1
+    block: int = 512
 
     @property
     def slots(self) -> int:
@@ -284,12 +289,9 @@ def near_duplicates(
         pairs = pairs.select(F.col("l.node").alias("u"), F.col("node").alias("v"))
         labels = _joined(labels, written(compare.links(pairs), "links"))
         members = buckets.join(labels, "node")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = written(mixed.where("x <> y").select("key"), "mixed-keys")
-    left = members.join(mixed, "key", "left_semi").select("node", "component").distinct()
-    pairs = _overlapping(written(left.join(texts, "node"), "left"), settings)
-    found = _joined(labels, written(compare.links(pairs), "links"))
-    first = classes.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("first"))
+    found = _joined(labels, written(_block_links(members, classes, texts, settings), "links"))
+    # Stored, so that the join may split a large component.
+    first = written(classes.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("first")), "first")
     named = found.join(first, "component").select("node", "first")
     answers = classes.join(named, "node", "left").select(
         "class", F.coalesce("first", "doc_id").alias("component_id"), F.lit(True).alias("has")
@@ -306,64 +308,129 @@ def near_duplicates(
     )
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], column: int, settings: Settings) -> Iterator[tuple]:
-    """Of every row, the row itself, its shingle hashes and their counters."""
-    signer = Signer(settings)
-    for batch in batches:
-        for k, text in enumerate(batch.column(column)):
-            hashed = signer.hashed(text.as_py())
-            yield batch, k, hashed, ((hashed * _MIX) >> np.uint64(32)).astype(np.int64) % _COUNTERS
-
-
-def _overlapping(classes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (``u``, ``v``) of different components that can be similar enough, from ``node``, ``component``, ``text``.
+def _blocks(members: DataFrame, classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The classes in ``members`` in blocks, and the ``block`` of every ``node``.
 
-    Shingles are put in one order, rare ones first; two similar sets have one of the first few of each in common, and
-    from there on enough left to reach the similarity.  Rarity is judged by a fixed number of counters over
-    hashed shingles: it only guides the order, any order is right.
+    A class stands with the others of its largest key, so that a group of texts with much in common fills few blocks.
+    A block is a ``block`` and the ``classes`` of some neighbours in that order, however it is partitioned.
     """
-    percent = settings.percent
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_COUNTERS, np.int64)
-        for _, _, _, counters in _tokens(batches, 0, settings):
-            np.add.at(total, counters, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
-
-    counts = classes.select("text").mapInArrow(count, "counter long, n long")
-    counts = counts.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    rarity = np.zeros(_COUNTERS, np.int64)
-    rarity[counts["counter"].to_numpy()] = counts["n"].to_numpy()
-    shared = classes.sparkSession.sparkContext.broadcast(rarity)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, k, hashed, counters in _tokens(batches, 2, settings):
-            n = len(hashed)
-            order = np.lexsort((hashed, shared.value[counters]))
-            taken = hashed[order[: n - -(-percent * n // 100) + 1]]
-            row = [taken.view(np.int64), np.full(len(taken), batch.column(0)[k].as_py())]
-            row += [np.full(len(taken), batch.column(1)[k].as_py()), np.full(len(taken), n), n - np.arange(len(taken))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["shingle", "node", "component", "n", "rest"])
-
-    firsts = classes.select("node", "component", "text").mapInArrow(
-        first, "shingle long, node long, component long, n long, rest long"
+    homes = members.groupBy("node", "component").agg(F.max(F.struct("c", "key")).alias("home"))
+    rows = written(classes.select("node", "n").join(homes, "node"), "homes")
+    slim = rows.select("node", F.col("home.key").alias("key"), "component", "n")
+    share = -(-BLOCK_SHINGLES // settings.block)
+    weight = 1 + F.floor(F.col("n") / share)
+    placed = running(slim, [], ["key", "node"], weight, "place", row="node")
+    placed = placed.select("node", "component", F.floor(F.col("place") / settings.block).alias("block"))
+    placed = written(placed, "placed")
+    found = classes.select("node", "n", "signature").join(placed, "node")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("node", "component", "n", "signature")).alias("classes"))
+    return written(found, "class-blocks"), placed.select("node", "block")
+
+
+def candidates(one: list[dict], two: list[dict], settings: Settings) -> np.ndarray:
+    """Which classes of two blocks are of different components, of sizes that allow the similarity, and within
+    the signature distance."""
+
+    def lists(block: list[dict]) -> tuple[np.ndarray, ...]:
+        signed = np.frombuffer(b"".join(x["signature"] for x in block), "<u2").reshape(len(block), -1)
+        return np.array([x["component"] for x in block]), np.array([x["n"] for x in block]), signed
+
+    (c, n, s), (d, m, t) = lists(one), lists(two)
+    found = c[:, None] != d[None, :]
+    found &= 100 * np.minimum(n[:, None], m[None, :]) >= settings.percent * np.maximum(n[:, None], m[None, :])
+    for k in np.flatnonzero(found.any(axis=1)):
+        at = np.flatnonzero(found[k])
+        found[k, at] = (t[at] != s[k]).sum(axis=1) <= settings.distance
+    return found
+
+
+def joining_links(nodes: list[int], components: list[int], sets: list[np.ndarray], sides: list[int], percent: int) -> list:
+    """Pairs of similar sets, on different sides if there are two, that join ``components``: no more than it takes.
+
+    ``sets`` hold sorted distinct hashes.
+    """
+    root = {c: c for c in components}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    sizes = np.array([len(x) for x in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], sizes.cumsum()[:-1]])
+    both = len(set(sides)) > 1
+    right = [k for k, side in enumerate(sides) if side == 1 or not both]
+    held = np.concatenate([place[starts[k] : starts[k] + sizes[k]] for k in right])
+    edges = np.concatenate([[0], sizes[right].cumsum()[:-1]])
+    marks = np.zeros(len(place), bool)
+    links = []
+    for k, side in enumerate(sides):
+        if both and side == 1:
+            continue
+        mine = place[starts[k] : starts[k] + sizes[k]]
+        marks[mine] = True
+        common = np.add.reduceat(marks[held], edges, dtype=np.int64)
+        marks[mine] = False
+        for j in np.flatnonzero(100 * common >= percent * (sizes[k] + sizes[right] - common)):
+            a, b = top(components[k]), top(components[right[j]])
+            if a != b:
+                root[a] = b
+                links.append((nodes[k], nodes[right[j]]))
+    return links
+
+
+def _block_links(members: DataFrame, classes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (``u``, ``v``) that join the components of classes with a common key, from ``key``, ``node``, ``component``.
+
+    Rows are blocks, pairs of blocks, and the classes of such a pair that have a candidate in it; never pairs of
+    classes.
+    """
+    mixed = members.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")
     )
-    firsts = written(firsts, "first-shingles")
-
-    def enough(rest: str, others: str, n: str, m: str) -> Column:
-        return (100 + percent) * F.least(rest, others) >= percent * (F.col(n) + F.col(m))
-
-    # Components meet before their members do: a large one is a single row then.
-    groups = firsts.groupBy("shingle", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("n"))
-    groups = written(groups, "first-groups")
-    other = groups.toDF("shingle", "c", "others", "m")
-    met = groups.join(other, "shingle").where((F.col("component") < F.col("c")) & enough("rest", "others", "n", "m"))
-    met = met.select("shingle", "component", "c")
-    one = firsts.withColumnRenamed("node", "u")
-    two = firsts.toDF("shingle", "v", "c", "m", "others")
-    pairs = met.join(one, ["shingle", "component"]).join(two, ["shingle", "c"])
-    return pairs.where(_sizes_allow("n", "m", percent) & enough("rest", "others", "n", "m")).select("u", "v")
+    mixed = written(mixed.where("x <> y").select("key", "c"), "mixed-keys")
+    members = written(members.join(mixed, "key").select("key", "node", "component", "c"), "mixed-members")
+    blocks, placed = _blocks(members, classes, settings)
+    held = written(members.select("key", "node").join(placed, "node").select("key", "block").distinct(), "key-blocks")
+    pairs = held.toDF("key", "a").join(held.toDF("key", "b"), "key").where("a <= b").select("a", "b").distinct()
+    rows = written(pairs, "block-pairs").join(blocks.toDF("a", "one"), "a").join(blocks.toDF("b", "two"), "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                a, b, one, two = (batch.column(name)[k].as_py() for name in ("a", "b", "one", "two"))
+                found = candidates(one, two, settings)
+                columns: list[list] = [[], [], []]
+                for side, block in enumerate((one, two) if a < b else (one,)):
+                    at = np.flatnonzero(found.any(axis=1 - side))
+                    columns[0] += [block[i]["node"] for i in at]
+                    columns[1] += [block[i]["component"] for i in at]
+                    columns[2] += [side] * len(at)
+                n = len(columns[0])
+                arrays = [[a] * n, [b] * n, *columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in arrays], ["a", "b", "node", "component", "side"]
+                )
+
+    met = written(rows.mapInArrow(near, "a long, b long, node long, component long, side long"), "block-candidates")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(settings)
+        for batch in batches:
+            sets = [signer.hashed(text.as_py()).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+
+    wanted = texts.join(met.select("node").distinct(), "node", "left_semi").select("node", "text")
+    sets = written(wanted.mapInArrow(hashed, "node long, set binary"), "sets")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, components, sides = (table[c].to_pylist() for c in ("node", "component", "side"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["set"]]
+        links = joining_links(nodes, components, sets, sides, settings.percent)
+        return pa.table({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate("uv")})
+
+    return met.join(sets, "node").groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
 def _between(labels: DataFrame, links: DataFrame) -> DataFrame:

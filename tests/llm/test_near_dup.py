@@ -57,7 +57,7 @@ def corpus():
 
 def test_components_equal_brute_force(spark):
     texts = corpus()
-    for settings in (Settings(shingle=2), Settings()):
+    for settings in (Settings(shingle=2), Settings(), Settings(block=3)):
         df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
         sizes, lowest = brute(texts, settings)
         got = near_dup.near_duplicates(df, settings).collect()
@@ -67,6 +67,32 @@ def test_components_equal_brute_force(spark):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_a_large_group_on_both_sides_of_the_threshold(spark):
+    """2,000 texts that share most of their words, at similarities of about 0.75 to 0.85."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for k in range(2000):
+        copy = list(base)
+        for at in rng.sample(range(400), rng.randrange(9, 30)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(copy)
+    sets = {k: near_dup.shingles(t, 2) for k, t in texts.items()}
+    places = {x: i for i, x in enumerate(set().union(*sets.values()))}
+    often = np.zeros((2000, len(places)), np.float32)
+    for k, found in sets.items():
+        often[k, [places[x] for x in found]] = 1
+    common = often @ often.T
+    sizes = often.sum(axis=1)
+    share = 100 * common / (sizes[:, None] + sizes[None, :] - common)
+    assert (share > 75).any() and np.median(share) < 80
+    lowest = smallest_reachable(texts, zip(*np.nonzero(np.triu(share >= 80, 1)), strict=True))
+    assert 100 < len(set(lowest.values())) < 1990
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = near_dup.near_duplicates(df, Settings(shingle=2, block=100)).collect()
+    assert {r.doc_id: r.component_id for r in got} == lowest
+
+
 def test_null_keys_repeated_rows_and_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(40))
     ddl = "doc_id long, text string, node int, `class` string, text_hash int, kept boolean"
