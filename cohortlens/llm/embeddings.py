@@ -306,7 +306,9 @@ def near_duplicates(
     tops = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     groups = classes.select("node", "first").join(tops, "node", "left")
     groups = groups.withColumn("component", F.coalesce("component", "node"))
-    lowest = groups.groupBy("component").agg(F.min("first").alias("lowest"))
+    groups = written(groups, "groups")
+    # Stored, so that the join may split a large component.
+    lowest = written(groups.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
     named = groups.join(lowest, "component").select("node", "lowest")
     answers = classes.join(counts, "node", "left").join(named, "node")
     answers = answers.select(
