@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
 
+#: Tables may be stored in folders by this hash of their programme, so that one programme's rows are in one folder.
+BUCKET = "programme_bucket"
+BUCKETS = 256
+
+
+def bucket_of(programme: Column) -> Column:
+    return F.pmod(F.xxhash64(programme), F.lit(BUCKETS)).cast("int")
+
 
 def moment(as_of: datetime | str | Column) -> Column:
     """The report clock as a TIMESTAMP column.  A moment without a zone is in UTC."""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.schemas import INPUTS
+from cohortlens.functions import BUCKET, bucket_of
+from cohortlens.schemas import INPUTS, PROGRAMME_COLUMN
 
 ROWS_PER_FILE = 5_000_000
 
@@ -29,6 +30,20 @@ def write_tables(tables, root: str, only: Iterable[str] = tuple(INPUTS)) -> None
         write_report(getattr(tables, key), f"{root.rstrip('/')}/{INPUTS[key][0]}")
 
 
+def write_by_programme(tables, root: str, only: Iterable[str], mode: str = "errorifexists") -> None:
+    """Like :func:`write_tables`, in folders by a hash of the programme, for reading one programme alone.
+
+    Rows are sorted by range of (folder, programme, user), so a programme with a third of all rows is written by many
+    tasks and a small one lies in few files.
+    """
+    for key in only:
+        df = getattr(tables, key)
+        column = PROGRAMME_COLUMN[key]
+        order = [BUCKET, column, *(["user_id"] if "user_id" in df.columns else [])]
+        sorted_ = df.withColumn(BUCKET, bucket_of(F.col(column))).repartitionByRange(*order).sortWithinPartitions(*order)
+        write_report(sorted_, f"{root.rstrip('/')}/{INPUTS[key][0]}", [BUCKET], mode)
+
+
 def write_documents(df: DataFrame, path: str, keys: Sequence[str], mode: str = "errorifexists") -> None:
     """Write documents that come in parts, with a manifest: per document its parts and the elements of each list.
 

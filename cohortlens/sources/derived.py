@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.schemas import INPUTS
 from cohortlens.session import configure, shared_folder, size_shuffles
-from cohortlens.sinks.writers import write_report
+from cohortlens.sinks.writers import write_by_programme, write_report
 from cohortlens.sources.tables import Tables
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -268,6 +268,29 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(resolve)
 
 
+#: The tables that grow with the learners.
+FACTS = ("programme_facts", "course_facts", "module_facts")
+
+
+def tables_by_programme(spark: SparkSession, sf_dir: str) -> Tables:
+    """:func:`stored_tables` with the facts stored by programme, for reports on one programme."""
+    whole = stored_tables(spark, sf_dir)
+    application = spark.sparkContext.applicationId
+    root = f"{shared_folder(spark)}/by-programme-{application}-{fingerprint(spark, sf_dir)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {INPUTS[key][0]: key for key in FACTS}
+
+    def resolve(name: str) -> DataFrame:
+        if name not in names:
+            return whole.table(name)
+        if not files.exists(path(f"{root}/{name}/_SUCCESS")):
+            write_by_programme(whole, root, [names[name]], "overwrite")
+        return spark.read.parquet(f"{root}/{name}")
+
+    return Tables(resolve)
+
+
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables as lazy views over ``<sf_dir>/<raw table>.parquet``."""
     configure(spark)

@@ -8,21 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.schemas import INPUTS
+from cohortlens.functions import BUCKET, bucket_of
+from cohortlens.schemas import INPUTS, PROGRAMME_COLUMN
 from cohortlens.session import configure, size_shuffles
 
-# Column that carries the programme in each table that has one (used by single-programme mode).
-PROGRAMME_COLUMN = {
-    "programmes": "programme_id",
-    "programme_offerings": "programme_id",
-    "course_offerings": "programme_id_fk",
-    "module_offerings": "programme_id_fk",
-    "programme_facts": "programme_id",
-    "course_facts": "programme_id_fk",
-    "module_facts": "programme_id_fk",
-    "enrolments": "programme_id",
-}
-
 _ACCEPTED = {
     "string": (T.StringType, T.VarcharType, T.CharType),
     "int": (T.IntegerType, T.LongType),
@@ -85,13 +74,21 @@ class Tables:
         return self._resolve(name)
 
     def for_programme(self, programme_id: str) -> Tables:
-        """The same tables filtered to one programme; the filter reaches every scan."""
+        """The same tables filtered to one programme; the filter reaches every scan.
+
+        Of tables stored by programme only the folder is read that the programme is in.
+        """
 
         def restricted(name: str) -> DataFrame:
             key = next(k for k, (table, _) in INPUTS.items() if table == name)
-            df = getattr(self, key)
             column = PROGRAMME_COLUMN.get(key)
-            return df if column is None else df.filter(F.col(column) == F.lit(programme_id))
+            if column is None:
+                return getattr(self, key)
+            df = self._resolve(name)
+            one = F.lit(programme_id)
+            if BUCKET in df.columns:
+                df = df.filter(F.col(BUCKET) == bucket_of(one))
+            return conform_input(df, *INPUTS[key]).filter(F.col(column) == one)
 
         return Tables(restricted)
 

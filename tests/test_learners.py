@@ -179,6 +179,15 @@ def test_unknown_programme_has_no_document(tables):
     assert documents(tables(**STAR), "P9") == []
 
 
+def test_facts_are_counted_once_for_all_lists(tables, monkeypatch):
+    counted, census = [], report._census
+    monkeypatch.setattr(report, "_census", lambda t: counted.append(census(t)) or counted[-1])
+    report.learner_progress_documents(tables(**STAR))
+    assert len(counted) == 1
+    # What is counted is read back from its stored table, not from the facts.
+    assert all("/census-" in name for name in counted[0].inputFiles()) and counted[0].inputFiles()
+
+
 def test_programme_without_learners_has_an_empty_list(tables):
     [doc] = documents(tables(programmes=[P], programme_offerings=[OFFER]), "P1")
     assert doc["learner_data"] == [] and doc["status"] == "Ongoing"

@@ -14,6 +14,7 @@ from cohortlens.sources import (
     frame_tables,
     parquet_tables,
     stored_tables,
+    tables_by_programme,
 )
 from cohortlens.sources.derived import RAW_TABLES
 
@@ -132,6 +133,26 @@ def test_unfinished_snapshot_is_rebuilt(spark, tmp_path):
     assert snapshot(spark, path, now, lambda: spark.range(5)).count() == 5
 
 
+def test_one_programme_reads_its_own_files(spark):
+    def files_read(df):
+        [scan] = leaves(df._jdf.queryExecution().executedPlan())
+        return scan.selectedPartitions().totalNumberOfFiles()
+
+    def leaves(plan):
+        found = plan.collectLeaves()
+        return [found.apply(i) for i in range(found.size())]
+
+    t, plain = tables_by_programme(spark, SF), stored_tables(spark, SF)
+    some = plain.programme_facts.first().programme_id
+    for key in ("programme_facts", "course_facts", "module_facts"):
+        whole, one = getattr(t, key), getattr(t.for_programme(some), key)
+        assert 0 < files_read(one) < files_read(whole) / 4
+        assert whole.exceptAll(getattr(plain, key)).isEmpty() and whole.count() == getattr(plain, key).count()
+        assert one.exceptAll(getattr(plain.for_programme(some), key)).isEmpty()
+        assert one.count() == getattr(plain.for_programme(some), key).count()
+    assert t.for_programme("none").module_facts.count() == 0
+
+
 def test_two_writers_at_once_leave_one_whole_snapshot(spark, tmp_path):
     path, now, inner = str(tmp_path / "s"), "1999-01-01 00:00:00", []
 
