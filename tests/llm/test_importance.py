@@ -78,3 +78,34 @@ def test_query_keeps_good_and_drops_poor_documents(spark):
     good = [got[r.doc_id].kept for r in labels if r.quality == 1 and r.toxic == 0]
     poor = [got[r.doc_id].kept for r in labels if r.quality == 0]
     assert np.mean(good) > 0.95 and np.mean(poor) < 0.5, (np.mean(good), np.mean(poor))
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    noise = importance.gumbel(documents.doc_id, documents.text, seed=1).alias("noise")
+    rows = documents.select("doc_id", "text", noise).collect()
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    target = {r.doc_id for r in labels if r.quality == 1 and r.toxic == 0}
+    hashes = importance._Hashes()
+    found = {r.doc_id: importance.buckets((r.text or "").encode(), hashes) for r in rows}
+
+    def share(ids):
+        total = np.full(importance.BUCKETS, 0.5)
+        for key in ids:
+            np.add.at(total, found[key], 1)
+        return total / total.sum()
+
+    weights = np.log(share(target & set(found)) / share(found))
+    want = {r.doc_id: (weights[found[r.doc_id]].sum(), r.noise) for r in rows if len(found[r.doc_id])}
+    draws = sorted((w + n for w, n in want.values()), reverse=True)
+    last = draws[round(0.85 * len(draws)) - 1]
+    got = op6_importance(spark, folder).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id not in want:
+            assert r.weight is None and not r.kept
+        else:
+            w, n = want[r.doc_id]
+            assert math.isclose(r.weight, w, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.draw, w + n, rel_tol=1e-9, abs_tol=1e-9)
+            assert r.kept == (w + n >= last) or math.isclose(w + n, last, rel_tol=1e-9)

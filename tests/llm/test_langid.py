@@ -104,3 +104,48 @@ def test_a_corpus_with_very_many_labels_has_a_model(spark):
     found = langid.fit(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
     assert len(found.languages) == 604 and len({tuple(c) for c in found.code}) == 604
     assert [found.predict(t)[0] for t in SAMPLES.values()] == list(SAMPLES)
+
+
+def test_query_equals_brute_force(spark):
+    """Every label, score and flag, from counts of all n-grams one by one."""
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def counted(text):
+        ready = langid.prepared(text)
+        found = np.zeros(langid.BUCKETS)
+        for n in range(1, langid.LONGEST + 1):
+            for at in range(len(ready) - n + 1):
+                key = 0
+                for k, byte in enumerate(ready[at : at + n], 1):
+                    key = (key * 257 + byte + k) % 2**32
+                key = key * 2654435761 % 2**32
+                found[(key ^ key >> 15) % langid.BUCKETS] += 1
+        return found
+
+    grams = {r.doc_id: counted(r.text) for r in rows}
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows}
+    names = sorted({r.lang for r in rows if r.lang is not None and r.text is not None and not held[r.doc_id]})
+    share = np.full((len(names), langid.BUCKETS), 0.5)
+    for r in rows:
+        if r.lang is not None and not held[r.doc_id]:
+            share[names.index(r.lang)] += grams[r.doc_id]
+    share /= share.sum(axis=1, keepdims=True)
+    code = langid.codewords(len(names))
+    weights = np.array([np.log(share[c > 0].mean(axis=0) / share[c < 0].mean(axis=0)) for c in code.T]).T
+    expected = share @ weights * code
+    trust = expected.clip(1e-6)
+    trust /= trust.sum(axis=1, keepdims=True)
+    got = op9_language_id(spark, folder).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == held[r.doc_id]
+        if not grams[r.doc_id].sum():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        margin = grams[r.doc_id] @ weights / grams[r.doc_id].sum()
+        bits = (margin / (np.abs(expected).mean(axis=0) + 1e-9)).clip(-3, 3)
+        loss = np.sort((trust * np.exp(-code * bits)).sum(axis=1))
+        best = names[int((trust * np.exp(-code * bits)).sum(axis=1).argmin())]
+        assert r.lang_pred == best and abs(r.score - loss[1] / (loss[0] + loss[1])) < 1e-9
+        assert r.ambiguous == (r.score < langid.AMBIGUOUS)
