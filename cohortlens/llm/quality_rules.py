@@ -31,7 +31,9 @@ COVERED = r"^(?:en|eng|english|fr|fra|fre|french|de|deu|ger|german|es|spa|spanis
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäæçéèêëîïôœùûüÿñßáíóú"
 UNNAMED = ["", "und", "unknown", "none", "null", "mul", "mis", "zxx", "other", "n/a"]
 _NOT_OTHER = rf"[\P{{L}}{LETTERS}{LETTERS.upper()}]+"
-_UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]+"
+# Scripts that are written without spaces.
+UNSPACED_SCRIPTS = "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split()
+_UNSPACED = "[^" + "".join(f"\\p{{Is{s}}}" for s in UNSPACED_SCRIPTS) + "]+"
 
 METRICS = (
     "n_words",

@@ -107,11 +107,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*").drop("failed")
 
 
+# Columns of the statement that tell where a rule does not apply.
+_UNLESS = {quality_rules.other_language: "other_language", quality_rules.unspaced_script: "unspaced_script"}
+
+
 def _bound(rule: quality_rules.Rule) -> str:
     of = rule.per or "1"
     tests = [f"{rule.scale} * {rule.metric} < {rule.low} * {of}"] if rule.low is not None else []
     tests += [f"{rule.scale} * {rule.metric} > {rule.high} * {of}"] if rule.high is not None else []
-    return "(" + " OR ".join(tests) + ")"
+    failed = "(" + " OR ".join(tests) + ")"
+    return f"({failed} AND NOT {_UNLESS[rule.unless]})" if rule.unless else failed
+
+
+def _letters(but: str) -> str:
+    """Number of a text's letters that are not among ``but``."""
+    return f"length(regexp_replace(text, '[\\P{{L}}{but}]+', '', 'g'))"
+
+
+_FAMILIAR = quality_rules.LETTERS + quality_rules.LETTERS.upper()
+_SPACED = _letters("")
+_UNSPACED = _SPACED + " - " + _letters("".join(f"\\p{{{s}}}" for s in quality_rules.UNSPACED_SCRIPTS))
 
 
 def _any(rules) -> str:
@@ -119,9 +134,9 @@ def _any(rules) -> str:
 
 
 _OP5_SQL = f"""
-WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH texts AS (SELECT doc_id, lower(trim(lang)) AS lang, coalesce(text, '') AS text FROM documents),
 w AS (
-  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  SELECT doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
     [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
   FROM texts
 ),
@@ -144,10 +159,14 @@ m AS (
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words,
     len([x FOR x IN words IF lower(x) IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)})])
-      AS n_stop_words
+      AS n_stop_words,
+    lang IS NOT NULL AND lang NOT IN ({", ".join(f"'{x}'" for x in quality_rules.UNNAMED)})
+        AND NOT regexp_matches(lang, '{quality_rules.COVERED}')
+      OR ({_letters(_FAMILIAR)} > 0 AND 100 * {_letters(_FAMILIAR)} >= 3 * {_SPACED}) AS other_language,
+    ({_UNSPACED}) > 0 AND 100 * ({_UNSPACED}) >= 33 * {_SPACED} AS unspaced_script
   FROM w LEFT JOIN repeated USING (doc_id)
 )
-SELECT *, ({_any(quality_rules.BASE_RULES)}) AS base_failed,
+SELECT * EXCLUDE (other_language, unspaced_script), ({_any(quality_rules.BASE_RULES)}) AS base_failed,
   NOT ({_any([*quality_rules.BASE_RULES, *quality_rules.RULES])}) AS kept
 FROM m
 """

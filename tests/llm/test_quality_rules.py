@@ -92,3 +92,29 @@ def test_text_of_languages_beyond_the_word_list_stays(spark):
     judged = Q.judged(df, lang="lang").where("quality.kept")
     assert {r.k for r in judged.collect()} == {*clean, "fi"}
     assert {r.k for r in Q.kept(df.drop("lang")).collect()} == set(clean)
+
+
+def test_sql_knows_where_rules_do_not_apply(spark, tmp_path):
+    latin = "word and the house of a river in that town with many other things to see for all of us today here now"
+    texts = {
+        "ru": "слово и дом на реке в этом городе где есть много других вещей для всех нас здесь и сейчас снова опять да нет",
+        "pl": "książka źródło łódź gżegżółka śnieg żółw ćma ósmy węgiel pięć świeży mąż dąb gałąź źle święto łąka żaba ćwierć róg",
+        "zh": " ".join(["河流经过古老的石头房子和许多其他的东西在这个城市里面"] * 1 + [f"第{i}个很长很长的句子没有空格在里面真的" for i in range(25)]),
+        "fi": "talo joki kaupunki asia kaikki muut vanha kivi vesi puu tie koti maa ilma kala lintu metsä saari niitty suo ranta",
+        "en": latin,
+        None: "xxxx yyyy zzzz qqqq wwww rrrr tttt pppp ssss dddd ffff gggg hhhh jjjj kkkk llll vvvv bbbb nnnn mmmm cccc",
+    }
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts.items())]
+    rows += [(10 + i, t, label) for i, t in enumerate(texts.values()) for label in (["und"] if i % 2 else [None])]
+    rows += [(20 + i, t, " EN ") for i, t in enumerate(texts.values())]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(ORACLE_SQL["op5_quality_rules"])
+        names = [d[0] for d in want.description]
+        want = sorted(want.fetchall())
+    got = op5_quality_rules(spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(tuple(r) for r in got.select(names).collect()) == want
+    kept = {r[0]: r[names.index("kept")] for r in want}
+    assert all(kept[i] for i in range(5)) and not kept[5]
