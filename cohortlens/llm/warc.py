@@ -324,9 +324,13 @@ def read_packages(paths: DataFrame, path: str = "path") -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, _ROW)
 
     names = paths.where(F.col(path).isNotNull()).select(F.col(path).alias("path"))
-    places = names.mapInArrow(find, "path string, start long, length long")
-    # A package's records are dealt in blocks of neighbours, so that large ones are read by many tasks.
-    dealt = places.repartition("path", F.floor(F.col("start") / (16 << 20))).sortWithinPartitions("path", "start")
+    places = written(names.mapInArrow(find, "path string, start long, length long"), "places")
+    # A package's records are dealt in blocks of neighbours, so that large ones are read by many tasks; how many is a
+    # matter of the records' sizes, of which the places show nothing.
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    block = F.floor(F.col("start") / BLOCK_BYTES)
+    dealt = places.repartition(tasks, "path", block).sortWithinPartitions("path", "start")
     return dealt.mapInArrow(
         fetch,
         "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -334,6 +338,10 @@ def read_packages(paths: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
+#: Bytes of packages that a task reads, on average, and bytes of neighbours that stay together.
+TASK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
+
 _ROW = pa.schema(
     [
         ("page_id", pa.int64()),

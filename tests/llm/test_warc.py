@@ -125,3 +125,13 @@ def test_headers_of_any_length_come_back():
     data = package(wanted)
     got = [warc._row(reader(data)(start, n)) for start, n in warc.ranges(reader(data), len(data))]
     assert [(g["page_id"], g["url"], g["payload"]) for g in got] == [(w[0], w[1], w[3]) for w in wanted]
+
+
+def test_records_are_read_by_many_tasks(spark, tmp_path):
+    line = lambda i: F.sha2(F.concat_ws("-", "id", i).cast("binary"), 256)
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1500)), line), "")
+    pages = spark.range(240).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), body.alias("html"))
+    made = warc.written_packages(pages.coalesce(1), str(tmp_path / "w"), "1999-01-01T00:00:00Z")
+    found = warc.read_packages(made).withColumn("task", F.spark_partition_id()).select("page_id", "task").collect()
+    assert sorted(r.page_id for r in found) == list(range(240))
+    assert len({r.task for r in found}) >= 2
