@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohortlens.operators import learners, programmes
+from cohortlens.operators.joins import _is_small
 from cohortlens.operators.nesting import expand
 from cohortlens.plans import learner_report, programme_report
 from cohortlens.schemas import INPUTS
@@ -98,6 +99,18 @@ def test_small_dimensions_spare_the_shuffle(conf, star):
     assert large.exceptAll(small).isEmpty() and large.count() == rows > 0
 
 
+def test_a_table_is_not_broadcast_for_its_small_files(spark, star, tmp_path):
+    # 400,000 names in some MB of files are over 20 MB as rows, which the driver would have to hold.
+    users = spark.range(400_000).select(
+        F.concat(F.lit("U"), "id").alias("user_id"), F.lit("Ann").alias("first_name"), F.lit(None).cast("string").alias("email")
+    )
+    users.write.parquet(str(tmp_path / "DimUser"))
+    assert sum(f.stat().st_size for f in (tmp_path / "DimUser").iterdir()) < 10 * 1024 * 1024
+    large = parquet_tables(spark, str(tmp_path)).users
+    assert not _is_small(large.select("user_id", "first_name"))
+    assert _is_small(star.users.select("user_id", "first_name"))
+
+
 def test_a_left_join_of_hot_parents(spark, rows):
     parents = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, p int")
     children = spark.createDataFrame([("a", 7), ("a", 8), ("c", 9), (None, 9)], "k string, v int")
