@@ -245,6 +245,13 @@ def test_shuffles_of_any_size_have_small_partitions():
         assert size / partitions_for(size) <= 256 * 1024 * 1024
 
 
+def test_tasks_of_a_large_input_stay_small(spark, tables):
+    tables()
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    for size in (10**9, 6 * 10**9, 100 * 10**12):
+        assert size / partitions_for(size) <= 32 * 1024 * 1024
+
+
 def test_local_times_are_in_utc(spark):
     import datetime as dt
 
