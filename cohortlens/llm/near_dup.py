@@ -29,7 +29,7 @@ from cohortlens.operators.ranking import running
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_REMEMBERED = 400_000
+_REMEMBERED = 100_000
 _BLOCK = 4096
 
 #: Shingles of all classes of a block together, unless a single one has more.

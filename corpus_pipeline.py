@@ -22,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no document names its language nothing can be learnt, and all with letters stay.
     """
+    work.small_batches(spark)
     into = work.unused(docs, "_language")
     found = identified_documents(docs, into, work.unused(docs, "_held_out"))
     is_short = F.length("text") < SHORT
@@ -36,6 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    work.small_batches(spark)
     return near_dup.deduplicated(docs, near_dup.Settings())
 
 
@@ -52,6 +54,7 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of at most 2048 tokens."""
+    work.small_batches(spark)
     return packed_documents(docs)
 
 

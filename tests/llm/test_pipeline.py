@@ -104,3 +104,26 @@ def test_odd_documents_pass_every_stage(spark):
                 assert out.columns == docs.columns
             docs = corpus_pipeline.work.written(out, "test-odd")
         assert (docs.count() > 0) == bool(given)
+
+
+def test_python_workers_receive_documents_in_small_batches(spark):
+    import pyarrow as pa
+
+    from cohortlens.llm import work
+
+    def rows_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    key = work.BATCH[0]
+    texts = spark.range(0, 9000, 1, 1).selectExpr("id as doc_id", "repeat('x', 3000) as text")
+    try:
+        for stage in (corpus_pipeline.language, corpus_pipeline.duplicates, corpus_pipeline.packing):
+            spark.conf.unset(key)
+            stage(spark, texts.limit(3).withColumn("lang", F.lit("en")), "")
+            assert max(r.n for r in texts.select("text").mapInArrow(rows_of, "n long").collect()) < 2000
+        spark.conf.set(key, "16m")
+        corpus_pipeline.packing(spark, texts.limit(3), "")
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.unset(key)
