@@ -270,3 +270,31 @@ def test_selected_fields(tables):
         documents(t, fields=["learner_data.nickname"])
     with pytest.raises(ValueError, match="unknown field"):
         documents(t, fields=["nickname"])
+
+
+def test_levels_of_a_learner_share_one_shuffle(tables):
+    plan = report.learner_documents(tables(**STAR))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert sum("REPARTITION_BY_COL" in line for line in dealt) == 1
+    # Nested rows dealt again, to meet their parent by null-safe keys, would be dealt by these expressions.
+    assert not any("coalesce(" in line or "isnull(" in line for line in dealt)
+
+
+def test_small_learners_beside_large_ones(tables, rows):
+    users = ["U1", "U2", "U3"]
+    facts = {
+        "users": [{**USER, "user_id": u} for u in users],
+        "programme_facts": [{**FACT, "user_id": u} for u in users],
+        "course_facts": [{**f, "user_id": u} for u in users for f in COURSE_FACTS[: 1 if u == "U3" else None]],
+        "module_facts": [{**f, "user_id": u} for u in users[:2] for f in MODULE_FACTS],
+    }
+    t = tables(**{**STAR, **facts})
+
+    def leaves(part_size):
+        found = report.learner_documents(t, part_size=part_size)
+        found = found.selectExpr("learner_part", "learner.id", "explode_outer(learner.courses) as c")
+        return rows(found.selectExpr("id", "c.id", "c.total_badges", "explode_outer(c.modules.id) as m").distinct())
+
+    whole = leaves(10_000)
+    assert {r[0] for r in whole} == set(users)
+    assert leaves(2) == leaves(1) == whole
