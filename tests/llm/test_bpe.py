@@ -59,6 +59,32 @@ def test_a_full_memory_changes_nothing(library, monkeypatch):
     assert len(encoder.known) <= 5
 
 
+def test_words_met_again_are_not_merged_again_by_a_full_memory(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "TOGETHER", 10)
+    encoder, merged = bpe.Encoder(PATH), []
+    packed = encoder.vocabulary.packed
+    monkeypatch.setattr(encoder.vocabulary, "packed", lambda words: merged.extend(words) or packed(words))
+    texts = [f"common again w{letter}x" for letter in "abcdefgh"]
+    for text, ids in zip(texts, encoder.texts(t.encode() for t in texts), strict=True):
+        assert ids_of(ids) == library.encode(text, add_special_tokens=False).ids
+    assert sorted(merged) == sorted(["common", "again", *(f"w{letter}x" for letter in "abcdefgh")])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text("'''strevmldx \t\n!\"-09aé÷ßÿ×", max_size=14), max_size=4))
+def test_plain_texts_split_side_by_side_equal_the_pattern(texts):
+    words, ends = bpe.plain_words([t.encode("latin-1") for t in texts])
+    words, ends = [w.decode("latin-1") for w in words.to_pylist()], [0, *ends]
+    assert [words[a:b] for a, b in zip(ends, ends[1:], strict=False)] == [bpe._PLAIN_WORDS.findall(t) for t in texts]
+
+
+def test_groups_of_plain_and_other_texts_keep_their_order(library):
+    texts = ["It's 'sup can't", "", "ÀÉ × ß 'LL 9'9", "日本 it's", None, "a<|endoftext|>b", "don't\nstop''s", " \t", "'re"]
+    got = list(bpe.Encoder(PATH).texts(None if t is None else t.encode() for t in texts))
+    assert [ids_of(x) for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_trees_side_by_side_equal_single_trees():
     random.seed(8)
     vocabulary = bpe.vocabulary(PATH)

@@ -36,6 +36,15 @@ def test_equal_documents_have_equal_keys_and_similar_ones_near_ones():
     assert (order[1:] == order[:-1]).mean() > 0.6  # a fifth by chance
 
 
+def test_a_document_has_one_key_whatever_lies_beside_it():
+    rng = np.random.default_rng(4)
+    settings_ = curve.Curve()
+    documents = [rng.integers(0, 49_000, n).astype("<u4").tobytes() for n in rng.integers(0, 900, 300)]
+    together = curve.keys(documents, settings_, settings_.projection())
+    alone = [curve.keys([d], settings_, settings_.projection())[0] for d in documents]
+    assert together.tolist() == alone
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**7))
 def test_the_rest_is_cut_into_powers_of_two(total):
