@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.operators import learners as ops
 from cohortlens.plans import learner_report as report
@@ -298,3 +299,59 @@ def test_small_learners_beside_large_ones(tables, rows):
     whole = leaves(10_000)
     assert {r[0] for r in whole} == set(users)
     assert leaves(2) == leaves(1) == whole
+
+
+def _mixed():
+    """Learners with and without courses, courses with and without modules, repeated rows, null keys, hot learners."""
+    users = ["U1", "U2", "U3", "U4"]
+    other = {"programme_id_fk": "P2", "cohort_schedule_id": "R3", "course_id": "C2"}
+    return {
+        "programmes": [P, {"programme_id": "P2"}, {"programme_id": None}],
+        "programme_offerings": [OFFER, {**OFFER, "offering_status": "Completed"}],
+        "users": [{**USER, "user_id": u} for u in [*users, "U4", None]],
+        "programme_facts": [{**FACT, "user_id": u} for u in [*users, "U1", "U5", None]]
+        + [{**FACT, "programme_id": p} for p in ("P2", None)],
+        "courses": [*NAMES["courses"], {"course_id": "C2"}, {"course_id": None}],
+        "modules": NAMES["modules"],
+        "course_offerings": [*RUNS, other, {**other, "programme_id_fk": None}],
+        "module_offerings": MODULES,
+        # U1 has each run of its course twice, U2 one run, U3 modules of no course, U4 none.
+        "course_facts": [*COURSE_FACTS * 2, {**COURSE_FACTS[0], "user_id": "U2"}, {**COURSE_FACTS[0], "user_id": None}]
+        + [{**COURSE_FACTS[0], "programme_id_fk": p, "cohort_identifier_fk": "R3", "course_id": "C2"} for p in ("P2", None)],
+        "module_facts": [{**f, "user_id": u} for u in ("U1", "U1", "U3", None) for f in MODULE_FACTS]
+        + [{**MODULE_FACTS[0], "course_id_fk": None}, {**MODULE_FACTS[0], "module_id": "M9"}],
+    }
+
+
+@pytest.mark.parametrize("part_size", [10_000, 4, 1])
+def test_presented_rows_equal_plain_left_joins(tables, rows, part_size):
+    t = tables(**_mixed())
+    learner = ops.learner_data(t).select("programme_id", "user_id", F.col("name").alias("l_name"))
+    course = ops.learner_courses(t).select("programme_id", "user_id", "course_id", F.col("total_badges").alias("c_total_badges"))
+    module = ops.learner_modules(t).select("programme_id", "user_id", F.col("course_id_fk").alias("course_id"), F.col("module_id").alias("m_id"))
+    plain = (
+        learner.join(course, ["programme_id", "user_id"], "left")
+        .join(module, ["programme_id", "user_id", "course_id"], "left")
+        .join(ops.programme_info(t).select("programme_id", F.col("offering_status").alias("status")), "programme_id")
+        .withColumn("m_time_spent", F.when(F.col("m_id").isNotNull(), "00:00:00"))
+        .withColumn("c_time_spent", F.when(F.col("course_id").isNotNull(), "111:06:40"))
+    )
+    shown = ["user_id", "status", "course_id", "c_total_badges", "c_time_spent", "m_id", "m_time_spent"]
+    found = report.learner_presentation(t, part_size)
+    renamed = {"programme_id": "id", "user_id": "l_id", "course_id": "c_id"}
+    wanted = rows(plain, "programme_id", *shown)
+    assert rows(found, "id", *(renamed.get(c, c) for c in shown)) == wanted
+    # Two snapshots of U1 in two offerings: two runs, twice each, of a course with two modules that come twice.
+    assert sum(r[:2] == ("P1", "U1") for r in wanted) == 2 * 2 * 4 * 4
+
+
+def test_large_learners_are_told_from_counts(tables, rows, monkeypatch):
+    t = tables(**_mixed())
+    assert report._large_learners(t, 10_000) is None
+    # U1 has two snapshots, four course runs and six modules, one of no course; U3 a snapshot and two modules.
+    assert rows(report._large_learners(t, 9)) == [("P1", "U1")]
+    # With a single counter all learners are counted themselves.
+    monkeypatch.setattr(report, "COUNTERS", 1)
+    assert rows(report._large_learners(t, 9)) == [("P1", "U1")]
+    assert report._large_learners(t, 15) is None
+    assert rows(report._large_learners(t, 2)) == [("P1", "U1"), ("P1", "U3")]

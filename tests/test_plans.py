@@ -152,3 +152,23 @@ def test_a_hot_learner_is_split(spark, conf, star):
     df = programmes.inactive_users(frame_tables(frames))
     df.collect()
     assert "skew=true" in plan(df)
+
+
+def test_presented_rows_are_not_shuffled(conf, star):
+    conf(**NO_BROADCAST)
+    lines = plan(learner_report.learner_presentation(star)).splitlines()
+    # Modules are read once, course runs for the rows and for the certificates.
+    assert sum("FactModulePerformanceSnapshot" in line for line in lines) == 1
+    assert sum("FactCoursePerformanceSnapshot" in line for line in lines) == 2
+    # Where modules meet their course runs, and in all that follows, nothing is shuffled.
+    at = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    depth = [re.search(r"[A-Z]", line).start() for line in lines]
+    above = [line for i, line in enumerate(lines[:at]) if depth[i] < min(depth[i + 1 : at + 1])]
+    assert above and not any("Exchange" in line for line in above)
+
+
+def test_the_presented_header_is_known_to_be_small(star):
+    # A header of unknown size would be met by the rows, dealt to as many tasks as there are programmes.
+    text = plan(learner_report.learner_presentation(star))
+    assert not re.search(r"Exchange hashpartitioning\((programme_id|id)#\d+, \d+\)", text)
+    assert "/headers-" in text

@@ -252,6 +252,14 @@ def test_tasks_of_a_large_input_stay_small(spark, tables):
         assert size / partitions_for(size) <= 32 * 1024 * 1024
 
 
+def test_dealt_rows_of_a_large_input_fit_in_a_task(spark, tables):
+    tables()
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"
+    # The learner report deals some five times its raw files.
+    for size in (10**9, 6 * 10**9, 100 * 10**12):
+        assert 5 * size / partitions_for(size) <= 40 * 1024 * 1024
+
+
 def test_local_times_are_in_utc(spark):
     import datetime as dt
 
